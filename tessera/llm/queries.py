@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn, mixing, pii, simhash, warc
+from . import exact_dedup, knn, mixing, passages, pii, simhash, warc
 from .common import scratch_path, table
 
 
@@ -41,15 +41,30 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = knn.knn_join(vectors, vectors.filter("vec_id % 50 = 0"), 5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {"op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
+    "op6_passages": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     i AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+     x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM i JOIN d USING (doc_id)),
+     m AS (SELECT h, min(doc_id) AS owner FROM x GROUP BY h),
+     g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM x JOIN m USING (h), range(50) t(j) WHERE owner < doc_id GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda e, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""",
     "op10_knn": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
      s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
