@@ -24,7 +24,6 @@ from .common import keep
 
 WINDOW, PHRASE = 50, 12
 NO_ID = 2**63 - 1
-RANGES = "array<struct<s:int,e:int>>"
 
 
 def _line(words: list[bytes]) -> tuple[bytes, np.ndarray]:
