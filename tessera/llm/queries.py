@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn, mixing, passages, pii, simhash, suffixes, warc
+from . import exact_dedup, knn, mixing, passages, pieces, pii, simhash, suffixes, warc
 from .common import scratch_path, table
 
 
@@ -51,13 +51,25 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load()
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("content")).alias("lossless"),
+    )
+
+
 def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = knn.knn_join(vectors, vectors.filter("vec_id % 50 = 0"), 5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {"op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
     "op6_passages": r"""
