@@ -158,12 +158,13 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: the columns of docs, one row for each time the mix takes a document, in training order.
     A document that is taken in part keeps its first words."""
-    turns = mix(docs, id_col=id_col, text_col=text_col, **options).filter("taken > 0")
-    turns = turns.select(F.col("id").alias("_id"), F.col("h2").alias("_h"), F.col("size").alias("_size"), F.explode("passes").alias("_turn"))
-    # Rows alike in id and text are one row here, with the turns of all of them.
+    mixed = keep(mix(docs, id_col=id_col, text_col=text_col, **options), "mixed")
+    turns = mixed.filter("taken > 0").select(F.col("id").alias("_id"), F.col("h2").alias("_h"), F.col("size").alias("_size"), F.explode("passes").alias("_turn"))
     base = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    alike = W.partitionBy(id_col, "_key").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)])
-    base = base.withColumn("_copy", F.row_number().over(alike)).filter("_copy = 1")
+    if mixed.groupBy("id", "h2").count().filter("count > 1").limit(1).count():
+        # Rows alike in id and text become one row, with the turns of all of them.
+        alike = W.partitionBy(id_col, "_key").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)])
+        base = base.withColumn("_copy", F.row_number().over(alike)).filter("_copy = 1")
     joined = base.join(turns, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
     part = F.expr(f"regexp_extract(`{text_col}`, concat('^(?>[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){{0,', _turn.words, '}}+'), 0)")
     text = F.when(F.col("_turn.words") < F.col("_size"), part).otherwise(F.col(text_col))

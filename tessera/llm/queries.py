@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn, mixing, passages, pieces, pii, simhash, suffixes, warc
+from . import exact_dedup, knn, mixing, passages, pieces, pii, quality, simhash, suffixes, warc
 from .common import scratch_path, table
 
 
@@ -63,13 +63,19 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.cotrain(documents, quality.clean_labels(table(spark, sf_dir, "labels")))
+    return model.score(documents).withColumnRenamed("id", "doc_id")
+
+
 def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = knn.knn_join(vectors, vectors.filter("vec_id % 50 = 0"), 5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {"op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op7_quality": op7_quality, "op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
     "op6_passages": r"""

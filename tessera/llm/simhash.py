@@ -53,15 +53,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed number) of each row; a null text is empty."""
+    """id, tid (a hash of the text), fp (the 64 bits as a signed number) of each row; a null text is empty."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["id", "tid", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("content"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())]))
+    text = whole(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), text.cast("binary").alias("content"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("tid", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -215,7 +216,7 @@ def near_duplicates(
     text_col: str = "text",
     **sizes,
 ) -> DataFrame:
-    """One row per row of docs: id, fp, component_id (the smallest id reachable, itself included).
+    """One row per row of docs: id, tid, fp, component_id (the smallest id reachable, itself included).
 
     Texts link when their fingerprints differ in at most max_bits bits; texts without words have fingerprint
     zero and link like others. Links are found between different fingerprints, so copies cost nothing. Null
@@ -228,7 +229,17 @@ def near_duplicates(
     linked = firsts.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = linked.join(smallest, "root").select("fp", "component_id")
-    return all_fps.join(classes, "fp").select("id", "fp", "component_id")
+    return all_fps.join(classes, "fp").select("id", "tid", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, with all their columns. Of a component without
+    ids all rows stay; so do all rows that share the smallest id."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "tid").distinct().alias("s")
+    rows = docs.withColumn("_tid", F.xxhash64(whole(F.col(text_col)))).alias("d")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")) & (F.col("d._tid") == F.col("s.tid"))
+    return rows.join(stay, same, "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp) -> "F.Column":
