@@ -10,6 +10,7 @@ so decoding gives back the text to the byte.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from functools import cached_property
 from itertools import chain
@@ -27,12 +28,15 @@ from .common import whole
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 42
 #: Words that a worker remembers for each variant, of at most so many characters.
-REMEMBERED, SHORT = 200_000, 40
+REMEMBERED, SHORT = 150_000, 40
 SPACE = "▁"
 #: The character SPACE itself, which must not become a space: never part of a piece.
 LITERAL = "\0" + SPACE
 WORDS = re.compile(r"\n| *[^ \n]+| +")
-_M = (1 << 64) - 1
+_M, _STRIDE = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_NEVER = np.iinfo(np.int32).max
+#: Texts that are encoded together.
+BATCH_BYTES = 2_000_000
 
 
 class Pieces:
@@ -47,7 +51,7 @@ class Pieces:
     @cached_property
     def _open(self):
         sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-        ids, scores, table, of_byte = {}, {}, [], [0] * 256
+        ids, scores, table, of_byte, marks = {}, {}, [], [0] * 256, {}
         for i in range(sp.vocab_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -57,33 +61,66 @@ class Pieces:
                 table.append(b"")
             else:
                 ids[piece], scores[piece] = i, -sp.get_score(i)
+                marks[piece] = xxhash.xxh64_intdigest(piece, self.seed)
                 table.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) or "\n" in p or "\0" in p for p in ids):
             raise ValueError("a piece of this model goes over the end of a word")
-        return ids, scores, table, of_byte
+        return ids, scores, table, of_byte, marks
 
     @cached_property
     def _seen(self) -> list[dict]:
         return [{} for _ in range(self.variants)]
 
     def split(self, word: str, key: int) -> list[int]:
-        """The ids of a word (spaces first), by agenda; key: of the dropout's hash."""
-        ids, scores, _, of_byte = self._open
-        below = int(self.dropout * 2**64)
+        """The ids of a word (spaces first), by agenda; key: of the dropout's hash.
+
+        A candidate is skipped if (hash of its piece + its place) * key, modulo 2**64, is below the rate.
+        """
+        ids, _, _, of_byte, _ = self._open
         symbols = [SPACE if c == " " else LITERAL if c == SPACE else c for c in word]
+        out = []
+        for s in self._short(symbols, key | 1) if len(symbols) <= SHORT else self._long(symbols, key | 1):
+            if s in ids:
+                out.append(ids[s])
+            else:
+                out += [of_byte[x] for x in (SPACE if s == LITERAL else s).encode("utf-8", "surrogateescape")]
+        return out
+
+    def _short(self, parts: list[str], key: int) -> list[str]:
+        """The agenda as a list: the score of each pair in order, infinite if it is no candidate."""
+        scores, marks, below = self._open[1], self._open[4], int(self.dropout * 2**64)
+        never = math.inf
+        rank = [scores.get(a + b, never) for a, b in zip(parts, parts[1:])]
+        place = list(range(len(parts)))
+        while rank:
+            best = min(rank)
+            if best == never:
+                break
+            i = rank.index(best)
+            piece = parts[i] + parts[i + 1]
+            if ((marks[piece] + place[i] * _STRIDE) * key & _M) < below:
+                rank[i] = never
+                continue
+            parts[i] = piece
+            del parts[i + 1], place[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = scores.get(piece + parts[i + 1], never)
+            if i:
+                rank[i - 1] = scores.get(parts[i - 1] + piece, never)
+        return parts
+
+    def _long(self, symbols: list[str], key: int) -> list[str]:
+        """The agenda as a heap, for words that are too long to look through for every merge."""
+        scores, marks, below = self._open[1], self._open[4], int(self.dropout * 2**64)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = []
-        for i in range(n - 1):
-            piece = symbols[i] + symbols[i + 1]
-            if piece in scores:
-                agenda.append((scores[piece], i, i + 1, piece))
+        agenda = [(scores[a + b], i, i + 1, a + b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in scores]
         heapq.heapify(agenda)
         while agenda:
             _, a, b, piece = heapq.heappop(agenda)
             if after[a] != b or not symbols[a] or symbols[a] + symbols[b] != piece:
                 continue  # a part of it has been merged with another
-            if below and xxhash.xxh64_intdigest(piece, (key + a * 0x9E3779B97F4A7C15) & _M) < below:
+            if ((marks[piece] + a * _STRIDE) * key & _M) < below:
                 continue
             symbols[a], symbols[b] = piece, ""
             after[a] = c = after[b]
@@ -96,37 +133,129 @@ class Pieces:
                 longer = symbols[c] + piece
                 if longer in scores:
                     heapq.heappush(agenda, (scores[longer], c, a, longer))
-        out = []
-        for s in symbols:
-            if s in ids:
-                out.append(ids[s])
-            elif s:
-                out += [of_byte[x] for x in (SPACE if s == LITERAL else s).encode("utf-8", "surrogateescape")]
+        return [s for s in symbols if s]
+
+    @cached_property
+    def _pairs(self):
+        """For split_many: symbol of each character, sorted pairs of symbols, and what they make."""
+        ids, scores, _, _, marks = self._open
+        symbol = np.full(0x110000, -1, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                symbol[ord(" " if piece == SPACE else piece)] = i
+        symbol[ord(SPACE)] = -1
+        rows = sorted(
+            (ids[a] << 32 | ids[b], scores[piece], i, marks[piece])
+            for piece, i in ids.items()
+            for a, b in ((piece[:n], piece[n:]) for n in range(1, len(piece)))
+            if a in ids and b in ids
+        )
+        rank = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        pairs = np.array([r[0] for r in rows] or [-1], dtype=np.int64)
+        made = np.array([r[2] for r in rows] or [0], dtype=np.int64)
+        mark = np.zeros(int(made.max()) + 1, dtype=np.uint64)
+        mark[made] = np.array([r[3] for r in rows] or [0], dtype=np.uint64)
+        return symbol, pairs, rank.astype(np.int32) if rows else np.array([_NEVER], dtype=np.int32), made, mark
+
+    def split_many(self, words: list[str], keys: list[int]) -> list[list[int]]:
+        """split() of each word with its key; words of one length are merged together, a step of all agendas at a time."""
+        symbol = self._pairs[0]
+        out: list[list[int] | None] = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for length, at in by_length.items():
+            if 1 < length <= SHORT:
+                for c in range(0, len(at), 20_000):
+                    some = at[c : c + 20_000]
+                    codes = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                    start = symbol[codes].reshape(-1, length)
+                    # Characters without a piece become bytes, one word at a time.
+                    plain = np.flatnonzero((start >= 0).all(axis=1))
+                    which = np.array(some)[plain]
+                    key = np.array([keys[i] | 1 for i in which.tolist()], dtype=np.uint64)
+                    for rows, parts in self._merge(start[plain].astype(np.int64), key):
+                        for i, ids in zip(which[rows].tolist(), parts.tolist()):
+                            out[i] = ids
+        return [self.split(w, k) if ids is None else ids for w, k, ids in zip(words, keys, out)]
+
+    def _merge(self, sym: np.ndarray, key: np.ndarray):
+        """Yields row numbers and their final ids, rows with as many ids together."""
+        _, pairs, ranks, made, mark = self._pairs
+        below = np.uint64(min(int(self.dropout * 2**64), _M))
+
+        def look(a, b):
+            k = a << 32 | b
+            at = np.minimum(np.searchsorted(pairs, k), len(pairs) - 1)
+            good = pairs[at] == k
+            return np.where(good, ranks[at], _NEVER), made[at]
+
+        rows, n = np.arange(len(sym)), sym.shape[1]
+        merged = [(rows, sym, np.broadcast_to(np.arange(n), sym.shape).copy(), *look(sym[:, :-1], sym[:, 1:]))]
+        while merged:
+            # All rows of this length together; what they merge to is a column shorter.
+            rows, sym, place, rank, new = (np.concatenate(x) for x in zip(*merged)) if len(merged) > 1 else merged[0]
+            merged, n = [], sym.shape[1]
+            while len(rows):
+                if n == 1:
+                    yield rows, sym
+                    break
+                i = rank.argmin(axis=1)
+                r = np.arange(len(rows))
+                live = rank[r, i] != _NEVER
+                if not live.all():
+                    yield rows[~live], sym[~live]
+                    rows, sym, place, rank, new, i = (x[live] for x in (rows, sym, place, rank, new, i))
+                    continue
+                piece = new[r, i]
+                if self.dropout:
+                    skip = (mark[piece] + place[r, i].astype(np.uint64) * np.uint64(_STRIDE)) * key[rows] < below
+                    rank[r[skip], i[skip]] = _NEVER
+                else:
+                    skip = np.zeros(len(rows), dtype=bool)
+                m = np.flatnonzero(~skip)
+                if len(m):
+                    at = i[m][:, None]
+                    cols = np.arange(n - 1)[None, :]
+                    sym2 = np.take_along_axis(sym[m], cols + (cols > at), axis=1)
+                    np.put_along_axis(sym2, at, piece[m][:, None], axis=1)
+                    place2 = np.take_along_axis(place[m], cols + (cols > at), axis=1)
+                    cols = np.arange(n - 2)[None, :]
+                    rank2 = np.take_along_axis(rank[m], cols + (cols >= at), axis=1)
+                    new2 = np.take_along_axis(new[m], cols + (cols >= at), axis=1)
+                    q = np.arange(len(m))
+                    for side, ok in ((i[m] - 1, i[m] > 0), (i[m], i[m] < n - 2)):
+                        x, y = q[ok], side[ok]
+                        rank2[x, y], new2[x, y] = look(sym2[x, y], sym2[x, y + 1])
+                    merged.append((rows[m], sym2, place2, rank2, new2))
+                    rows, sym, place, rank, new = (x[skip] for x in (rows, sym, place, rank, new))
+
+    def encode_many(self, contents: list[bytes], names: list[str]) -> list[np.ndarray]:
+        """The ids of UTF-8 texts; names: of the documents, for their words' variants."""
+        seen, split, missing = self._seen, [], {}
+        for content, name in zip(contents, names):
+            words = WORDS.findall(" " + content.decode("utf-8", "surrogateescape")) if content else []
+            if self.dropout and self.variants > 1:
+                base = np.uint64(xxhash.xxh64_intdigest(name, self.seed))
+                mixed = (np.arange(len(words), dtype=np.uint64) + base) * np.uint64(_STRIDE)
+                which = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(self.variants)).tolist()
+            else:
+                which = [0] * len(words)
+            split.append((words, which))
+            for word, v in zip(words, which):
+                if word not in seen[v]:
+                    missing[word, v] = None
+        keys = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogateescape"), (self.seed * 1_000_003 + v) & _M) for w, v in missing]
+        for (word, v), ids in zip(missing, self.split_many([w for w, _ in missing], keys)):
+            seen[v][word] = ids
+        out = [np.array(list(chain.from_iterable([seen[v][w] for w, v in zip(words, which)])), dtype=np.int32) for words, which in split]
+        for s in seen:
+            if len(s) > REMEMBERED:
+                s.clear()
         return out
 
     def encode(self, content: bytes, name: str = "") -> list[int]:
-        """The ids of a UTF-8 text; name: of the document, for its words' variants."""
-        if not content:
-            return []
-        words = WORDS.findall(" " + content.decode("utf-8", "surrogateescape"))
-        if self.dropout and self.variants > 1:
-            base = np.uint64(xxhash.xxh64_intdigest(name, self.seed))
-            mixed = (np.arange(len(words), dtype=np.uint64) + base) * np.uint64(0x9E3779B97F4A7C15)
-            which = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(self.variants)).tolist()
-        else:
-            which = [0] * len(words)
-        seen, parts = self._seen, []
-        for word, v in zip(words, which):
-            part = seen[v].get(word)
-            if part is None:
-                key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogateescape"), (self.seed * 1_000_003 + v) & _M)
-                part = self.split(word, key)
-                if len(word) <= SHORT:
-                    if len(seen[v]) >= REMEMBERED:
-                        seen[v].clear()
-                    seen[v][word] = part
-            parts.append(part)
-        return list(chain.from_iterable(parts))
+        return self.encode_many([content], [name])[0].tolist()
 
     def decode(self, ids) -> bytes:
         table = self._open[2]
@@ -146,15 +275,16 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            at, ids, size = 0, [], 0
+            at, texts, size = 0, [], 0
             for i in range(batch.num_rows):
-                ids.append(np.array(pieces.encode(batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or ""), dtype=np.int32))
-                size += len(ids[-1])
-                if size > 500_000 or i == batch.num_rows - 1:
+                texts.append(batch.column(1)[i].as_py())
+                size += len(texts[-1])
+                if size > BATCH_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(at, len(texts))
+                    ids = pieces.encode_many(texts, [x or "" for x in part.column(2).to_pylist()])
                     ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                    part = batch.slice(at, len(ids))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, np.concatenate(ids))], names=["id", "content", "ids"])
-                    at, ids, size = i + 1, [], 0
+                    at, texts, size = i + 1, [], 0
 
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("content", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

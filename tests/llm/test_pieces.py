@@ -37,6 +37,22 @@ def test_round_trip(dropout):
         assert len(own.encode(b"the the", "1")) == 8
 
 
+def test_both_agendas_agree():
+    own = pieces.load(dropout=0.3)
+    for i, t in enumerate(TEXTS + ["internationalisation", " onthtionhent,", "Lichkeitéé"]):
+        parts = [pieces.SPACE if c == " " else c for c in t[:300]]
+        assert own._short(list(parts), 2 * i + 1) == own._long(list(parts), 2 * i + 1)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.3, 1.0])
+def test_many_words_at_once(dropout):
+    own = pieces.load(dropout=dropout)
+    words = [w for t in TEXTS + ["internationalisation of onthtionhent, Lichkeitéé   x  " * 3] for w in pieces.WORDS.findall(" " + t)]
+    keys = [i * 7919 + 1 for i in range(len(words))]
+    assert own.split_many(words, keys) == [own.split(w, k) for w, k in zip(words, keys)]
+    assert own.split_many([], []) == []
+
+
 def test_variants():
     own = pieces.load(dropout=0.3, variants=16)
     ways = {tuple(own.encode(b"international", str(i))) for i in range(50)}
