@@ -102,7 +102,11 @@ class CoTrained:
 
     def good_rows(self, docs: DataFrame, **columns: str) -> DataFrame:
         """The rows of docs that are kept, with all their columns."""
-        return self.score(docs, carry=True, **columns).filter("keep").select("row.*")
+        scored = self.score(docs, carry=True, **columns)
+        # Not deterministic for the optimizer: else it would move the filter below the projection and work out every
+        # feature again for each of its uses.
+        kept = F.col("keep") & (F.monotonically_increasing_id() >= 0)
+        return scored.withColumn("_kept", kept).filter("_kept").select("row.*")
 
 
 def featurize(rows: DataFrame, words: CountVectorizerModel, scaler: StandardScalerModel) -> DataFrame:
