@@ -128,11 +128,13 @@ def duplicate_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = rows.schema["id"].dataType
     order = F.coalesce("id", F.lit(NO_ID)) if isinstance(kind, (T.LongType, T.IntegerType)) else F.col("id")
     anchors = keep(find_anchors(rows, word_anchors(window, phrase)), "anchors")
-    groups = (
+    # Kept: both sides of the join are then dealt anew, and Spark can split the anchors of a very common phrase.
+    groups = keep(
         anchors.groupBy("h")
         .agg(F.min(order).alias("owner"), F.max(order).alias("last"), F.min("seg").alias("seg_a"), F.max("seg").alias("seg_b"))
         .filter("owner < last")
-        .select("h", "owner", (F.col("seg_a") == F.col("seg_b")).alias("alike"))
+        .select("h", "owner", (F.col("seg_a") == F.col("seg_b")).alias("alike")),
+        "groups",
     )
     span = F.struct("s", (F.col("s") + F.col("n") - 1 + window).alias("e"))
     hits = keep(
@@ -148,7 +150,7 @@ def duplicate_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = keep(
         with_texts(texts, hits.filter("size(open) > 0").select("id", "tid", "open")).mapInArrow(_windows(window, phrase, shard_words), schema), "windows"
     )
-    owners = windows.groupBy("w1", "w2").agg(F.min(order).alias("owner"), F.max(order).alias("last")).filter("owner < last").drop("last")
+    owners = keep(windows.groupBy("w1", "w2").agg(F.min(order).alias("owner"), F.max(order).alias("last")).filter("owner < last").drop("last"), "owners")
     late = windows.join(owners, ["w1", "w2"]).filter(order > F.col("owner"))
     late = per_text(late, F.collect_set(F.struct(F.col("pos").alias("s"), (F.col("pos") + window).alias("e"))).alias("ranges"))
     sure = hits.filter("size(sure) > 0").select("id", "tid", F.col("sure").alias("ranges"))
