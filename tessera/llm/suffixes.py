@@ -110,11 +110,13 @@ def repeated_ranges(
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType
     anchors = keep(find_anchors(rows, byte_anchors(window, gram)), "anchors")
-    groups = (
+    # Kept: both sides of the join are then dealt anew, and Spark can split the anchors of a very common string.
+    groups = keep(
         anchors.groupBy("h")
         .agg(F.count("*").alias("c"), F.min("seg").alias("seg_a"), F.max("seg").alias("seg_b"))
         .filter("c > 1")
-        .select("h", (F.col("seg_a") == F.col("seg_b")).alias("alike"))
+        .select("h", (F.col("seg_a") == F.col("seg_b")).alias("alike")),
+        "groups",
     )
     found = keep(anchors.join(groups, "h"), "found")
     whole_span = F.struct("s", (F.col("s") + F.col("n") - 1 + window).alias("e"))
