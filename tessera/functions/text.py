@@ -32,7 +32,8 @@ def fold(x, stroke: bool = True) -> Column:
     source, target = accent_table()
     if stroke:
         source, target = source + "đĐ", target + "dD"
-    return F.lower(F.regexp_replace(F.translate(_c(x), source, target), r"\p{M}", ""))
+    plain = F.regexp_replace(F.translate(_c(x), source, target), r"\p{M}", "")
+    return F.lower(F.when(_c(x).rlike(r"[^\x00-\x7F]"), plain).otherwise(_c(x)))
 
 
 def blank(x) -> Column:
