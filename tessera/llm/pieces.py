@@ -1,9 +1,8 @@
 """Encoding texts as SentencePiece BPE pieces with seeded merge-dropout, and decoding them.
 
 The agenda of a word holds its candidate merges by score, then from the left. A candidate that comes up is skipped
-if a hash of its piece and place, keyed by seed and variant, falls below the dropout rate. A word's variant
-depends on the document and the word's place in it, so one word is split in up to `variants` ways over the corpus, the same
-ones in every run. Spaces become part of the pieces, all other characters that have no piece become bytes,
+if a hash of its piece and place, keyed by seed and variant, falls below the dropout rate. The variant
+depends on the document, so one word is split in up to `variants` ways over the corpus, the same ones in every run. Spaces become part of the pieces, all other characters that have no piece become bytes,
 so decoding gives back the text to the byte.
 """
 
@@ -28,15 +27,26 @@ from .common import whole
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 42
 #: Words that a worker remembers for each variant, of at most so many characters.
-REMEMBERED, SHORT = 150_000, 40
+REMEMBERED, SHORT = 100_000, 40
 SPACE = "▁"
 #: The character SPACE itself, which must not become a space: never part of a piece.
 LITERAL = "\0" + SPACE
 WORDS = re.compile(r"\n| *[^ \n]+| +")
 _M, _STRIDE = (1 << 64) - 1, 0x9E3779B97F4A7C15
 _NEVER = np.iinfo(np.int32).max
+_SLOTS = 1 << 20
+_STRIDES = np.cumprod(np.full(SHORT, _STRIDE, dtype=np.uint64)) * np.uint64(pow(_STRIDE, -1, 1 << 64))
+
+
+def _slot(pair):
+    """Place of a pair in the hash table."""
+    if isinstance(pair, int):
+        return (pair * _STRIDE & _M) >> 44
+    return ((pair.astype(np.uint64) * np.uint64(_STRIDE)) >> np.uint64(44)).astype(np.int64)
+
+
 #: Texts that are encoded together.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 
 
 class Pieces:
@@ -150,105 +160,124 @@ class Pieces:
             for a, b in ((piece[:n], piece[n:]) for n in range(1, len(piece)))
             if a in ids and b in ids
         )
-        rank = np.unique([r[1] for r in rows], return_inverse=True)[1]
-        pairs = np.array([r[0] for r in rows] or [-1], dtype=np.int64)
-        made = np.array([r[2] for r in rows] or [0], dtype=np.int64)
-        mark = np.zeros(int(made.max()) + 1, dtype=np.uint64)
-        mark[made] = np.array([r[3] for r in rows] or [0], dtype=np.uint64)
-        return symbol, pairs, rank.astype(np.int32) if rows else np.array([_NEVER], dtype=np.int32), made, mark
-
-    def split_many(self, words: list[str], keys: list[int]) -> list[list[int]]:
-        """split() of each word with its key; words of one length are merged together, a step of all agendas at a time."""
+        rank = np.unique([r[1] for r in rows], return_inverse=True)[1] if rows else []
+        mark = np.zeros(len(self._open[2]), dtype=np.uint64)
+        # An open hash table of the pairs; depth: the most steps that one is away from its place.
+        keys, ranks, made = np.full(_SLOTS, -1, dtype=np.int64), np.full(_SLOTS, _NEVER, dtype=np.int32), np.zeros(_SLOTS, dtype=np.int32)
+        depth = 0
+        for (pair, _, piece, m), r in zip(rows, rank):
+            at, d = _slot(pair), 0
+            while keys[at] >= 0:
+                at, d = (at + 1) % _SLOTS, d + 1
+            keys[at], ranks[at], made[at], mark[piece], depth = pair, r, piece, m, max(depth, d)
+        return symbol, keys, ranks, made, mark, depth
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or never) and piece of each pair of symbols."""
+        _, keys, ranks, made, _, depth = self._pairs
+        pair = a.astype(np.int64) << 32 | b
+        at = _slot(pair)
+        found = keys[at]
+        away = np.flatnonzero((found != pair) & (found >= 0) & (pair >= 0))
+        for _ in range(depth):
+            if not len(away):
+                break
+            at.flat[away] = (at.flat[away] + 1) % _SLOTS
+            now = keys[at.flat[away]]
+            away = away[(now != pair.flat[away]) & (now >= 0)]
+        good = keys[at] == pair
+        return np.where(good, ranks[at], _NEVER), made[at]
+
+    def key(self, word: str, variant: int) -> int:
+        """The dropout's key of a word: odd, from its characters, the seed and the variant."""
+        h = 0
+        for c in reversed(word):
+            h = (h * _STRIDE + ord(c) + 1) & _M
+        h ^= xxhash.xxh64_intdigest(str(variant), self.seed)
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _M
+        return h ^ h >> 32 | 1
+
+    def split_many(self, words: list[str], variant: int) -> list[list[int]]:
+        """split() of each word with its key(); words of about one length are merged together, a step of all agendas at a time."""
         symbol = self._pairs[0]
+        own = np.uint64(xxhash.xxh64_intdigest(str(variant), self.seed))
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(sizes, kind="stable")
         out: list[list[int] | None] = [None] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for length, at in by_length.items():
-            if 1 < length <= SHORT:
-                for c in range(0, len(at), 20_000):
-                    some = at[c : c + 20_000]
-                    codes = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                    start = symbol[codes].reshape(-1, length)
-                    # Characters without a piece become bytes, one word at a time.
-                    plain = np.flatnonzero((start >= 0).all(axis=1))
-                    which = np.array(some)[plain]
-                    key = np.array([keys[i] | 1 for i in which.tolist()], dtype=np.uint64)
-                    for rows, parts in self._merge(start[plain].astype(np.int64), key):
-                        for i, ids in zip(which[rows].tolist(), parts.tolist()):
-                            out[i] = ids
-        return [self.split(w, k) if ids is None else ids for w, k, ids in zip(words, keys, out)]
-
-    def _merge(self, sym: np.ndarray, key: np.ndarray):
-        """Yields row numbers and their final ids, rows with as many ids together."""
-        _, pairs, ranks, made, mark = self._pairs
+        at = 0
+        while at < len(order):
+            longest = -(-int(sizes[order[at]]) // 4) * 4
+            if longest > SHORT:
+                break
+            some = order[at : min(np.searchsorted(sizes[order], longest, side="right"), at + 20_000)]
+            at += len(some)
+            n = sizes[some]
+            codes = np.frombuffer("".join([words[i] for i in some.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            inside = np.arange(longest)[None, :] < n[:, None]
+            # Shorter words are filled up with a symbol that no pair has.
+            start = np.full(inside.shape, -2, dtype=np.int64)
+            start[inside] = symbol[codes]
+            key = np.zeros(inside.shape, dtype=np.uint64)
+            key[inside] = codes + np.uint64(1)
+            h = (key * _STRIDES[:longest]).sum(axis=1, dtype=np.uint64) ^ own
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = h ^ (h >> np.uint64(32)) | np.uint64(1)
+            # Characters without a piece become bytes, one word at a time.
+            plain = (start != -1).all(axis=1)
+            flat, ends = self._merge(start[plain], h[plain])
+            for i, x, y in zip(some[plain].tolist(), [0, *ends], ends):
+                out[i] = flat[x:y]
+        return [self.split(w, self.key(w, variant)) if ids is None else ids for w, ids in zip(words, out)]
+
+    def _merge(self, sym: np.ndarray, key: np.ndarray) -> tuple[list[int], list[int]]:
+        """The final ids of all rows, one after the other, and where each row's end.
+
+        Every round takes the best candidate of each row's agenda. A merged symbol stands at the place of its left part.
+        """
+        n, mark = sym.shape[1], self._pairs[4]
         below = np.uint64(min(int(self.dropout * 2**64), _M))
-
-        def look(a, b):
-            k = a << 32 | b
-            at = np.minimum(np.searchsorted(pairs, k), len(pairs) - 1)
-            good = pairs[at] == k
-            return np.where(good, ranks[at], _NEVER), made[at]
-
-        rows, n = np.arange(len(sym)), sym.shape[1]
-        merged = [(rows, sym, np.broadcast_to(np.arange(n), sym.shape).copy(), *look(sym[:, :-1], sym[:, 1:]))]
-        while merged:
-            # All rows of this length together; what they merge to is a column shorter.
-            rows, sym, place, rank, new = (np.concatenate(x) for x in zip(*merged)) if len(merged) > 1 else merged[0]
-            merged, n = [], sym.shape[1]
-            while len(rows):
-                if n == 1:
-                    yield rows, sym
-                    break
-                i = rank.argmin(axis=1)
-                r = np.arange(len(rows))
-                live = rank[r, i] != _NEVER
-                if not live.all():
-                    yield rows[~live], sym[~live]
-                    rows, sym, place, rank, new, i = (x[live] for x in (rows, sym, place, rank, new, i))
-                    continue
-                piece = new[r, i]
-                if self.dropout:
-                    skip = (mark[piece] + place[r, i].astype(np.uint64) * np.uint64(_STRIDE)) * key[rows] < below
-                    rank[r[skip], i[skip]] = _NEVER
-                else:
-                    skip = np.zeros(len(rows), dtype=bool)
-                m = np.flatnonzero(~skip)
-                if len(m):
-                    at = i[m][:, None]
-                    cols = np.arange(n - 1)[None, :]
-                    sym2 = np.take_along_axis(sym[m], cols + (cols > at), axis=1)
-                    np.put_along_axis(sym2, at, piece[m][:, None], axis=1)
-                    place2 = np.take_along_axis(place[m], cols + (cols > at), axis=1)
-                    cols = np.arange(n - 2)[None, :]
-                    rank2 = np.take_along_axis(rank[m], cols + (cols >= at), axis=1)
-                    new2 = np.take_along_axis(new[m], cols + (cols >= at), axis=1)
-                    q = np.arange(len(m))
-                    for side, ok in ((i[m] - 1, i[m] > 0), (i[m], i[m] < n - 2)):
-                        x, y = q[ok], side[ok]
-                        rank2[x, y], new2[x, y] = look(sym2[x, y], sym2[x, y + 1])
-                    merged.append((rows[m], sym2, place2, rank2, new2))
-                    rows, sym, place, rank, new = (x[skip] for x in (rows, sym, place, rank, new))
+        rank, new = np.full(sym.shape, _NEVER, dtype=np.int32), np.zeros(sym.shape, dtype=np.int32)
+        rank[:, :-1], new[:, :-1] = self._look(sym[:, :-1], sym[:, 1:])
+        after = np.broadcast_to(np.arange(1, n + 1, dtype=np.int32), sym.shape).copy()
+        before = np.broadcast_to(np.arange(-1, n - 1, dtype=np.int32), sym.shape).copy()
+        rows = np.arange(len(sym))
+        while len(rows):
+            some = rank[rows]
+            i = some.argmin(axis=1)
+            live = some[np.arange(len(rows)), i] != _NEVER
+            rows, i = rows[live], i[live]
+            piece = new[rows, i]
+            m = rows
+            if self.dropout:
+                skip = (mark[piece] + i.astype(np.uint64) * np.uint64(_STRIDE)) * key[rows] < below
+                rank[rows[skip], i[skip]] = _NEVER
+                m, i, piece = rows[~skip], i[~skip], piece[~skip]
+            j = after[m, i]
+            k = after[m, j]
+            sym[m, i], sym[m, j], rank[m, i], rank[m, j], after[m, i] = piece, -3, _NEVER, _NEVER, k
+            ok = k < n
+            x, y, z = m[ok], i[ok], k[ok]
+            before[x, z] = y
+            rank[x, y], new[x, y] = self._look(piece[ok], sym[x, z])
+            p = before[m, i]
+            ok = p >= 0
+            x, y = m[ok], p[ok]
+            rank[x, y], new[x, y] = self._look(sym[x, y], piece[ok])
+        alive = sym >= 0
+        return sym[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
 
     def encode_many(self, contents: list[bytes], names: list[str]) -> list[np.ndarray]:
-        """The ids of UTF-8 texts; names: of the documents, for their words' variants."""
-        seen, split, missing = self._seen, [], {}
+        """The ids of UTF-8 texts; names: of the documents, for their variants."""
+        seen, split, missing = self._seen, [], [set() for _ in range(self.variants)]
         for content, name in zip(contents, names):
             words = WORDS.findall(" " + content.decode("utf-8", "surrogateescape")) if content else []
-            if self.dropout and self.variants > 1:
-                base = np.uint64(xxhash.xxh64_intdigest(name, self.seed))
-                mixed = (np.arange(len(words), dtype=np.uint64) + base) * np.uint64(_STRIDE)
-                which = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(self.variants)).tolist()
-            else:
-                which = [0] * len(words)
-            split.append((words, which))
-            for word, v in zip(words, which):
-                if word not in seen[v]:
-                    missing[word, v] = None
-        keys = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogateescape"), (self.seed * 1_000_003 + v) & _M) for w, v in missing]
-        for (word, v), ids in zip(missing, self.split_many([w for w, _ in missing], keys)):
-            seen[v][word] = ids
-        out = [np.array(list(chain.from_iterable([seen[v][w] for w, v in zip(words, which)])), dtype=np.int32) for words, which in split]
+            v = xxhash.xxh64_intdigest(name, self.seed) % self.variants
+            split.append((v, words))
+            missing[v].update(words)
+        for v, words in enumerate(missing):
+            new = list(words - seen[v].keys())
+            seen[v].update(zip(new, self.split_many(new, v)))
+        out = [np.array(list(chain.from_iterable(map(seen[v].__getitem__, words))), dtype=np.int32) for v, words in split]
         for s in seen:
             if len(s) > REMEMBERED:
                 s.clear()
