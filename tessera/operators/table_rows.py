@@ -63,8 +63,8 @@ def starts_data(cells: Column) -> Column:
 
 
 def header_rows(table: Column) -> Column:
-    """How many rows are header: those before the separator, else those before the first data row of six [T4]."""
-    first = F.filter(F.transform(table["rows"], lambda r, i: F.when(starts_data(r), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    """How many rows are header: those before the separator, else those before the first data or group row of six [T4]."""
+    first = F.filter(F.transform(table["rows"], lambda r, i: F.when(starts_data(r) | is_group_row(r), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     guessed = F.least(F.coalesce(F.get(first, F.lit(0)), F.lit(1)), F.lit(6), F.size(table["rows"]))
     return F.when(table["separator"] > 0, table["separator"]).otherwise(F.greatest(guessed, F.lit(1)))
 
