@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,17 +63,18 @@ def docx_blocks(content: bytes) -> Iterator[dict]:
 def read_docx(files: DataFrame) -> DataFrame:
     """Blocks of the admitted word documents of read_files(); a file that cannot be read gives one row with the error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
+    schema = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split() for c in BLOCKS.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    rows = [{"path": path, "error": None, **b} for b in docx_blocks(content)]
+                    rows = [{"path": path, **b} for b in docx_blocks(content.as_py())]
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
                     rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
-                if rows:
-                    yield pd.DataFrame(rows).reindex(columns=[c.split()[0] for c in BLOCKS.split(", ")])
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.filter("admitted and kind = 'DOCX'").select("path", "content").mapInPandas(run, BLOCKS)
+    return files.filter("admitted and kind = 'DOCX'").select("path", "content").mapInArrow(run, BLOCKS)
 
 
 def cell_markdown(cells: DataFrame, *keys: str) -> DataFrame:
