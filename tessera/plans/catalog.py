@@ -1,8 +1,8 @@
 """All registered queries of the library itself."""
 
-from . import activity_queries, answer_queries, ingest_queries, ranking_queries, retrieval_queries
+from . import activity_queries, answer_queries, coverage_queries, ingest_queries, ranking_queries, retrieval_queries
 
-_PARTS = (activity_queries, retrieval_queries, ranking_queries, ingest_queries, answer_queries)
+_PARTS = (activity_queries, retrieval_queries, ranking_queries, ingest_queries, answer_queries, coverage_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "i15_search"
