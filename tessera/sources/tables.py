@@ -29,3 +29,9 @@ def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
 def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose keys are among those given [J5]."""
     return rows.join(keys.select(*on).distinct(), on, "left_semi")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few small files dealt over all threads before costly expressions; others as they are."""
+    threads = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(threads) if rows.rdd.getNumPartitions() < threads else rows
