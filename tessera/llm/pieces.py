@@ -27,7 +27,7 @@ from .common import whole
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 42
 #: Words that a worker remembers for each variant, of at most so many characters.
-REMEMBERED, SHORT = 100_000, 40
+REMEMBERED, SHORT = 80_000, 40
 SPACE = "▁"
 #: The character SPACE itself, which must not become a space: never part of a piece.
 LITERAL = "\0" + SPACE
@@ -46,7 +46,7 @@ def _slot(pair):
 
 
 #: Texts that are encoded together.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_500_000
 
 
 class Pieces:
@@ -209,7 +209,7 @@ class Pieces:
             longest = -(-int(sizes[order[at]]) // 4) * 4
             if longest > SHORT:
                 break
-            some = order[at : min(np.searchsorted(sizes[order], longest, side="right"), at + 20_000)]
+            some = order[at : min(np.searchsorted(sizes[order], longest, side="right"), at + 8_000)]
             at += len(some)
             n = sizes[some]
             codes = np.frombuffer("".join([words[i] for i in some.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -297,9 +297,10 @@ def load(path: str = MODEL, **options) -> Pieces:
         return Pieces(f.read(), **options)
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False) -> DataFrame:
     """id, content (the text as UTF-8), ids of each row. Null texts are empty and have no ids; the result depends
-    on id, text and options only; other columns are ignored."""
+    on id, text and options only; other columns are ignored. round_trip: adds decoded, as decode() does, in the
+    same pass, which spares a second Python worker beside each task's."""
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("content"), F.col(id_col).cast("string").alias("name"))
 
     def run(batches):
@@ -312,10 +313,14 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                     part = batch.slice(at, len(texts))
                     ids = pieces.encode_many(texts, [x or "" for x in part.column(2).to_pylist()])
                     ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, np.concatenate(ids))], names=["id", "content", "ids"])
+                    columns = {"id": part.column(0), "content": part.column(1), "ids": pa.ListArray.from_arrays(ends, np.concatenate(ids))}
+                    if round_trip:
+                        columns["decoded"] = pa.array([pieces.decode(x.tolist()) for x in ids], pa.binary())
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                     at, texts, size = i + 1, [], 0
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("content", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    more = [T.StructField("decoded", T.BinaryType())] if round_trip else []
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("content", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:

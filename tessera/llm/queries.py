@@ -52,8 +52,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.load()
-    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    found = pieces.encode(table(spark, sf_dir, "documents"), pieces.load(), round_trip=True)
     return found.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_ids"),

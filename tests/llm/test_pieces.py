@@ -70,3 +70,5 @@ def test_frames(spark):
     assert all(bytes(r.content) == bytes(r.decoded) for r in found)
     assert sorted(bytes(r.decoded).decode() for r in found) == sorted(t or "" for _, t, *_ in rows)
     assert pieces.encode(df.filter("false"), own).count() == 0
+    both = pieces.encode(df, own, round_trip=True)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, found))
