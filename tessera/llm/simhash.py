@@ -29,6 +29,9 @@ from .graph import components
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints that the trees are fitted on, at most; shards hold about SHARD_ROWS, TILE_ROWS at most.
 SAMPLE, SHARD_ROWS, TILE_ROWS = 16384, 512, 8192
+#: For similar texts without a contract: words of a shingle, Jaccard similarity, and bits that find it (at 0.8 a bit
+#: differs with a chance of 0.15).
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_BITS, TALLY = 5, 0.8, 16, 64
 _STEP = 32768
 
 
@@ -154,8 +157,23 @@ def local_links(homes: np.ndarray, visitors: np.ndarray, max_bits: int) -> tuple
     return every[linked], every[label[linked]]
 
 
-def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def local_pairs(fps: np.ndarray, max_bits: int, masks: list[int], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within max_bits whose first equal block is that of tree t."""
+    left, right = [fps[:0]], [fps[:0]]
+    for at in range(0, len(fps), 256):
+        a, b = np.nonzero(bits_apart(fps[at : at + 256, None], fps[None, at:]) <= max_bits)
+        a, b = fps[at:][a[a < b]], fps[at:][b[a < b]]
+        good = (a ^ b) & np.uint64(masks[t]) == 0
+        for m in masks[:t]:
+            good &= (a ^ b) & np.uint64(m) != 0
+        left.append(a[good])
+        right.append(b[good])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS, every: bool = False) -> DataFrame:
     """a, b: links that connect exactly the fingerprints that chains of pairs within max_bits connect.
+    every: all pairs within max_bits instead, each at least once; needs more blocks than max_bits.
 
     fps: fp, each once. A shard above tile_rows is cut into parts by hash and every two parts meet in a task of
     their own, so no task grows with a hot shard.
@@ -163,6 +181,8 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, sh
     spark = fps.sparkSession
     blocks = blocks or max_bits + 1
     r = max_bits // blocks
+    if every and r:
+        raise ValueError("every pair needs more blocks than max_bits")
     n = fps.count()
     sample = np.array([x.fp for x in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     shards = min(max(1, n // shard_rows), max(1, SAMPLE // 4))
@@ -201,7 +221,10 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, sh
 
     def confirm(table: pa.Table) -> pa.Table:
         fp, home = np.asarray(table.column("fp")).view(np.uint64), np.asarray(table.column("home"))
-        a, b = local_links(fp[home], fp[~home], max_bits)
+        if every:
+            a, b = local_pairs(fp, max_bits, blocks_of(blocks), table.column("tree")[0].as_py())
+        else:
+            a, b = local_links(fp[home], fp[~home], max_bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return placed.groupBy("tree", "shard", "tile_a", "tile_b").applyInArrow(confirm, "a long, b long")
@@ -235,12 +258,121 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with all their columns. Of a component without
     ids all rows stay; so do all rows that share the smallest id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    return _firsts(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def _firsts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "tid").distinct().alias("s")
     rows = docs.withColumn("_tid", F.xxhash64(whole(F.col(text_col)))).alias("d")
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")) & (F.col("d._tid") == F.col("s.tid"))
     return rows.join(stay, same, "left_semi").select(*docs.columns)
 
 
+def shingles(text: bytes, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
+    """The runs of so many words of a text, of all its words if it has fewer."""
+    words = text.lower().split()
+    k = min(shingle, len(words))
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, tid, fp of the set of shingles, n (its size) and tally (how many of its hashes have each remainder by TALLY)."""
+
+    def run(batches):
+        for batch in batches:
+            fps, sizes, tallies = [], [], []
+            for x in batch.column(2):
+                some = shingles(x.as_py(), shingle)
+                h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in some), dtype="<u8", count=len(some))
+                ones = np.zeros(64, dtype=np.int64)
+                for at in range(0, len(h), _STEP):
+                    ones += np.unpackbits(h[at : at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                fps.append(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+                sizes.append(len(h))
+                tallies.append(np.bincount((h % np.uint64(TALLY)).astype(np.int64), minlength=TALLY).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(tallies, pa.binary())],
+                names=["id", "tid", "fp", "n", "tally"],
+            )
+
+    text = whole(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), text.cast("binary").alias("content"))
+    more = [T.StructField("tid", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tally", T.BinaryType())]
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), *more]))
+
+
+def similar_duplicates(
+    docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, max_bits: int = SIMILAR_BITS, id_col: str = "doc_id", text_col: str = "text", **sizes
+) -> DataFrame:
+    """One row per row of docs: id, tid, component_id, as near_duplicates().
+
+    Texts link when the Jaccard similarity of their sets of shingles is at least `similarity` and the sets'
+    fingerprints differ in at most max_bits bits. The fingerprints propose all pairs; the sizes and tallies of the sets
+    rule out those that cannot be similar enough, and the shingles themselves confirm the others. Each text's pair with its
+    smallest partner goes first: pairs that are connected by then need no look.
+    """
+    rows = keep(_sketches(docs, shingle, id_col, text_col), "sketches")
+    texts = keep(rows.groupBy("tid").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("fp", "n", "tally")]), "texts")
+    side = lambda x: texts.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "n", "tally")])
+    fps = keep(texts.select("fp").distinct(), "classes")
+    # Copies of a fingerprint are a pair of their own.
+    pairs = link(fps, max_bits, max_bits + 1, every=True, **sizes).distinct().unionByName(fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("tid_a") < F.col("tid_b")))
+    near = near.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-6)
+
+    def possible(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, TALLY) for c in (4, 5))
+            # The sets differ in at least as many shingles as their tallies do.
+            good = np.abs(x - y).sum(axis=1) <= (x.sum(axis=1) + y.sum(axis=1)) * (1 - similarity) / (1 + similarity) + 1e-6
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["hi", "lo"])
+
+    near = near.select(F.greatest("tid_a", "tid_b").alias("hi"), F.least("tid_a", "tid_b").alias("lo"), "n_a", "n_b", "tally_a", "tally_b")
+    near = keep(near.mapInArrow(possible, "hi long, lo long"), "near-pairs")
+    content = docs.select(F.xxhash64(whole(F.col(text_col))).alias("tid"), whole(F.col(text_col)).cast("binary").alias("content")).dropDuplicates(["tid"])
+
+    def confirm(batches):
+        for batch in batches:
+            seen: dict = {}
+
+            def parts(tid, text):
+                if tid not in seen:
+                    if len(seen) > 64:
+                        seen.clear()
+                    seen[tid] = shingles(text, shingle)
+                return seen[tid]
+
+            hi, lo, x, y = (c.to_pylist() for c in batch.columns)
+            good = [jaccard(parts(h, s), parts(o, t)) >= similarity for h, o, s, t in zip(hi, lo, x, y)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        wide = some.join(content.select(F.col("tid").alias("hi"), F.col("content").alias("x")), "hi").join(content.select(F.col("tid").alias("lo"), F.col("content").alias("y")), "lo")
+        return keep(wide.select("hi", "lo", "x", "y").mapInArrow(confirm, "a long, b long"), "similar-pairs")
+
+    star = keep(near.groupBy("hi").agg(F.min("lo").alias("lo")), "first-pairs")
+    links = confirmed(star)
+    known = keep(components(links), "known")
+    rest = near.join(star, ["hi", "lo"], "left_anti")
+    for c in ("hi", "lo"):
+        rest = rest.join(known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    rest = rest.filter(F.coalesce("root_hi", "hi") != F.coalesce("root_lo", "lo")).select("hi", "lo")
+    stars = components(links.unionByName(confirmed(rest)))
+    linked = texts.join(stars, F.col("tid") == F.col("node"), "left").select("tid", "first", F.coalesce("root", "tid").alias("root"))
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(linked.join(smallest, "root").select("tid", "component_id"), "tid").select("id", "tid", "component_id")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """drop_near_duplicates() by the rule of similar_duplicates()."""
+    return _firsts(docs, similar_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
 def hex_fingerprint(fp) -> "F.Column":
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
