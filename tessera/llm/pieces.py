@@ -1,8 +1,8 @@
 """Encoding texts as SentencePiece BPE pieces with seeded merge-dropout, and decoding them.
 
-The agenda of a word holds its candidate merges by score, then from the left. A candidate that comes up is skipped
-if a hash of its piece and place, keyed by seed and variant, falls below the dropout rate. The variant
-depends on the document, so one word is split in up to `variants` ways over the corpus, the same ones in every run. Spaces become part of the pieces, all other characters that have no piece become bytes,
+The agenda of a word holds its candidate merges by score, then from the left. Every candidate that comes up is skipped with the
+dropout's chance, by a hash of seed, document, pass over the document, place of the word in it and number of the candidate in the
+agenda: the same in every run, and another draw at every occurrence. What a word and its skips lead to is remembered. Spaces become part of the pieces, all other characters that have no piece become bytes,
 so decoding gives back the text to the byte.
 """
 
@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, VARIANTS, SEED = 0.1, 4, 42
-#: Words that a worker remembers for each variant, of at most so many characters.
-REMEMBERED, SHORT = 80_000, 40
+DROPOUT, SEED = 0.1, 42
+#: Words (each with some skips) that a worker remembers, of at most so many characters.
+REMEMBERED, SHORT = 320_000, 40
 SPACE = "▁"
 #: The character SPACE itself, which must not become a space: never part of a piece.
 LITERAL = "\0" + SPACE
@@ -52,7 +53,8 @@ BATCH_BYTES = 2_500_000
 class Pieces:
     """The pieces of a model. It is sent to the workers as the bytes of its file and opened there."""
 
-    def __init__(self, model: bytes, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED):
+    def __init__(self, model: bytes, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED):
+        """variants: if given, a word is split in so many ways at most, one for each document."""
         self.model, self.dropout, self.variants, self.seed = model, dropout, variants, seed
 
     def __getstate__(self):
@@ -81,6 +83,50 @@ class Pieces:
     def _seen(self) -> list[dict]:
         return [{} for _ in range(self.variants)]
 
+    @cached_property
+    def _ways(self) -> "Ways":
+        return Ways(self)
+
+    @cached_property
+    def _gaps(self) -> np.ndarray:
+        """Bounds of the hash, ascending: as many candidates are taken before the next skip as bounds lie above it. A short
+        word has fewer candidates than there are bounds."""
+        return np.array([min(int((1 - self.dropout) ** g * 2**64), _M) for g in range(4 * SHORT, 0, -1)], dtype=np.uint64)
+
+    def gaps(self, h: np.ndarray) -> np.ndarray:
+        if not self.dropout:
+            return np.full(len(h), 4 * SHORT)
+        return len(self._gaps) - np.searchsorted(self._gaps, h, side="right")
+
+    def walk(self, word: str, skips: tuple[int, ...]) -> tuple[list[int], int]:
+        """The ids of a word whose agenda skips the candidates of these numbers, and how many candidates came up."""
+        ids, scores, _, of_byte, _ = self._open
+        parts = [SPACE if c == " " else LITERAL if c == SPACE else c for c in word]
+        never, n, left = math.inf, 0, set(skips)
+        rank = [scores.get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while rank:
+            best = min(rank)
+            if best == never:
+                break
+            i = rank.index(best)
+            n += 1
+            if n - 1 in left:
+                rank[i] = never
+                continue
+            parts[i] = piece = parts[i] + parts[i + 1]
+            del parts[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = scores.get(piece + parts[i + 1], never)
+            if i:
+                rank[i - 1] = scores.get(parts[i - 1] + piece, never)
+        out = []
+        for s in parts:
+            if s in ids:
+                out.append(ids[s])
+            else:
+                out += [of_byte[x] for x in (SPACE if s == LITERAL else s).encode("utf-8", "surrogateescape")]
+        return out, n
+
     def split(self, word: str, key: int) -> list[int]:
         """The ids of a word (spaces first), by agenda; key: of the dropout's hash.
 
@@ -198,7 +244,7 @@ class Pieces:
         return h ^ h >> 32 | 1
 
     def split_many(self, words: list[str], variant: int) -> list[list[int]]:
-        """split() of each word with its key(); words of about one length are merged together, a step of all agendas at a time."""
+        """split() of each word (of any length) with its key(); words of about one length are merged together, a step of all agendas at a time."""
         symbol = self._pairs[0]
         own = np.uint64(xxhash.xxh64_intdigest(str(variant), self.seed))
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -266,8 +312,10 @@ class Pieces:
         alive = sym >= 0
         return sym[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
 
-    def encode_many(self, contents: list[bytes], names: list[str]) -> list[np.ndarray]:
-        """The ids of UTF-8 texts; names: of the documents, for their variants."""
+    def encode_many(self, contents: list[bytes], names: list[str], turns: list[int] | None = None) -> list[np.ndarray]:
+        """The ids of UTF-8 texts; names: of the documents, turns: the passes over them, for their draws."""
+        if self.variants is None:
+            return self._ways.encode_many(contents, names, turns or [0] * len(names))
         seen, split, missing = self._seen, [], [set() for _ in range(self.variants)]
         for content, name in zip(contents, names):
             words = WORDS.findall(" " + content.decode("utf-8", "surrogateescape")) if content else []
@@ -283,14 +331,101 @@ class Pieces:
                 s.clear()
         return out
 
-    def encode(self, content: bytes, name: str = "") -> list[int]:
-        return self.encode_many([content], [name])[0].tolist()
+    def encode(self, content: bytes, name: str = "", turn: int = 0) -> list[int]:
+        return self.encode_many([content], [name], [turn])[0].tolist()
 
     def decode(self, ids) -> bytes:
         table = self._open[2]
         return b"".join([table[i] for i in ids])[1:]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Ways:
+    """The ways of words: a root for a word without skips, below it a way for each further skip, as they come up."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.plain = pieces, Pieces(pieces.model, 0.0, seed=pieces.seed)
+        self.plain.__dict__["_open"] = pieces._open
+        self.bytes = set(pieces._open[3])
+        self.clear()
+
+    def clear(self) -> None:
+        self.root: dict[str, int] = {}
+        self.below: dict[int, int] = {}
+        self.word, self.skips, self.ids = [], [], []
+        #: Number of the first candidate that may still be skipped, and how many there are from it on.
+        self.begin, self.left = [], []
+
+    def _add(self, word: str, skips: tuple[int, ...], ids: list[int], n: int) -> int:
+        begin = skips[-1] + 1 if skips else 0
+        self.word.append(word)
+        self.skips.append(skips)
+        self.ids.append(ids)
+        self.begin.append(begin)
+        self.left.append(n - begin)
+        return len(self.ids) - 1
+
+    def _skip(self, way: int, gap: int) -> int:
+        """The way that skips the candidate after so many more."""
+        at = self.below.get(way * 4 * SHORT + gap)
+        if at is None:
+            skips = (*self.skips[way], self.begin[way] + gap)
+            at = self.below[way * 4 * SHORT + gap] = self._add(self.word[way], skips, *self.pieces.walk(self.word[way], skips))
+        return at
+
+    def encode_many(self, contents: list[bytes], names: list[str], turns: list[int]) -> list[np.ndarray]:
+        split = [WORDS.findall(" " + c.decode("utf-8", "surrogateescape")) if c else [] for c in contents]
+        new = list({w for words in split for w in words} - self.root.keys())
+        short = [w for w in new if len(w) <= SHORT]
+        for w, ids in zip(short, self.plain.split_many(short, 0)):
+            # A piece is one symbol less for each merge; bytes are none.
+            self.root[w] = self._add(w, (), *((ids, len(w) - len(ids)) if self.bytes.isdisjoint(ids) else self.pieces.walk(w, ())))
+        for w in new:
+            if len(w) > SHORT:
+                self.root[w] = -1
+        sizes = np.array([len(x) for x in split], dtype=np.int64)
+        own = np.array([xxhash.xxh64_intdigest(f"{t}/{n}", self.pieces.seed) for n, t in zip(names, turns)], dtype=np.uint64)
+        ways = np.fromiter(map(self.root.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+        place = np.arange(len(ways)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        h = _mixed(np.repeat(own, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STRIDE))
+        long = np.flatnonzero(ways < 0)
+        keys = h[long]
+        at = np.flatnonzero(ways >= 0)
+        h = h[at]
+        while len(at):
+            gaps, left = self.pieces.gaps(h), np.array(self.left, dtype=np.int64)
+            on = gaps < left[ways[at]]
+            at, h, gaps = at[on], h[on], gaps[on]
+            ways[at] = list(map(self._skip, ways[at].tolist(), gaps.tolist()))
+            h = _mixed(h + np.uint64(_STRIDE))
+        found = [self.ids[w] if w >= 0 else None for w in ways.tolist()]
+        if len(long):
+            every = list(chain.from_iterable(split))
+            for i, key in zip(long.tolist(), keys.tolist()):
+                found[i] = self.pieces.split(every[i], key)
+        ends = np.cumsum(sizes).tolist()
+        out = [np.array(list(chain.from_iterable(found[a:b])), dtype=np.int32) for a, b in zip([0, *ends], ends)]
+        if len(self.ids) > REMEMBERED:
+            self.clear()
+        return out
+
+
+def _turns(rows: DataFrame) -> DataFrame:
+    """rows with turn: which of the rows alike in id and text it is, in the same order as before."""
+    keyed = rows.withColumn("key", F.xxhash64("content"))
+    if not keyed.groupBy("id", "key").count().filter("count > 1").limit(1).count():
+        return rows.withColumn("turn", F.lit(0))
+    placed = keyed.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33).cast("int"))
+    parts = rows.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] + 1
+    counted = placed.withColumn("turn", F.row_number().over(W.partitionBy("id", "key").orderBy("at")) - 1)
+    return counted.repartitionById(parts, F.least("part", F.lit(parts - 1))).sortWithinPartitions("at").select(*rows.columns, "turn")
+
+
 def load(path: str = MODEL, **options) -> Pieces:
     """The model of a file that the driver can read."""
     with open(path, "rb") as f:
@@ -299,9 +434,10 @@ def load(path: str = MODEL, **options) -> Pieces:
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False) -> DataFrame:
     """id, content (the text as UTF-8), ids of each row. Null texts are empty and have no ids; the result depends
-    on id, text and options only; other columns are ignored. round_trip: adds decoded, as decode() does, in the
+    on id, text, how often both come before, and options only; other columns are ignored. round_trip: adds decoded, as decode() does, in the
     same pass, which spares a second Python worker beside each task's."""
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("content"), F.col(id_col).cast("string").alias("name"))
+    schema, rows = rows.schema, _turns(rows)
 
     def run(batches):
         for batch in batches:
@@ -311,7 +447,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 size += len(texts[-1])
                 if size > BATCH_BYTES or i == batch.num_rows - 1:
                     part = batch.slice(at, len(texts))
-                    ids = pieces.encode_many(texts, [x or "" for x in part.column(2).to_pylist()])
+                    ids = pieces.encode_many(texts, [x or "" for x in part.column(2).to_pylist()], part.column(3).to_pylist())
                     ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                     columns = {"id": part.column(0), "content": part.column(1), "ids": pa.ListArray.from_arrays(ends, np.concatenate(ids))}
                     if round_trip:
@@ -320,7 +456,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                     at, texts, size = i + 1, [], 0
 
     more = [T.StructField("decoded", T.BinaryType())] if round_trip else []
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("content", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
+    return rows.mapInArrow(run, T.StructType([schema["id"], T.StructField("content", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:

@@ -1,4 +1,5 @@
 import pickle
+from collections import Counter
 
 import pytest
 import sentencepiece
@@ -72,3 +73,46 @@ def test_frames(spark):
     assert pieces.encode(df.filter("false"), own).count() == 0
     both = pieces.encode(df, own, round_trip=True)
     assert sorted(map(repr, both.collect())) == sorted(map(repr, found))
+
+
+def test_draws_do_not_run_out(spark):
+    own = pieces.load()
+    text = " ".join(["international"] * 400)
+    ways = lambda ids: {w for w in pieces_of(own, ids)}
+    one, other, again = own.encode(text.encode(), "1"), own.encode(text.encode(), "2"), own.encode(text.encode(), "1", 1)
+    assert len(ways(one)) > 1  # in one document
+    assert one != other and one != again and one == pieces.load().encode(text.encode(), "1")
+    many = set().union(*(ways(own.encode(text.encode(), str(i))) for i in range(40)))
+    assert len(many) > 16
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
+    found = pieces.encode(df.coalesce(1), own).collect()
+    assert [r.id for r in found] == [1, 1, None, 2] and len({tuple(r.ids) for r in found}) == 4
+
+
+def pieces_of(own, ids):
+    """The splits of the words of a text of equal words, as tuples."""
+    word, size, out = [], 0, []
+    for i in ids:
+        word.append(i)
+        size += len(own._open[2][i])
+        if size == len(" international"):
+            out.append(tuple(word))
+            word, size = [], 0
+    return out
+
+
+def test_rate_of_the_draws():
+    own = pieces.load(dropout=0.3)
+    found, want = Counter(), Counter()
+    for i in range(4000):
+        found[tuple(own.encode(b"the", str(i)))] += 1
+        want[tuple(own.split(" the", own.key(" the", i)))] += 1  # the agenda with draws by piece and place
+    assert found.keys() == want.keys() and all(abs(found[w] - want[w]) < 160 for w in want)
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5])
+def test_walk_is_the_agenda(dropout):
+    own, none = pieces.load(dropout=dropout), pieces.load(dropout=0.0)
+    for w in [" internationalisation", " onthtionhent,", "Lichkeitéé", "\0執", " x"]:
+        assert own.walk(w, ())[0] == none.split(w, 1)
+        assert len(own.walk(w, tuple(range(200)))[0]) >= len(none.split(w, 1))
