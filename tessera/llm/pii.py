@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
+#: Lengths of the account numbers by country. Codes that are not here may have any length, up to where letters and digits end.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(x.replace(" ", "|") for x in IBAN_LENGTHS.values())
+_IBAN = "|".join(rf"(?:{x.replace(' ', '|')})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}+" for n, x in IBAN_LENGTHS.items())
+_IBAN += rf"|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?+[A-Z0-9]){{11,30}}+"
+
 #: A match may begin where the last one ended or where no character of its first class stands before it;
 #: everywhere else a match would have begun further left.
 PATTERNS = {
@@ -19,7 +30,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Only its first four characters are used up, so that one that fails hides none that begins in it; group 1 is all of it.
+    "iban": rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without these characters has no match.
@@ -78,6 +90,8 @@ def spans_of(kind: str, text: Column) -> Column:
     pattern = F.lit(PATTERNS[kind])
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
+    if kind == "iban":
+        return _iban_spans(text, found, between)
     begin = F.struct(F.lit(0).alias("at"), F.expr("array()").cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -98,11 +112,35 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(none) if kind in NEEDS else spans
 
 
+def _iban_spans(text: Column, heads: Column, between: Column) -> Column:
+    """spans_of() for matches that are only the heads of what group 1 has; none begins inside a confirmed one."""
+    codes = F.regexp_extract_all(text, F.lit(PATTERNS["iban"]), F.lit(1))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("tail"), F.expr("array()").cast(f"array<{SPAN}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["code"])
+        before = F.concat(acc["tail"], F.substring(x["gap"], -NEAR, NEAR))
+        near = F.substring(before, -NEAR, NEAR).rlike(CONTEXT["iban"])
+        score = F.when(near, F.lit(round(min(1.0, SCORES["iban"] + NEAR_ADDS), 3))).otherwise(F.lit(SCORES["iban"]))
+        good = (start >= acc["free"]) & _confirmed("iban", x["code"])
+        span = F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
+        return F.struct(
+            (start + F.length(x["m"])).alias("at"),
+            F.when(good, end).otherwise(acc["free"]).alias("free"),
+            F.substring(F.concat(before, x["m"]), -NEAR, NEAR).alias("tail"),
+            F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
+        )
+
+    matches = F.arrays_zip(heads.alias("m"), codes.alias("code"), between.alias("gap"))
+    return F.aggregate(F.filter(matches, lambda x: x["m"].isNotNull()), begin, step)["out"]
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=tuple(PATTERNS)) -> DataFrame:
     """One row per document: id, text and for each kind a column spans_<kind>.
 
     Base kinds (email, ip, card, phone): leftmost non-overlapping matches of the pattern that their check
-    confirms. iban needs its mod-97 checksum; ssn has no checksum and counts only with a context word close
+    confirms. iban needs its country's length and its mod-97 checksum; ssn has no checksum and counts only with a context word close
     before it, after the last match of its kind. Null texts are empty and have no spans; other columns of docs are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("content"))

@@ -170,3 +170,18 @@ def test_pii(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
     marked = pii.redact(pii.find_pii(rows.filter("doc_id = 3")), "email", "<e>").first().content
     assert marked == "é😀 <e>, @b.c a@ <e> z@1.2".replace("<e> z@1.2", "x@y <e>")
+
+
+def test_iban_before_capitals_and_digits(spark):
+    cases = {
+        "IBAN DE89370400440532013000 The": ["iban:5:27"],
+        "DE89 3704 0044 0532 0130 00 Please pay": ["iban:0:27"],
+        "GB82 WEST 1234 5698 7654 32 10 days": ["iban:0:27"],
+        "XY12 DE89 3704 0044 0532 0130 00 AND GB82 WEST 1234 5698 7654 32 X": ["iban:5:32", "iban:37:64"],
+        "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32": ["iban:0:27", "iban:28:55"],
+        "DE88 3704 0044 0532 0130 00 The, DE89 3704 0044 0532 0130 001 xDE89370400440532013000": [],
+        "AB12 " * 20000: [],
+    }
+    rows = docs(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(cases)])
+    found = {r.id: r.spans for r in pii.find_pii(rows).select("id", pii.listed("iban").alias("spans")).collect()}
+    assert [found[i] for i in range(len(cases))] == list(cases.values())
