@@ -31,7 +31,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # Only its first four characters are used up, so that one that fails hides none that begins in it; group 1 is all of it.
-    "iban": rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without these characters has no match.
@@ -91,7 +91,8 @@ def spans_of(kind: str, text: Column) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
     if kind == "iban":
-        return _iban_spans(text, found, between)
+        none = F.expr("array()").cast(f"array<{SPAN}>")
+        return F.when(text.rlike("[A-Z]{2}[0-9]{2}"), _iban_spans(text, found, between)).otherwise(none)
     begin = F.struct(F.lit(0).alias("at"), F.expr("array()").cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
