@@ -1,14 +1,15 @@
 """Removing bytes that repeated strings cover, by a hash-compared suffix sort.
 
 Two equal strings of `window` bytes have equal anchors (anchors.py), so only suffixes that begin at anchors, and
-the reversed text before them, need sorting, and only among anchors of equal hash. Anchors that occur once drop out; if all anchors of
-a hash, or several of them, have equal segments, those segments repeat as a whole. The rest, one for each
-different segment, is sorted in groups of equal hash: a merge sort whose comparisons find the common extension of
+the reversed text before them, need sorting, and only among anchors of equal hash. Anchors that occur once drop out. Equal
+segments of an anchor, by their hash, are a class; one segment of a class, or two if it stands more than once, are
+sorted in groups of equal anchors: a merge sort whose comparisons find the common extension of
 two suffixes by binary search on prefix polynomial hashes, and verify it on the bytes. The
 common extensions of sorted neighbours give those of all pairs; an anchor's repeated bytes reach as far left and
-right as any partner with which both extensions together make up a window.
+right as any partner with which both extensions together make up a window. What is found of a class holds for all
+that belong to it.
 
-Groups with very many different segments are not gathered in a task: their windows are combined by a 128-bit hash.
+A group with very many classes is not gathered in a task: its windows are grouped by their bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import keep
 from .passages import merged
 
 WINDOW, GRAM = 400, 200
-#: Different segments of a group that one task sorts at most, and segments that a task's share has about.
+#: Segments of a group that one task sorts at most, and segments that a task's share has about.
 LARGEST, SHARE = 4096, 4000
 
 _rng = np.random.default_rng(400)
@@ -35,14 +36,14 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.cumprod(np.full(1 << 12, 0xD1342543DE82EF95, dtype=np.uint64))
 
 
-def byte_anchors(window: int, k: int):
+def byte_anchors(window: int, k: int, seed: int = 0):
     def anchors_of(content: bytes):
         if len(content) < window:
             return
         units = _BYTE[np.frombuffer(content, dtype=np.uint8)]
         for s, n, at, h in anchor_ranges(units, window, k):
             ends = (s + n - 1 + window).tolist()
-            seg = np.fromiter((xxhash.xxh3_64_intdigest(content[a:b]) for a, b in zip(s.tolist(), ends)), dtype=np.uint64, count=len(s))
+            seg = np.fromiter((xxhash.xxh3_64_intdigest(content[a:b], seed) for a, b in zip(s.tolist(), ends)), dtype=np.uint64, count=len(s))
             yield h, seg, s, n, at
 
     return anchors_of
@@ -103,84 +104,86 @@ def repeated(segments: list[bytes], at: list[int], window: int) -> list[tuple[in
     return [(a - int(x), a + int(y)) if x >= 0 else None for a, x, y in zip(at, back, ahead)]
 
 
+def class_ranges(h: list[int], seg: list[int], at: list[int], data: list[bytes], window: int) -> list[tuple[int, int, int, int]]:
+    """h, seg, first and last + 1 repeated byte of each class of segments (from the segment's start), of whole groups of equal h.
+
+    A class that stands more than once has two members here; that they are equal is verified on the bytes.
+    """
+    groups: dict[int, list[int]] = {}
+    for i, x in enumerate(h):
+        groups.setdefault(x, []).append(i)
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for x, group in groups.items():
+        first: dict[int, int] = {}
+        for i in group:
+            if data[first.setdefault(seg[i], i)] != data[i]:
+                raise ValueError("two different strings have one hash: run again with another seed")
+        for i, r in zip(group, repeated([data[i] for i in group], [at[i] for i in group], window)):
+            if r is not None:
+                a, e = found.get((x, seg[i]), r)
+                found[x, seg[i]] = (min(a, r[0]), max(e, r[1]))
+    return [(*k, *r) for k, r in found.items()]
+
+
 def repeated_ranges(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, largest: int = LARGEST, share: int = SHARE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, largest: int = LARGEST, share: int = SHARE, seed: int = 0
 ) -> DataFrame:
     """id, tid, ranges: the byte ranges (s inclusive, e exclusive) to remove, for texts that have any."""
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType
-    anchors = keep(find_anchors(rows, byte_anchors(window, gram)), "anchors")
-    # Kept: both sides of the join are then dealt anew, and Spark can split the anchors of a very common string.
-    groups = keep(
-        anchors.groupBy("h")
-        .agg(F.count("*").alias("c"), F.min("seg").alias("seg_a"), F.max("seg").alias("seg_b"))
-        .filter("c > 1")
-        .select("h", (F.col("seg_a") == F.col("seg_b")).alias("alike")),
-        "groups",
-    )
+    anchors = keep(find_anchors(rows, byte_anchors(window, gram, seed)), "anchors")
+    # What a join needs is kept just as it joins: Spark then knows its size, and either sends it to all tasks or deals both sides
+    # anew and splits the rows of a very common string.
+    groups = keep(anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "groups")
     found = keep(anchors.join(groups, "h"), "found")
-    whole_span = F.struct("s", (F.col("s") + F.col("n") - 1 + window).alias("e"))
-    mixed = found.filter("not alike")
-    segments = keep(mixed.groupBy("h", "seg").agg(F.count("*").alias("c"), F.min(F.struct("id", "tid", "s", "n", "at")).alias("r")), "segments")
-    twice = mixed.join(segments.filter("c > 1").select("h", "seg"), ["h", "seg"], "left_semi")
-    sure = found.filter("alike").drop("alike").unionByName(twice.drop("alike").select("id", "tid", "h", "seg", "s", "n", "at"), allowMissingColumns=True)
-    sure = sure.select("id", "tid", whole_span.alias("span"))
-
-    sizes = segments.groupBy("h").agg(F.count("*").alias("of"))
-    open_segments = segments.join(sizes, "h").select("r.id", "r.tid", F.struct("h", "c", "of", "r.s", "r.n", "r.at").alias("x"))
-    wanted = per_text(open_segments, F.collect_list("x").alias("xs"))
-    fields = [("h", T.LongType()), ("c", T.LongType()), ("of", T.LongType()), ("id", kind), ("tid", T.LongType()), ("s", T.IntegerType()), ("at", T.IntegerType()), ("data", T.BinaryType())]
+    member = F.struct("id", "tid", "s", "n", "at")
+    segments = keep(found.groupBy("h", "seg").agg(F.count("*").alias("c"), F.min(member).alias("r"), F.max(member).alias("r2")), "segments")
+    sizes = segments.groupBy("h").agg(F.sum(F.when(F.col("c") > 1, 2).otherwise(1)).alias("of"))
+    big = keep(sizes.filter(F.col("of") > largest), "big")
+    one, total = big.limit(1).count() > 0, segments.agg(F.sum(F.when(F.col("c") > 1, 2).otherwise(1))).first()[0] or 0
+    shares = max(1, -(-total // share))
+
+    texts = packed(rows)
+    if rows.groupBy("id", "tid").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["id", "tid"])
+    fields = [("h", T.LongType()), ("seg", T.LongType()), ("c", T.LongType()), ("at", T.IntegerType()), ("data", T.BinaryType())]
 
     def cut(batches):
         for batch in batches:
-            base = batch.select([0, 1])
-            for i, (z, xs) in enumerate(zip(batch.column(2), batch.column(3))):
+            for z, xs in zip(batch.column(2), batch.column(3)):
                 content, xs = unpack(z.as_py()), xs.as_py()
-                own = base.take(pa.array(np.full(len(xs), i, dtype=np.int64)))
-                one = lambda f, t: pa.array([x[f] for x in xs], t)  # noqa: B023,E731
+                column = lambda f, t: pa.array([x[f] for x in xs], t)  # noqa: B023,E731
                 data = pa.array([content[x["s"] : x["s"] + x["n"] - 1 + window] for x in xs], pa.binary())
                 at = pa.array([x["at"] - x["s"] for x in xs], pa.int32())
-                yield pa.RecordBatch.from_arrays([one("h", pa.int64()), one("c", pa.int64()), one("of", pa.int64()), own.column(0), own.column(1), one("s", pa.int32()), at, data], names=[n for n, _ in fields])
+                yield pa.RecordBatch.from_arrays([column("h", pa.int64()), column("seg", pa.int64()), column("c", pa.int64()), at, data], names=[n for n, _ in fields])
 
-    cuts = keep(with_texts(packed(rows), wanted).mapInArrow(cut, T.StructType([T.StructField(n, t) for n, t in fields])), "cuts")
+    def cuts(members: DataFrame) -> DataFrame:
+        """The bytes of h, seg, c and the member r."""
+        wanted = per_text(members.select("r.id", "r.tid", F.struct("h", "seg", "c", "r.s", "r.n", "r.at").alias("x")), F.collect_list("x").alias("xs"))
+        return with_texts(texts, wanted).mapInArrow(cut, T.StructType([T.StructField(n, t) for n, t in fields]))
 
     def solve(table: pa.Table) -> pa.Table:
-        got = {n: table.column(n).to_pylist() for n in ("h", "c", "s", "at", "data")}
-        by_h: dict[int, list[int]] = {}
-        for i, h in enumerate(got["h"]):
-            by_h.setdefault(h, []).append(i)
-        rows_at, s, e = [], [], []
-        for group in by_h.values():
-            for i, r in zip(group, repeated([got["data"][i] for i in group], [got["at"][i] for i in group], window)):
-                if r is not None:
-                    rows_at.append(i)
-                    s.append(got["s"][i] + r[0])
-                    e.append(got["s"][i] + r[1])
-        own = table.select(["id", "tid"]).take(pa.array(rows_at, pa.int64()))
-        return pa.table({"id": own.column(0), "tid": own.column(1), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
-
-    span_fields = T.StructType([T.StructField("id", kind), T.StructField("tid", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
-    small = cuts.filter(F.col("of") <= largest)
-    shares = max(1, -(-small.count() // share))
-    sorted_out = small.withColumn("share", F.pmod(F.xxhash64("h"), F.lit(shares))).groupBy("share").applyInArrow(solve, span_fields)
+        out = class_ranges(*[table.column(n).to_pylist() for n in ("h", "seg", "at", "data")], window)
+        return pa.table({n: pa.array(x, t) for (n, t), x in zip((("h", pa.int64()), ("seg", pa.int64()), ("a", pa.int32()), ("e", pa.int32())), zip(*out) if out else [[]] * 4)})
+
+    small = segments.join(big.select("h"), "h", "left_anti") if one else segments
+    pairs = small.select("h", "seg", "c", F.explode(F.when(F.col("c") > 1, F.array("r", "r2")).otherwise(F.array("r"))).alias("r"))
+    ranges = cuts(pairs).withColumn("share", F.pmod(F.xxhash64("h"), F.lit(shares))).groupBy("share").applyInArrow(solve, "h long, seg long, a int, e int")
 
     def split(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column(7)[i].as_py()
+                data = batch.column(4)[i].as_py()
                 n = len(data) - window + 1
-                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[j : j + window]) for j in range(n)), dtype="<i8").reshape(-1, 2)
-                own = batch.select([3, 4]).take(pa.array(np.full(n, i, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), own.column(0), own.column(1), pa.array((batch.column(5)[i].as_py() + np.arange(n)).astype(np.int32))], names=["w1", "w2", "id", "tid", "s"])
-
-    spans = sorted_out
-    large = cuts.filter(F.col("of") > largest)
-    if large.limit(1).count():
-        schema = T.StructType([T.StructField(n, t) for n, t in (("w1", T.LongType()), ("w2", T.LongType()), ("id", kind), ("tid", T.LongType()), ("s", T.IntegerType()))])
-        windows = keep(large.mapInArrow(split, schema), "windows")
-        again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        spans = spans.unionByName(windows.join(again, ["w1", "w2"], "left_semi").select("id", "tid", "s", (F.col("s") + window).alias("e")))
-    spans = spans.select("id", "tid", F.struct("s", "e").alias("span")).unionByName(sure)
+                own = batch.select([0, 1, 2]).take(pa.array(np.full(n, i, dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.arange(n, dtype=np.int32)), pa.array([data[j : j + window] for j in range(n)], pa.binary())], names=["h", "seg", "c", "a", "w"])
+
+    if one:
+        windows = keep(cuts(segments.join(big.select("h"), "h", "left_semi").select("h", "seg", "c", "r")).mapInArrow(split, "h long, seg long, c long, a int, w binary"), "windows")
+        again = keep(windows.groupBy("w").agg(F.sum("c").alias("n")).filter("n > 1").select("w"), "again")
+        ranges = ranges.unionByName(windows.join(again, "w").select("h", "seg", "a", (F.col("a") + window).alias("e")))
+    ranges = keep(ranges, "ranges")
+    spans = found.join(ranges, ["h", "seg"]).select("id", "tid", F.struct((F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("e")).alias("e")).alias("span"))
     return per_text(spans, F.collect_set("span").alias("ranges"))
 
 
