@@ -27,7 +27,7 @@ from .common import whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
-#: Words (each with some skips) that a worker remembers, of at most so many characters.
+#: Words that a worker remembers, of at most so many characters.
 REMEMBERED, SHORT = 320_000, 40
 SPACE = "▁"
 #: The character SPACE itself, which must not become a space: never part of a piece.
@@ -50,6 +50,18 @@ def _slot(pair):
 BATCH_BYTES = 2_500_000
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they come up; fresh: those that have come up since it was emptied."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Pieces:
     """The pieces of a model. It is sent to the workers as the bytes of its file and opened there."""
 
@@ -84,8 +96,10 @@ class Pieces:
         return [{} for _ in range(self.variants)]
 
     @cached_property
-    def _ways(self) -> "Ways":
-        return Ways(self)
+    def _roots(self) -> dict:
+        """What is remembered of words: number of each word; where its ids without skips are, and how many candidates come up
+        without skips, -1 for words that are not merged together with others."""
+        return {"number": Numbers(), "ids": np.zeros(0, np.int32), "begin": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "left": np.zeros(0, np.int64)}
 
     @cached_property
     def _gaps(self) -> np.ndarray:
@@ -243,42 +257,49 @@ class Pieces:
         h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _M
         return h ^ h >> 32 | 1
 
-    def split_many(self, words: list[str], variant: int) -> list[list[int]]:
-        """split() of each word (of any length) with its key(); words of about one length are merged together, a step of all agendas at a time."""
+    def _alike(self, words: list[str]):
+        """Yields, for words of about one length: their numbers, how many symbols they have, whether all characters are pieces, and
+        their symbols and character codes (+1) as rows, shorter ones filled up with a symbol that no pair has. Longer words are left out."""
         symbol = self._pairs[0]
-        own = np.uint64(xxhash.xxh64_intdigest(str(variant), self.seed))
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(sizes, kind="stable")
-        out: list[list[int] | None] = [None] * len(words)
+        sizes = sizes[order]
         at = 0
         while at < len(order):
-            longest = -(-int(sizes[order[at]]) // 4) * 4
+            longest = int(sizes[at]) + (int(sizes[at]) > 12) * (-int(sizes[at]) % 4)
             if longest > SHORT:
                 break
-            some = order[at : min(np.searchsorted(sizes[order], longest, side="right"), at + 8_000)]
+            some = order[at : min(np.searchsorted(sizes, longest, side="right"), at + 8_000)]
+            n = sizes[at : at + len(some)]
             at += len(some)
-            n = sizes[some]
             codes = np.frombuffer("".join([words[i] for i in some.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             inside = np.arange(longest)[None, :] < n[:, None]
-            # Shorter words are filled up with a symbol that no pair has.
             start = np.full(inside.shape, -2, dtype=np.int64)
             start[inside] = symbol[codes]
+            # Characters without a piece become bytes, one word at a time.
+            yield some, inside, (start != -1).all(axis=1), start, codes
+
+    def split_many(self, words: list[str], variant: int) -> list[list[int]]:
+        """split() of each word (of any length) with its key(); words of about one length are merged together, a step of all agendas at a time."""
+        own = np.uint64(xxhash.xxh64_intdigest(str(variant), self.seed))
+        out: list[list[int] | None] = [None] * len(words)
+        for some, inside, plain, start, codes in self._alike(words):
             key = np.zeros(inside.shape, dtype=np.uint64)
             key[inside] = codes + np.uint64(1)
-            h = (key * _STRIDES[:longest]).sum(axis=1, dtype=np.uint64) ^ own
+            h = (key * _STRIDES[: inside.shape[1]]).sum(axis=1, dtype=np.uint64) ^ own
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             h = h ^ (h >> np.uint64(32)) | np.uint64(1)
-            # Characters without a piece become bytes, one word at a time.
-            plain = (start != -1).all(axis=1)
-            flat, ends = self._merge(start[plain], h[plain])
+            flat, ends = self._merge(start[plain], key=h[plain] if self.dropout else None)
+            flat, ends = flat.tolist(), ends.tolist()
             for i, x, y in zip(some[plain].tolist(), [0, *ends], ends):
                 out[i] = flat[x:y]
         return [self.split(w, self.key(w, variant)) if ids is None else ids for w, ids in zip(words, out)]
 
-    def _merge(self, sym: np.ndarray, key: np.ndarray) -> tuple[list[int], list[int]]:
+    def _merge(self, sym: np.ndarray, key: np.ndarray | None = None, draws: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The final ids of all rows, one after the other, and where each row's end.
 
-        Every round takes the best candidate of each row's agenda. A merged symbol stands at the place of its left part.
+        Every round takes the best candidate of each row's agenda. It is skipped by its piece, place and the row's key, or if draws, the
+        row's hash, says so: gaps() of it are taken, one is skipped, and the hash goes on. A merged symbol stands at the place of its left part.
         """
         n, mark = sym.shape[1], self._pairs[4]
         below = np.uint64(min(int(self.dropout * 2**64), _M))
@@ -286,36 +307,117 @@ class Pieces:
         rank[:, :-1], new[:, :-1] = self._look(sym[:, :-1], sym[:, 1:])
         after = np.broadcast_to(np.arange(1, n + 1, dtype=np.int32), sym.shape).copy()
         before = np.broadcast_to(np.arange(-1, n - 1, dtype=np.int32), sym.shape).copy()
-        rows = np.arange(len(sym))
+        rows, step = np.arange(len(sym)), 0
+        if draws is not None:
+            draws, due = draws.copy(), self.gaps(draws)
+        # The arrays flat: a place is row * n + column.
+        s, r, w, f, b = (x.reshape(-1) for x in (sym, rank, new, after, before))
         while len(rows):
-            some = rank[rows]
-            i = some.argmin(axis=1)
-            live = some[np.arange(len(rows)), i] != _NEVER
-            rows, i = rows[live], i[live]
-            piece = new[rows, i]
-            m = rows
-            if self.dropout:
+            i = rank[rows].argmin(axis=1)
+            at = rows * n + i
+            live = r[at] != _NEVER
+            if not live.all():
+                rows, i, at = rows[live], i[live], at[live]
+            m, piece = rows, w[at]
+            if key is not None:
                 skip = (mark[piece] + i.astype(np.uint64) * np.uint64(_STRIDE)) * key[rows] < below
-                rank[rows[skip], i[skip]] = _NEVER
-                m, i, piece = rows[~skip], i[~skip], piece[~skip]
-            j = after[m, i]
-            k = after[m, j]
-            sym[m, i], sym[m, j], rank[m, i], rank[m, j], after[m, i] = piece, -3, _NEVER, _NEVER, k
-            ok = k < n
-            x, y, z = m[ok], i[ok], k[ok]
-            before[x, z] = y
-            rank[x, y], new[x, y] = self._look(piece[ok], sym[x, z])
-            p = before[m, i]
-            ok = p >= 0
-            x, y = m[ok], p[ok]
-            rank[x, y], new[x, y] = self._look(sym[x, y], piece[ok])
+            elif draws is not None:
+                skip = due[rows] == step
+                again = rows[skip]
+                draws[again] = _mixed(draws[again] + np.uint64(_STRIDE))
+                due[again] = step + 1 + self.gaps(draws[again])
+            if key is not None or draws is not None:
+                r[at[skip]] = _NEVER
+                m, i, at, piece = m[~skip], i[~skip], at[~skip], piece[~skip]
+            step += 1
+            base = at - i
+            right = base + f[at]
+            k = f[right]
+            s[at], s[right], r[at], r[right], f[at] = piece, -3, _NEVER, _NEVER, k
+            ok = np.flatnonzero(k < n)
+            x, z = at[ok], base[ok] + k[ok]
+            b[z] = i[ok]
+            p = b[at]
+            ok2 = np.flatnonzero(p >= 0)
+            y = base[ok2] + p[ok2]
+            # Both new neighbours of each merged symbol in one look.
+            places = np.concatenate([x, y])
+            r[places], w[places] = self._look(np.concatenate([piece[ok], s[y]]), np.concatenate([s[z], piece[ok2]]))
         alive = sym >= 0
-        return sym[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+        return sym[alive].astype(np.int32), np.cumsum(alive.sum(axis=1))
+
+    def _learn(self) -> None:
+        """Remembers the words that came up."""
+        found = self._roots
+        words, found["number"].fresh = found["number"].fresh, []
+        ids, begin, size, left = [found["ids"]], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.full(len(words), -1)
+        at = len(found["ids"])
+        for some, inside, plain, start, _ in self._alike(words):
+            flat, ends = Pieces._merge(self, start[plain])
+            some = some[plain]
+            begin[some], size[some] = at + np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+            # A piece is one symbol less for each merge.
+            left[some] = inside[plain].sum(axis=1) - size[some]
+            ids.append(flat)
+            at += len(flat)
+        for i in np.flatnonzero(left < 0).tolist():
+            if len(words[i]) <= SHORT:
+                flat, n = self.walk(words[i], ())
+                if not n:  # no candidate, nothing to skip
+                    begin[i], size[i], left[i] = at, len(flat), 0
+                    ids.append(np.array(flat, dtype=np.int32))
+                    at += len(flat)
+        for k, x in (("begin", begin), ("size", size), ("left", left)):
+            found[k] = np.concatenate([found[k], x])
+        found["ids"] = np.concatenate(ids)
+
+    def drawn(self, word: str, h: int) -> list[int]:
+        """The ids of one word by the draws of its hash, as _merge() makes them for many."""
+        if len(word) > SHORT:
+            return self.split(word, h)
+        skips, h = (), np.array([h], dtype=np.uint64)
+        while True:
+            ids, n = self.walk(word, skips)
+            at = (skips[-1] + 1 if skips else 0) + int(self.gaps(h)[0])
+            if at >= n:
+                return ids
+            skips, h = (*skips, at), _mixed(h + np.uint64(_STRIDE))
+
+    def _encode(self, contents: list[bytes], names: list[str], turns: list[int]) -> list[np.ndarray]:
+        split = [WORDS.findall(" " + c.decode("utf-8", "surrogateescape")) if c else [] for c in contents]
+        every = list(chain.from_iterable(split))
+        found = self._roots
+        words = np.fromiter(map(found["number"].__getitem__, every), dtype=np.int64, count=len(every))
+        self._learn()
+        sizes = np.array([len(x) for x in split], dtype=np.int64)
+        own = np.array([xxhash.xxh64_intdigest(f"{t}/{n}", self.seed) for n, t in zip(names, turns)], dtype=np.uint64)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        h = _mixed(np.repeat(own, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STRIDE))
+        begin, size, left = found["begin"][words], found["size"][words], found["left"][words]
+        ids, at = [found["ids"]], len(found["ids"])
+        # Only words of which some candidate is skipped need an agenda of their own.
+        apart = np.flatnonzero(self.gaps(h) < left)
+        for some, _, _, start, _ in self._alike([every[i] for i in apart.tolist()]):
+            some = apart[some]
+            flat, ends = self._merge(start, draws=h[some])
+            begin[some], size[some] = at + np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+            ids.append(flat)
+            at += len(flat)
+        for i in np.flatnonzero(left < 0).tolist():
+            flat = self.drawn(every[i], int(h[i]))
+            begin[i], size[i] = at, len(flat)
+            ids.append(np.array(flat, dtype=np.int32))
+            at += len(flat)
+        ids, done = np.concatenate(ids), np.cumsum(size)
+        out = ids[np.repeat(begin - (done - size), size) + np.arange(int(size.sum()))]
+        if len(found["size"]) > REMEMBERED:
+            del self.__dict__["_roots"]
+        return np.split(out, np.concatenate([[0], done])[np.cumsum(sizes)[:-1]]) if len(contents) else []
 
     def encode_many(self, contents: list[bytes], names: list[str], turns: list[int] | None = None) -> list[np.ndarray]:
         """The ids of UTF-8 texts; names: of the documents, turns: the passes over them, for their draws."""
         if self.variants is None:
-            return self._ways.encode_many(contents, names, turns or [0] * len(names))
+            return self._encode(contents, names, turns or [0] * len(names))
         seen, split, missing = self._seen, [], [set() for _ in range(self.variants)]
         for content, name in zip(contents, names):
             words = WORDS.findall(" " + content.decode("utf-8", "surrogateescape")) if content else []
@@ -345,76 +447,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Ways:
-    """The ways of words: a root for a word without skips, below it a way for each further skip, as they come up."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.plain = pieces, Pieces(pieces.model, 0.0, seed=pieces.seed)
-        self.plain.__dict__["_open"] = pieces._open
-        self.bytes = set(pieces._open[3])
-        self.clear()
-
-    def clear(self) -> None:
-        self.root: dict[str, int] = {}
-        self.below: dict[int, int] = {}
-        self.word, self.skips, self.ids = [], [], []
-        #: Number of the first candidate that may still be skipped, and how many there are from it on.
-        self.begin, self.left = [], []
-
-    def _add(self, word: str, skips: tuple[int, ...], ids: list[int], n: int) -> int:
-        begin = skips[-1] + 1 if skips else 0
-        self.word.append(word)
-        self.skips.append(skips)
-        self.ids.append(ids)
-        self.begin.append(begin)
-        self.left.append(n - begin)
-        return len(self.ids) - 1
-
-    def _skip(self, way: int, gap: int) -> int:
-        """The way that skips the candidate after so many more."""
-        at = self.below.get(way * 4 * SHORT + gap)
-        if at is None:
-            skips = (*self.skips[way], self.begin[way] + gap)
-            at = self.below[way * 4 * SHORT + gap] = self._add(self.word[way], skips, *self.pieces.walk(self.word[way], skips))
-        return at
-
-    def encode_many(self, contents: list[bytes], names: list[str], turns: list[int]) -> list[np.ndarray]:
-        split = [WORDS.findall(" " + c.decode("utf-8", "surrogateescape")) if c else [] for c in contents]
-        new = list({w for words in split for w in words} - self.root.keys())
-        short = [w for w in new if len(w) <= SHORT]
-        for w, ids in zip(short, self.plain.split_many(short, 0)):
-            # A piece is one symbol less for each merge; bytes are none.
-            self.root[w] = self._add(w, (), *((ids, len(w) - len(ids)) if self.bytes.isdisjoint(ids) else self.pieces.walk(w, ())))
-        for w in new:
-            if len(w) > SHORT:
-                self.root[w] = -1
-        sizes = np.array([len(x) for x in split], dtype=np.int64)
-        own = np.array([xxhash.xxh64_intdigest(f"{t}/{n}", self.pieces.seed) for n, t in zip(names, turns)], dtype=np.uint64)
-        ways = np.fromiter(map(self.root.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
-        place = np.arange(len(ways)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        h = _mixed(np.repeat(own, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STRIDE))
-        long = np.flatnonzero(ways < 0)
-        keys = h[long]
-        at = np.flatnonzero(ways >= 0)
-        h = h[at]
-        while len(at):
-            gaps, left = self.pieces.gaps(h), np.array(self.left, dtype=np.int64)
-            on = gaps < left[ways[at]]
-            at, h, gaps = at[on], h[on], gaps[on]
-            ways[at] = list(map(self._skip, ways[at].tolist(), gaps.tolist()))
-            h = _mixed(h + np.uint64(_STRIDE))
-        found = [self.ids[w] if w >= 0 else None for w in ways.tolist()]
-        if len(long):
-            every = list(chain.from_iterable(split))
-            for i, key in zip(long.tolist(), keys.tolist()):
-                found[i] = self.pieces.split(every[i], key)
-        ends = np.cumsum(sizes).tolist()
-        out = [np.array(list(chain.from_iterable(found[a:b])), dtype=np.int32) for a, b in zip([0, *ends], ends)]
-        if len(self.ids) > REMEMBERED:
-            self.clear()
-        return out
-
-
 def _turns(rows: DataFrame) -> DataFrame:
     """rows with turn: which of the rows alike in id and text it is, in the same order as before."""
     keyed = rows.withColumn("key", F.xxhash64("content"))

@@ -116,3 +116,30 @@ def test_walk_is_the_agenda(dropout):
     for w in [" internationalisation", " onthtionhent,", "Lichkeitéé", "\0執", " x"]:
         assert own.walk(w, ())[0] == none.split(w, 1)
         assert len(own.walk(w, tuple(range(200)))[0]) >= len(none.split(w, 1))
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 0.95])
+def test_encoding_by_one_agenda_at_a_time(dropout):
+    """Every occurrence of a word by the plain agenda, with the same draws."""
+    import numpy as np
+    import xxhash
+
+    own = pieces.load(dropout=dropout)
+    texts = [t.encode() for t in TEXTS] + [("internationalisation of onthtionhent, Lichkeitéé  執 " * 40 + "x" * 60 + " end").encode()]
+    names, turns = [str(i) for i in range(len(texts))], [i % 2 for i in range(len(texts))]
+    for t, name, turn, found in zip(texts, names, turns, own.encode_many(texts, names, turns)):
+        start, want = np.uint64(xxhash.xxh64_intdigest(f"{turn}/{name}", own.seed)), []
+        for i, w in enumerate(pieces.WORDS.findall(" " + t.decode()) if t else []):
+            h = pieces._mixed(np.array([start]) + np.uint64(i + 1) * np.uint64(pieces._STRIDE))
+            if len(w) > pieces.SHORT:
+                want += own.split(w, int(h[0]))
+                continue
+            skips = set()
+            at = int(own.gaps(h)[0])
+            while at < own.walk(w, tuple(skips))[1]:
+                skips.add(at)
+                h = pieces._mixed(h + np.uint64(pieces._STRIDE))
+                at += 1 + int(own.gaps(h)[0])
+            want += own.walk(w, tuple(skips))[0]
+        assert found.tolist() == want
+        assert own.decode(want) == t
