@@ -7,33 +7,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, page_range, squeeze, tokens_up
+from ..functions.text import page_range, squeeze, tokens_up
 
-# What answers that refuse say, folded; how answers begin that name their source.
-REFUSALS = ("khong tim thay", "khong co thong tin", "khong du thong tin", "khong duoc de cap")
-PREAMBLE = r"(?i)^\s*(?:theo|dựa trên|dựa vào|dua tren|dua vao)\s+(?:source|nguồn|nguon)\s*\d+\s*[,:]\s*"
-CODE = r"[A-Z]{2,}-?\d{2,}"
-ITEM = r"(?m)^\s*(?:\d+[.)]|[-*•])\s+\S"
+# What answers that refuse say; how answers begin that name their source; codes and numbered items.
+REFUSALS = ("không tìm thấy thông tin này trong tài liệu", "không có trong tài liệu", "không tìm thấy thông tin", "không có thông tin")
+PREAMBLE = r"(?is)^(?:theo\s+(?:source|nguồn)\s*\d*|dựa\s+(?:trên|vào)\s+(?:source|nguồn)\s*\d*)\s*[,:.\-–—]\s*"
+CODE = r"\b[A-Z][A-Z0-9]*-\d+\b"
+ITEM = r"(?m)^\s*\d+\.\s+\S"
 
 
 def without_preamble(answer: Column) -> Column:
-    """The answer without "by source n," in front; blank answers as they are [O3]."""
-    return F.when(answer.rlike(r"^\s*$"), answer).otherwise(F.regexp_replace(answer, PREAMBLE, ""))
+    """The answer without "by source n," in front; answers without it and blank ones as they are [O3]."""
+    begin = F.regexp_replace(answer, r"^\s+", "")
+    return F.when(begin.rlike(PREAMBLE), F.regexp_replace(F.regexp_replace(begin, PREAMBLE, ""), r"^\s+", "")).otherwise(answer)
 
 
 def refusal(answer: Column) -> Column:
     """struct(refuses, leads): whether an answer refuses, and does so before any code or list item [O1]."""
-    plain = fold(F.coalesce(answer, F.lit("")))
+    plain = F.lower(F.coalesce(answer, F.lit("")))
     places = [F.when(F.instr(plain, m) > 0, F.instr(plain, m)) for m in REFUSALS]
-    first = reduce(lambda a, b: F.least(a, b), places)
+    first = F.least(*places)
     fact = F.least(*[F.when(F.regexp_instr(answer, F.lit(p)) > 0, F.regexp_instr(answer, F.lit(p))) for p in (CODE, ITEM)])
     refuses = first.isNotNull()
-    return F.struct(refuses.alias("refuses"), (refuses & (fact.isNull() | (first < fact))).alias("leads"))
+    return F.struct(refuses.alias("refuses"), (refuses & (fact.isNull() | (first <= fact))).alias("leads"))
 
 
 def substantive(answer: Column) -> Column:
-    """A code, a list item or three lines with a colon [O2]."""
-    return answer.rlike(CODE) | answer.rlike(ITEM) | (F.regexp_count(answer, F.lit(r"(?m)^[^\n]*:[^\n]*$")) >= 3)
+    """A code, a numbered item or three lines with a colon [O2]."""
+    answer = F.coalesce(answer, F.lit(""))
+    lines = F.filter(F.split(answer, r"\r\n|\r|\n"), lambda x: x.contains(":"))
+    return answer.rlike(CODE) | answer.rlike(ITEM) | (F.size(lines) >= 3)
 
 
 def answer_tokens(kind: Column, multi: Column, compare: Column) -> Column:

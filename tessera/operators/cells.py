@@ -9,62 +9,103 @@ from ..functions.text import bigrams, normalize
 from .keywords import sum_of
 from .signals import is_value, let, ngrams, words_of
 
-CODE, LABEL, CONFLICT, DATE, SEVERAL = 8.0, 6.0, -8.0, 1.5, 5.0
+CODE, LABEL, COVERED, CONFLICT, DATE, SEVERAL = 8.0, 6.0, 4.0, -8.0, 1.5, 5.0
 SAME_HEADER, SAME_INTENT = 0.72, 0.86
 
 
 def on_boundary(hay: Column, needle: Column) -> Column:
     """Needle in hay with no letter or digit beside it [C4]."""
-    return F.regexp_like(hay, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), needle, F.lit(r"\E(?![\p{L}\p{N}])")))
+    return hay.contains(needle) & F.regexp_like(hay, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), needle, F.lit(r"\E(?![\p{L}\p{N}])")))
 
 
-def similarity(a: Column, b: Column) -> Column:
+def forms(x: Column) -> Column:
+    """struct(text, words, pairs) of a normalized name, to be compared by like()."""
+    return F.struct(x.alias("text"), F.array_distinct(words_of(x)).alias("words"), bigrams(x).alias("pairs"))
+
+
+def like(a: Column, b: Column) -> Column:
     """1 for equal names, else the share of common words, else of common letter pairs [C5]."""
-    wa, wb = F.array_distinct(words_of(a)), F.array_distinct(words_of(b))
-    common, least = F.size(F.array_intersect(wa, wb)), F.least(F.size(wa), F.size(wb))
-    pairs = F.size(F.array_intersect(bigrams(a), bigrams(b))) / F.greatest(F.size(F.array_union(bigrams(a), bigrams(b))), F.lit(1))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(common > 0, common / least).otherwise(pairs)
+    common = F.size(F.array_intersect(a["words"], b["words"]))
+    pairs = F.size(F.array_intersect(a["pairs"], b["pairs"]))
+    either = F.size(a["pairs"]) + F.size(b["pairs"]) - pairs
+    some = F.when(F.arrays_overlap(a["words"], b["words"]), common / F.least(F.size(a["words"]), F.size(b["words"]))).otherwise(pairs / F.greatest(either, F.lit(1)))
+    return F.when((a["text"] == "") | (b["text"] == ""), 0.0).when(a["text"] == b["text"], 1.0).otherwise(some)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """like() of two normalized names."""
+    return let(F.struct(forms(a).alias("a"), forms(b).alias("b")), lambda x: like(x["a"], x["b"]))
 
 
 def label_parts(label: Column) -> Column:
-    """struct(kind, value): the words before the last one, and it."""
+    """struct(raw, kind, value): a label's words before the last one, and it; null without both or if it is no value [Q17]."""
     w = words_of(normalize(label))
-    return F.struct(F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), " ").alias("kind"), F.coalesce(F.element_at(w, -1), F.lit("")).alias("value"))
+    parts = F.struct(normalize(label).alias("raw"), F.array_join(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), " ").alias("kind"), F.element_at(w, -1).alias("value"))
+    return F.when((F.size(w) >= 2) & is_value(F.element_at(w, -1)), parts)
+
+
+def other_number(text: Column, value: Column) -> Column:
+    """A number of up to four digits (and a letter) in a text that is not the value, itself such a number [C6]."""
+    return value.rlike(r"^\d{1,4}[a-z]?$") & F.exists(F.regexp_extract_all(text, F.lit(r"\d{1,4}[a-z]?"), F.lit(0)), lambda x: x != value)
 
 
 def score(cells: Column, group_context: Column, table_name: Column) -> Column:
-    """struct(total, codes, labels, conflicts, dates, phrases, exact) of a row for a question with signals beside it.
+    """struct(total, codes, labels, conflicts, dates, phrases, several, intent, group, named, kinds, exact) of a row for a question with
+    signals beside it.
 
-    cells: array of struct(key, value) [C1-C3, C6-C8]. Rows without cells score 0.
+    cells: array of struct(key, value) [C1-C3, C6-C8]. Rows without cells score 0. A code counts once, a label in each cell that has it
+    under a like name; a label that no cell has so counts less if a cell has its value, and against the row if a cell
+    with a like name has another number. Codes, labels, runs of words, words and dates are the kinds of signals of which several add up.
     """
-    plain = F.transform(cells, lambda c: F.struct(normalize(c["key"]).alias("key"), normalize(c["value"]).alias("value"), F.lower(c["value"]).alias("raw")))
+    plain = F.transform(cells, lambda c: F.struct(let(normalize(c["key"]), forms).alias("key"), normalize(c["value"]).alias("value"), F.lower(c["value"]).alias("raw")))
+    context, table = normalize(group_context), normalize(table_name)
 
     def of(cs: Column) -> Column:
-        codes = sum_of(F.col("identifiers"), lambda i: F.when(F.exists(cs, lambda c: c["raw"].contains(F.lower(i))), CODE).otherwise(0.0))
+        codes = sum_of(F.transform("identifiers", normalize), lambda i: F.when((i != "") & F.exists(cs, lambda c: on_boundary(c["value"], i)), CODE).otherwise(0.0))
         dates = sum_of(F.col("dates"), lambda d: F.when(F.exists(cs, lambda c: c["raw"].contains(F.lower(d))), DATE).otherwise(0.0))
-        parts = F.transform("labels", label_parts)
-        matches = lambda p: F.exists(cs, lambda c: (similarity(c["key"], p["kind"]) >= SAME_HEADER) & on_boundary(c["value"], p["value"]))
-        covered = lambda p: F.exists(cs, lambda c: c["value"] == p["value"])
-        against = lambda p: F.exists(cs, lambda c: (similarity(c["key"], p["kind"]) >= SAME_HEADER) & ~on_boundary(c["value"], p["value"]) & c["value"].rlike(r"\d"))
-        labels = sum_of(parts, lambda p: F.when(matches(p), LABEL).when(covered(p), 4.0).otherwise(0.0))
-        conflicts = sum_of(parts, lambda p: F.when(~matches(p) & against(p), CONFLICT).otherwise(0.0))
-        grams = sum_of(F.col("ngrams"), lambda g: F.when(F.exists(cs, lambda c: c["value"].contains(g)), 2.0 * F.least(F.lit(3.0), F.size(words_of(g)) * 0.5)).otherwise(0.0))
+        parts = F.filter(F.transform("labels", label_parts), lambda p: p.isNotNull())
+        parts = F.transform(parts, lambda p: F.struct(p["raw"].alias("raw"), forms(p["kind"]).alias("kind"), p["value"].alias("value")))
+
+        def looked(p: Column) -> Column:
+            """How each cell stands to a label: 2 has it, 1 speaks against it, 0 has its value, -1 nothing of it."""
+            state = lambda c: (
+                F.when(c["has"] & c["like"], 2).when(c["like"] & other_number(c["value"], p["value"]), 1).when(c["has"], 0).otherwise(-1)
+            )
+            facts = lambda c: F.struct((like(c["key"], p["kind"]) >= SAME_HEADER).alias("like"), on_boundary(c["value"], p["value"]).alias("has"), c["value"].alias("value"))
+            return F.transform(F.transform(cs, facts), state)
+
+        def label(found: Column) -> Column:
+            """Points of a label and points against the row."""
+            n = F.size(F.filter(found, lambda x: x == 2))
+            points = F.when(n > 0, LABEL * n).when(F.array_contains(found, 0), COVERED).otherwise(0.0)
+            against = F.when((n == 0) & ~F.array_contains(found, 0) & F.array_contains(found, 1), CONFLICT).otherwise(0.0)
+            return F.struct(points.alias("points"), against.alias("against"))
+
+        stand = F.transform(parts, lambda p: let(looked(p), label))
+        labels, conflicts = sum_of(stand, lambda x: x["points"]), sum_of(stand, lambda x: x["against"])
+        grams = sum_of(F.filter("ngrams", lambda g: F.length(g) >= 4), lambda g: F.when(F.exists(cs, lambda c: c["value"].contains(g)), 2.0 * F.least(F.lit(3.0), F.size(words_of(g)) * 0.5)).otherwise(0.0))
         words = sum_of(F.filter("words", lambda w: (F.length(w) >= 3) & ~is_value(w)), lambda w: F.when(F.exists(cs, lambda c: on_boundary(c["value"], w)), 1.0).otherwise(0.0))
-        kinds = (codes > 0).cast("int") + (labels > 0).cast("int") + (dates > 0).cast("int") + (grams + words > 0).cast("int")
-        asked = ngrams(F.col("words"), 1, 3, 1)
-        intent = sum_of(cs, lambda c: F.when(F.coalesce(F.array_max(F.transform(asked, lambda g: similarity(c["key"], g))), F.lit(0.0)) >= SAME_INTENT, 1.5 * F.array_max(F.transform(asked, lambda g: similarity(c["key"], g)))).otherwise(0.0))
-        context, table = normalize(group_context), normalize(table_name)
-        group = sum_of(F.col("labels"), lambda x: F.when(context.contains(normalize(x)), 0.8).otherwise(0.0)) + sum_of(F.col("ngrams"), lambda g: F.when(context.contains(g), 0.3).otherwise(0.0))
-        named = F.when(F.exists("ngrams", lambda g: table.contains(g)), 0.5).otherwise(0.0)
-        total = codes + labels + conflicts + dates + grams + words + F.when(kinds >= 2, SEVERAL * (kinds - 1)).otherwise(0.0) + intent + group + named
+        # The first of the question's runs that is like the column's name.
+        liked = lambda c, asked: F.get(F.filter(F.transform(asked, lambda g: like(c["key"], g)), lambda x: x >= SAME_INTENT), F.lit(0))
+        intent = let(F.transform(ngrams(F.col("words"), 1, 3, 1), forms), lambda asked: sum_of(cs, lambda c: 1.5 * F.coalesce(liked(c, asked), F.lit(0.0))))
+        group = sum_of(parts, lambda p: F.when((context != "") & (context.contains(p["raw"]) | on_boundary(context, p["value"])), 0.8).otherwise(0.0))
+        group = group + sum_of(F.col("ngrams"), lambda g: F.when((F.length(g) >= 4) & context.contains(g), 0.3).otherwise(0.0))
+        named = F.when(F.exists("ngrams", lambda g: (F.length(g) >= 5) & table.contains(g)), 0.5).otherwise(0.0)
+        parts_of = F.struct(*[x.alias(n) for x, n in ((codes, "codes"), (labels, "labels"), (conflicts, "conflicts"), (dates, "dates"), (grams, "grams"), (words, "words"), (intent, "intent"), (group, "group"), (named, "named"))])
+        return let(parts_of, summed)
+
+    def summed(p: Column) -> Column:
+        kinds = sum((p[k] > 0).cast("int") for k in ("codes", "labels", "grams", "words", "dates"))
+        several = F.when(kinds >= 2, SEVERAL * (kinds - 1)).otherwise(0.0)
+        total = p["codes"] + p["dates"] + p["labels"] + p["grams"] + p["words"] + several + p["intent"] + p["group"] + p["named"] + p["conflicts"]
         return F.struct(
-            F.greatest(total, F.lit(0.0)).alias("total"), codes.alias("codes"), labels.alias("labels"), conflicts.alias("conflicts"), dates.alias("dates"),
-            (grams + words).alias("phrases"), ((codes > 0) | (labels >= LABEL)).alias("exact"),
+            F.greatest(total, F.lit(0.0)).alias("total"), *[p[k].alias(k) for k in ("codes", "labels", "conflicts", "dates")], (p["grams"] + p["words"]).alias("phrases"),
+            several.alias("several"), *[p[k].alias(k) for k in ("intent", "group", "named")], kinds.alias("kinds"), ((p["codes"] + p["dates"] > 0) | (p["labels"] > 0)).alias("exact"),
         )
 
     return F.when(F.size(cells) > 0, let(plain, of))
 
 
 def is_compare() -> Column:
-    """Two labels or more [Q17]."""
-    return F.size("labels") >= 2
+    """Two labels or more that have a name and a value [Q17]."""
+    return F.size(F.filter(F.transform("labels", label_parts), lambda p: p.isNotNull())) >= 2

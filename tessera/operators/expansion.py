@@ -112,6 +112,12 @@ def best_overlap(cells: DataFrame, slots: DataFrame, table: str) -> DataFrame:
     return pairs.groupBy(table, "cell").agg(F.max_by("slot", rank).alias("slot"), F.max(shared).alias("shared"))
 
 
-def upper_median(x: str) -> Column:
-    """sorted[n / 2] [A14]."""
-    return F.get(F.sort_array(F.collect_list(x)), F.floor(F.count(x) / 2).cast("int"))
+def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: sorted[n / 2] of the values that are not null [A14].
+
+    Equal values are counted before they are shuffled, and the counts summed up in order, so no group is gathered.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys)
+    running = counts.withColumn("_until", F.sum("_n").over(w.orderBy(value))).withColumn("_of", F.sum("_n").over(w))
+    return running.filter(F.col("_until") > F.floor(F.col("_of") / 2)).groupBy(*keys).agg(F.min(value).alias("median"))

@@ -14,7 +14,8 @@ IDENTIFIER = r"\b([A-Za-z]{1,8}[0-9][A-Za-z0-9\-]{1,20}|[0-9]{2,}[A-Za-z][A-Za-z
 DATES = (r"\b(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4})\b", r"\b(\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2})\b", r"\b(\d{1,2}[/.\-]\d{1,2})\b")
 NUMBER = r"\b\d{1,4}(?:[.,]\d+)?%?\b"
 VALUE = r"^(?:\d{1,4}[a-z]?|[a-z]\d{1,4}[a-z0-9]{0,6}|[a-z]{1,8}\d[a-z0-9\-]{1,12})$"
-NUMBERED = r"^\s*\d+(?:\.\d+)+|\b\d+\.\d+(?:\.\d+)*\b"
+NUMBERED = r"\b\d{1,3}\.\d{1,3}(?:\.\d{1,3})*\b"
+SHORT_CODE = r"\b[A-Z]{1,6}\d[A-Za-z0-9]{0,10}\b"
 EXPANDED = ("LIST_ALL", "TABLE_LOOKUP", "SECTION_SUMMARY", "COUNT_QUERY")
 
 
@@ -118,8 +119,8 @@ def variants(text: Column) -> Column:
 
 def intent(text: Column) -> Column:
     """Kind and confidence by the look of the question alone [Q10]."""
-    kind = F.when(blank(text), F.lit("NORMAL_FACT")).when(text.rlike(NUMBERED), F.lit("SECTION_SUMMARY")).when(F.size(identifiers(text)) > 0, F.lit("TABLE_LOOKUP")).otherwise(F.lit("NORMAL_FACT"))
-    sure = F.when(blank(text), F.lit(1.0)).when(text.rlike(NUMBERED), F.lit(0.8)).when(F.size(identifiers(text)) > 0, F.lit(0.55)).otherwise(F.lit(0.3))
+    kind = F.when(blank(text), F.lit("NORMAL_FACT")).when(text.rlike(NUMBERED), F.lit("SECTION_SUMMARY")).when(text.rlike(SHORT_CODE), F.lit("TABLE_LOOKUP")).otherwise(F.lit("NORMAL_FACT"))
+    sure = F.when(blank(text), F.lit(1.0)).when(text.rlike(NUMBERED), F.lit(0.8)).when(text.rlike(SHORT_CODE), F.lit(0.55)).otherwise(F.lit(0.3))
     return F.struct(kind.alias("kind"), sure.alias("confidence"))
 
 

@@ -119,6 +119,7 @@ def normalized_rows(tables: DataFrame, text: str, *keys: str) -> DataFrame:
     data row of each pipe table; why a table gave none stands in problems() [T2, T10, T14, T15]."""
     parsed = tables.select(*keys, parse_markdown(F.col(text)).alias("t"))
     named = parsed.withColumn("n", header_rows(F.col("t"))).withColumn("names", headers(F.col("t"), F.col("n")))
+    named = named.filter(F.size(F.filter("names", lambda h: ~h.rlike(r"^col_\d+$"))) >= 2)
     body = F.filter(F.slice("t.rows", F.col("n") + 1, F.greatest(F.size("t.rows") - F.col("n"), F.lit(0))), has_data)
     rows = named.select(*keys, "names", F.posexplode(merge_wrapped(body)).alias("pos", "cells"))
     rows = rows.withColumn("group", F.when(is_group_row(F.col("cells")), F.concat_ws(" ", F.transform(F.filter("cells", lambda c: F.trim(c) != ""), lambda c: F.trim(c)))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,41 +10,43 @@ from ..operators import answers as O
 from ..operators import cells as C
 from ..operators import signals as S
 from ..operators import table_rows as R
-from ..sources.tables import scan
+from ..sources.tables import scan, shared_dir
 from ..streaming import activity as Z
-from .ingest_queries import TABLES
+from .ingest_queries import tables
 
-PREAMBLES = [
-    (1, "Theo Source 12, thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026."),
-    (2, "Theo nguồn 14, Từ ngày 09/02/2026 đến ngày 01/03/2026."),
-    (3, "Dựa trên Source 3, kết quả là 42."),
-    (4, "Dựa vào nguồn 5: thông tin đã có."),
-    (5, "Thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026."),
-    (6, None),
-    (7, "  "),
-]
+#: What stands around the turns of conversations, by turn, to make answers of them: (before, after).
+ANSWERS = [
+    ("", " Không tìm thấy thông tin. AB-123"), ("K-1 ", " KHÔNG CÓ TRONG TÀI LIỆU"), ("1. ", "\n2. a\nkhông có thông tin"), ("không có thông tin\n", "\n 3. b"), ("x: 1\ny: 2\n", "\nz: 3"), ("", ""),
+]
+PREAMBLES = ["Theo Source 12, ", "  Dựa trên nguồn: ", "theo nguồn 3 – \n", "Theo tài liệu 1, ", "   ", "Dựa vào SOURCE7. "]
+
+
+def _around(pairs, text):
+    """The text with what the pair of its turn puts before and after it."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), (F.col("turn") % len(pairs) + 1).cast("int"))
+    return F.concat(pick(0), text, pick(1))
 
 
 def c1_cells(spark, d):
-    rows = R.normalized_rows(spark.createDataFrame(TABLES, "table_id int, markdown string"), "markdown", "table_id")
-    asked = S.with_signals(spark.createDataFrame([("What is the price of AB12 on 1/2/2024?",), ("class 1 teacher",)], "question string"), "question")
-    both = rows.withColumn("one", F.lit(1)).join(F.broadcast(asked.withColumn("one", F.lit(1))), "one")
+    rows = R.normalized_rows(tables(spark, d), "markdown", "table_id")
+    asked = S.with_signals(spark.createDataFrame([("Which part has quantity 17 and flag NO?",), ("part 155 of group r",)], "question string"), "question")
+    both = rows.join(F.broadcast(asked))
     scored = both.withColumn("s", C.score(F.col("cells"), F.col("group_context"), F.lit("")))
-    return scored.select("question", "table_id", F.col("row_index").cast("long").alias("row_index"), F.round("s.total", 6).alias("total"), "s.codes", "s.labels", "s.dates", "s.exact")
+    return scored.select("question", "table_id", F.col("row_index").cast("long").alias("row_index"), F.round("s.total", 6).alias("total"), "s.codes", "s.labels", "s.conflicts", "s.phrases", "s.exact")
 
 
 def o1_refusals(spark, d):
-    t = scan(spark, d, "conversations")
-    text = F.concat("text", F.when(F.col("turn") % 4 == 0, F.lit(" Không tìm thấy AB-123.")).otherwise(F.lit("")))
-    return t.select("conv_id", "turn", O.refusal(text).alias("r"), O.substantive(text).alias("substantive")).select("conv_id", "turn", "r.refuses", "r.leads", "substantive")
+    t = scan(spark, d, "conversations").withColumn("answer", _around(ANSWERS, F.col("text")))
+    return t.select("conv_id", "turn", O.refusal(F.col("answer")).alias("r"), O.substantive(F.col("answer")).alias("substantive")).select("conv_id", "turn", "r.refuses", "r.leads", "substantive")
 
 
 def o3_preamble(spark, d):
-    return spark.createDataFrame(PREAMBLES, "id int, raw string").select("id", O.without_preamble(F.col("raw")).alias("cleaned"))
+    raw = _around([(p, "") for p in PREAMBLES], F.col("text"))
+    return scan(spark, d, "conversations").select("conv_id", "turn", O.without_preamble(raw).alias("cleaned"))
 
 
 def o6_prompts(spark, d):
-    t = scan(spark, d, "conversations").filter("conv_id < 20").select(F.col("conv_id").cast("string").alias("question"), "turn", F.concat("role", F.lit(": "), "text").alias("block"))
+    t = scan(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("question"), "turn", F.concat("role", F.lit(": "), "text").alias("block"))
     return O.prompts(t, "question", "turn", "block")
 
 
@@ -60,7 +61,7 @@ def a19_figures(spark, d):
 
 def z4_daily_stream(spark, d):
     """The daily series as a stream over the events, read to its end."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")).rstrip("/") + f"/tessera/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
     schema = scan(spark, d, "events").schema
     rows = Z.daily_counts(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
     Z.latest_result(rows, f"{base}/out", f"{base}/checkpoint").awaitTermination()
@@ -69,21 +70,30 @@ def z4_daily_stream(spark, d):
 
 QUERIES = {f.__name__: f for f in (c1_cells, o1_refusals, o3_preamble, o6_prompts, o7_pipes, a19_figures, z4_daily_stream)}
 
+
+def _sql(pairs) -> str:
+    quoted = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+    return "CASE turn % " + str(len(pairs)) + " " + " ".join(f"WHEN {i} THEN {quoted(a)} || text || {quoted(b)}" for i, (a, b) in enumerate(pairs)) + " END"
+
+
 ORACLES = {
-    "o3_preamble": """
-SELECT * FROM (VALUES (1, 'thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026.'), (2, 'Từ ngày 09/02/2026 đến ngày 01/03/2026.'),
-  (3, 'kết quả là 42.'), (4, 'thông tin đã có.'), (5, 'Thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026.'), (6, NULL), (7, '  ')) t(id, cleaned)
+    "o3_preamble": f"""
+WITH t AS (SELECT conv_id, turn, {_sql([(p, "") for p in PREAMBLES])} AS x FROM conversations),
+     b AS (SELECT *, regexp_replace(x, '^\\s+', '') AS y FROM t),
+     m AS (SELECT *, regexp_replace(y, '(?is)^(theo\\s+(source|nguồn)\\s*\\d*|dựa\\s+(trên|vào)\\s+(source|nguồn)\\s*\\d*)\\s*[-,:.–—]\\s*', '') AS z FROM b)
+SELECT conv_id, turn, CASE WHEN z <> y THEN regexp_replace(z, '^\\s+', '') ELSE x END AS cleaned FROM m
 """,
-    "o1_refusals": """
-WITH t AS (SELECT conv_id, turn, text || CASE WHEN turn % 4 = 0 THEN ' Không tìm thấy AB-123.' ELSE '' END AS x FROM conversations),
-     p AS (SELECT *, strpos(replace(lower(strip_accents(x)), 'đ', 'd'), 'khong tim thay') AS pos, length(regexp_extract(x, '(?s)^(.*?)[A-Z]{2,}-?\\d{2,}', 1)) + 1 AS code,
-             length(regexp_extract(x, '(?sm)\\A(.*?)^\\s*(?:\\d+[.)]|[-*•])\\s+\\S', 1)) + 1 AS item,
-             regexp_matches(x, '[A-Z]{2,}-?\\d{2,}') AS has_code, regexp_matches(x, '(?m)^\\s*(?:\\d+[.)]|[-*•])\\s+\\S') AS has_item FROM t)
-SELECT conv_id, turn, pos > 0 AS refuses, pos > 0 AND NOT (has_code AND code <= pos) AND NOT (has_item AND item <= pos) AS leads,
-       has_code OR has_item OR len(regexp_extract_all(x, '(?m)^[^\\n]*:[^\\n]*$')) >= 3 AS substantive FROM p
+    "o1_refusals": f"""
+WITH t AS (SELECT conv_id, turn, {_sql(ANSWERS)} AS x FROM conversations),
+     p AS (SELECT *, list_min(list_filter(list_transform(['không tìm thấy thông tin này trong tài liệu', 'không có trong tài liệu', 'không tìm thấy thông tin', 'không có thông tin'],
+                       lambda m: strpos(lower(x), m)), lambda i: i > 0)) AS pos,
+             length(regexp_extract(x, '(?s)^(.*?)\\b[A-Z][A-Z0-9]*-\\d+\\b', 1)) + 1 AS code, regexp_matches(x, '\\b[A-Z][A-Z0-9]*-\\d+\\b') AS has_code,
+             length(regexp_extract(x, '(?sm)\\A(.*?)^\\s*\\d+\\.\\s+\\S', 1)) + 1 AS item, regexp_matches(x, '(?m)^\\s*\\d+\\.\\s+\\S') AS has_item FROM t)
+SELECT conv_id, turn, pos IS NOT NULL AS refuses, pos IS NOT NULL AND NOT (has_code AND code < pos) AND NOT (has_item AND item < pos) AS leads,
+       has_code OR has_item OR len(list_filter(string_split_regex(x, '\\r\\n|\\r|\\n'), lambda l: contains(l, ':'))) >= 3 AS substantive FROM p
 """,
     "o6_prompts": """
-WITH b AS (SELECT conv_id, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || role || ': ' || text AS b, turn FROM conversations WHERE conv_id < 20)
+WITH b AS (SELECT conv_id, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || role || ': ' || text AS b, turn FROM conversations)
 SELECT conv_id::VARCHAR AS question, concat_ws(chr(10) || chr(10), 'Answer from the passages.', string_agg(b, chr(10) || chr(10) ORDER BY turn), conv_id::VARCHAR) AS prompt FROM b GROUP BY conv_id
 """,
     "o7_pipes": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2)) > 0 AS table FROM documents",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import activity as A
 from ..operators import coverage as V
 from ..operators import signals as S
+from ..operators.vectors import nearest
 from ..sources.tables import scan
 from .retrieval_queries import QUESTIONS, plain_sql
 from .retrieve import retrieve
@@ -23,7 +24,7 @@ def q13_headings(spark, d):
 
 
 def r15_cover(spark, d):
-    l = scan(spark, d, "lineitem").filter("l_orderkey < 2000")
+    l = scan(spark, d, "lineitem")
     rows = l.select(F.col("l_orderkey").alias("question"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("key"), F.col("l_quantity").alias("score"), F.array(F.concat("l_returnflag", "l_linestatus")).alias("labels"))
     selected = rows.filter("score > 30")
     wanted = rows.select("question", F.explode("labels").alias("label")).distinct()
@@ -61,10 +62,14 @@ def x19_values(spark, d):
 
 
 def r0_retrieve(spark, d):
-    """Questions of two languages; the documents with the smallest ids of a language stand for what vectors hit."""
+    """Questions of three languages; a question's vector is that of the vector with its number, and the documents with the ids of
+    the vectors nearest to it are what vectors hit."""
     docs = scan(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("tenant"), F.col("doc_id").alias("document"), F.col("text").alias("content"))
     questions = spark.createDataFrame([(f"q{i}", lang, text) for i, (lang, text) in enumerate(QUESTIONS)], "question string, tenant string, text string")
-    hits = docs.filter("key % 50 < 5").join(F.broadcast(questions.select("question", "tenant")), "tenant").select("question", "key")
+    vectors = scan(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    vectors = vectors.join(docs.select("key", "tenant"), "key")
+    asked = scan(spark, d, "embeddings").filter(F.col("vec_id") < len(QUESTIONS)).select(F.concat(F.lit("q"), "vec_id").alias("question"), F.col("embedding").alias("asked"))
+    hits = nearest(vectors, asked.join(questions.select("question", "tenant"), "question"), 30, "key", "tenant", "vector").select("question", "key")
     return retrieve(docs, questions, hits).select("question", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -80,7 +85,7 @@ WITH p AS (SELECT p_partkey AS key, p_size AS depth, {plain_sql('p_name')} AS ti
 SELECT key, score, nth FROM r WHERE nth <= 50
 """,
     "r15_cover": """
-WITH r AS (SELECT l_orderkey AS question, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS key, l_quantity AS score, l_returnflag || l_linestatus AS label FROM lineitem WHERE l_orderkey < 2000),
+WITH r AS (SELECT l_orderkey AS question, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS key, l_quantity AS score, l_returnflag || l_linestatus AS label FROM lineitem),
      s AS (SELECT * FROM r WHERE score > 30),
      m AS (SELECT DISTINCT question, label FROM r ANTI JOIN s USING (question, label)),
      o AS (SELECT r.*, row_number() OVER (PARTITION BY question, label ORDER BY score DESC, key) AS n FROM r JOIN m USING (question, label)),

@@ -8,17 +8,21 @@ from ..operators import chunks as C
 from ..operators import table_rows as R
 from ..sources.tables import scan
 
-TABLES = [
-    (1, "| Name | Price | Date |\n|---|---|---|\n| AB12 | 10 | 1/2/2024 |\n|  | more | |\n| CD34 | 20 | 3/4/2024 |"),
-    (2, "| Class | Teacher |\n| Group: evening | |\n| 1 | Ann |\n| 2 | Bob |"),
-    (3, "no table"),
-    (4, ""),
-    (5, "| a | a | |\n|---|---|---|\n| 1 | 2 | 3 |"),
-]
-
-
-def _tables(spark):
-    return spark.createDataFrame(TABLES, "table_id int, markdown string")
+def tables(spark, d, flawed: bool = False):
+    """table_id, markdown: the lines of each order as a pipe table, some of them wrapped into the row above, some in a group; flawed:
+    some orders with a table that cannot be normalized."""
+    l = scan(spark, d, "lineitem")
+    part = F.when(F.col("l_partkey") % 5 == 0, F.lit("")).otherwise(F.col("l_partkey").cast("string"))
+    line = F.concat(F.lit("| "), part, F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" | "), "l_returnflag", "l_linestatus", F.lit(" |"))
+    group = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("| Group: "), "l_returnflag", F.lit(" | | |\n"))).otherwise(F.lit(""))
+    rows = l.select(F.col("l_orderkey").alias("table_id"), F.struct("l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("int").cast("string").alias("q"), F.concat(group, line).alias("line")).alias("r"))
+    # The lines of an order: a bounded number.
+    body = rows.groupBy("table_id").agg(F.array_join(F.sort_array(F.collect_list("r"))["line"], "\n").alias("body"))
+    whole = F.concat(F.lit("| Part | Quantity | Flag |\n|---|---|---|\n"), "body")
+    if flawed:
+        t = F.col("table_id")
+        whole = F.when(t % 11 == 0, F.concat(F.lit("| Part | | |\n|---|---|---|\n"), "body")).when(t % 13 == 0, F.lit("| Part | Flag |\n|---|---|")).when(t % 17 == 0, F.lit("  ")).when(t % 19 == 0, F.lit("no table")).otherwise(whole)
+    return body.select("table_id", whole.alias("markdown"))
 
 
 def _docs(spark, d):
@@ -56,15 +60,15 @@ def t1_parse(spark, d):
 
 
 def t2_problems(spark, d):
-    return R.problems(_tables(spark), "markdown", "table_id")
+    return R.problems(tables(spark, d, flawed=True), "markdown", "table_id")
 
 
 def t14_rows(spark, d):
-    return R.normalized_rows(_tables(spark), "markdown", "table_id").select("table_id", F.col("row_index").cast("long").alias("row_index"), "group_context", "row_text", "cells_json")
+    return R.normalized_rows(tables(spark, d), "markdown", "table_id").select("table_id", F.col("row_index").cast("long").alias("row_index"), "group_context", "row_text", "cells_json")
 
 
 def a15_quality(spark, d):
-    return R.quality(R.normalized_rows(_tables(spark), "markdown", "table_id"), "table_id")
+    return R.quality(R.normalized_rows(tables(spark, d), "markdown", "table_id"), "table_id")
 
 
 def t16_admitted(spark, d):
@@ -79,6 +83,17 @@ def t20_dense(spark, d):
 
 QUERIES = {f.__name__: f for f in (b1_clean, b6_sections, h3_chunks, h6_previews, t1_parse, t2_problems, t14_rows, a15_quality, t16_admitted, t20_dense)}
 
+_ROWS = """
+l AS (SELECT l_orderkey AS t, l_linenumber AS n, l_partkey AS k, l_quantity::INTEGER::VARCHAR AS q, l_returnflag || l_linestatus AS f, 1 AS part, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE l_partkey::VARCHAR END AS a, l_quantity::INTEGER::VARCHAR AS b, l_returnflag || l_linestatus AS c FROM lineitem
+      UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::INTEGER::VARCHAR, l_returnflag || l_linestatus, 0, 'Group: ' || l_returnflag, '', '' FROM lineitem WHERE l_partkey % 7 = 0),
+g AS (SELECT *, row_number() OVER w AS o, sum(CASE WHEN a <> '' THEN 1 ELSE 0 END) OVER w AS r FROM l WINDOW w AS (PARTITION BY t ORDER BY n, k, f[1], q, f, part ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT t, r, coalesce(string_agg(nullif(a, ''), ' ' ORDER BY o), '') AS a, coalesce(string_agg(nullif(b, ''), ' ' ORDER BY o), '') AS b, coalesce(string_agg(nullif(c, ''), ' ' ORDER BY o), '') AS c FROM g GROUP BY t, r),
+x AS (SELECT *, (a <> '')::INTEGER + (b <> '')::INTEGER + (c <> '')::INTEGER AS filled, b = '' AND c = '' AND starts_with(a, 'Group: ') AS grp FROM m),
+y AS (SELECT *, coalesce(last_value(CASE WHEN grp THEN a END IGNORE NULLS) OVER (PARTITION BY t ORDER BY r ROWS UNBOUNDED PRECEDING), '') AS group_context FROM x),
+o AS (SELECT t AS table_id, row_number() OVER (PARTITION BY t ORDER BY r) AS row_index, group_context, filled,
+             concat_ws('; ', CASE WHEN a <> '' THEN 'Part: ' || a END, CASE WHEN b <> '' THEN 'Quantity: ' || b END, CASE WHEN c <> '' THEN 'Flag: ' || c END) AS row_text,
+             '{"part":"' || a || '","quantity":"' || b || '","flag":"' || c || '"}' AS cells_json FROM y WHERE NOT grp)"""
+
 ORACLES = {
     "b1_clean": """
 WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{00a0}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]', ' ', 'g'), '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}]', '', 'g') AS t FROM documents)
@@ -92,19 +107,17 @@ WITH l AS (SELECT doc_id, trim(unnest(string_split_regex(coalesce(text, ''), '\\
      r AS (SELECT * FROM c WHERE len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-{2,}:?$'))) > 0)
 SELECT d.doc_id, count(r.doc_id) AS rows, coalesce(max(len(cells)), 0) AS columns FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY 1
 """,
-    # Worked out by hand from TABLES.
-    "t2_problems": "SELECT * FROM (VALUES (1, NULL), (2, NULL), (3, 'no-rows'), (4, 'empty-markdown'), (5, NULL)) t(table_id, problem)",
-    "t14_rows": """
-SELECT table_id, row_index::BIGINT AS row_index, group_context, row_text, cells_json FROM (VALUES
-  (1, 1, '', 'Name: AB12; Price: 10 more; Date: 1/2/2024', '{"name":"AB12","price":"10 more","date":"1/2/2024"}'),
-  (1, 2, '', 'Name: CD34; Price: 20; Date: 3/4/2024', '{"name":"CD34","price":"20","date":"3/4/2024"}'),
-  (2, 1, 'Group: evening', 'Class: 1; Teacher: Ann', '{"class":"1","teacher":"Ann"}'),
-  (2, 2, 'Group: evening', 'Class: 2; Teacher: Bob', '{"class":"2","teacher":"Bob"}'),
-  (5, 1, '', 'a: 1; a_2: 2; col_3: 3', '{"a":"1","a_2":"2","col_3":"3"}')) t(table_id, row_index, group_context, row_text, cells_json)
+    "t2_problems": """
+SELECT l_orderkey AS table_id, CASE WHEN l_orderkey % 11 = 0 THEN 'insufficient-headers' WHEN l_orderkey % 13 = 0 THEN 'no-data-rows' WHEN l_orderkey % 17 = 0 THEN 'empty-markdown'
+  WHEN l_orderkey % 19 = 0 THEN 'no-rows' END AS problem FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+""",
+    "t14_rows": f"""
+WITH {_ROWS}
+SELECT table_id, row_index, group_context, row_text, cells_json FROM o
 """,
-    "a15_quality": """
-SELECT table_id, rows::BIGINT AS rows, one_cell_rows::BIGINT AS one_cell_rows, cells::BIGINT AS cells, empty_cells::BIGINT AS empty_cells, generic_keys::BIGINT AS generic_keys
-FROM (VALUES (1, 2, 0, 6, 0, 0), (2, 2, 0, 4, 0, 0), (5, 1, 0, 3, 0, 1)) t(table_id, rows, one_cell_rows, cells, empty_cells, generic_keys)
+    "a15_quality": f"""
+WITH {_ROWS}
+SELECT table_id, count(*) AS rows, count(*) FILTER (filled = 1) AS one_cell_rows, 3 * count(*) AS cells, sum(3 - filled)::BIGINT AS empty_cells, 0::BIGINT AS generic_keys FROM o GROUP BY 1
 """,
     "h6_previews": """
 SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN regexp_matches(text[1:300], '(?s)^.{50,}\\s') THEN regexp_extract(text[1:300], '(?s)^(.{50,})\\s', 1) ELSE text[1:300] END AS preview FROM documents

@@ -61,7 +61,7 @@ def r8_budget(spark, d):
 
 
 def r11_lexical(spark, d):
-    docs = scan(spark, d, "documents").filter("lang = 'en'").select(F.lit("q").alias("question"), F.col("doc_id").alias("key"), X.normalize("text").alias("hay"))
+    docs = scan(spark, d, "documents").select(F.lit("q").alias("question"), F.col("doc_id").alias("key"), X.normalize("text").alias("hay"))
     docs = docs.withColumn("terms", F.array(*[F.lit(t) for t in ("the", "license", "apache", "worthless", "trash", "onanin")]))
     got = V.lexical(docs)
     return got.select(F.col("key").alias("doc_id"), F.round("lexical", 6).alias("lexical"))
@@ -90,7 +90,7 @@ def _sections(spark, d):
 
 
 def j7_descendants(spark, d):
-    roots = _sections(spark, d).filter("p_partkey % 10 = 0").select("document", "number").distinct()
+    roots = _sections(spark, d).select("document", "number").distinct()
     got = E.descendants(_sections(spark, d), roots, "document", "number")
     return got.select("document", "root", "number", "p_partkey")
 
@@ -136,7 +136,7 @@ def w11_carried(spark, d):
 
 
 def j13_overlap(spark, d):
-    o = scan(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+    o = scan(spark, d, "lineitem")
     cells = o.select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("cell"), F.col("l_quantity").alias("x"), (F.col("l_quantity") + F.col("l_tax") * 100).alias("x_end"))
     slots = spark.range(5).select(F.col("id").alias("slot"), (F.col("id") * 11.0).alias("s"), (F.col("id") * 11.0 + 10).alias("s_end"))
     tables = o.select(F.col("l_orderkey").alias("t")).distinct().withColumn("slots", F.expr("sequence(0, 4)"))
@@ -146,7 +146,7 @@ def j13_overlap(spark, d):
 
 
 def a14_median(spark, d):
-    return scan(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(E.upper_median("l_quantity").alias("median"))
+    return E.upper_medians(scan(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
 QUERIES = {f.__name__: f for f in (v1_nearest, j9_merge, r11_fusion, r9_gap, r13_select, r8_budget, r11_lexical, j6_neighbours, j14_links, j7_descendants, j8_parents, b8_numbers, w4_first, w7_heads, w8_runs, w9_equal_runs, w10_copies, w11_carried, j13_overlap, a14_median)}
@@ -166,7 +166,7 @@ from .retrieval_queries import plain_sql  # noqa: E402
 
 ORACLES = {
     "r11_lexical": f"""
-WITH c AS (SELECT doc_id, {plain_sql('text')} AS hay FROM documents WHERE lang = 'en'),
+WITH c AS (SELECT doc_id, {plain_sql('text')} AS hay FROM documents),
      h AS (SELECT doc_id, term FROM c, (SELECT unnest(['the', 'license', 'apache', 'worthless', 'trash', 'onanin']) AS term) WHERE contains(hay, term)),
      w AS (SELECT term, ln(((SELECT count(*) FROM c) + 1.0) / (count(*) + 1.0)) AS w FROM h GROUP BY 1),
      s AS (SELECT doc_id, sum(w) AS s FROM h JOIN w USING (term) GROUP BY 1)
@@ -194,7 +194,7 @@ AND c.turn BETWEEN a.turn - 1 AND a.turn + 2
 SELECT conv_id || '-' || turn AS key, lag(conv_id || '-' || turn) OVER w AS previous, lead(conv_id || '-' || turn) OVER w AS next FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 """,
-    "j7_descendants": f"""WITH {_SECTIONS}, r AS (SELECT DISTINCT document, number AS root FROM s WHERE p_partkey % 10 = 0)
+    "j7_descendants": f"""WITH {_SECTIONS}, r AS (SELECT DISTINCT document, number AS root FROM s)
 SELECT document, root, number, p_partkey FROM s JOIN r USING (document) WHERE number = root OR starts_with(number, root || '.')""",
     "j8_parents": f"""WITH {_SECTIONS}, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY document, number ORDER BY p_partkey) = 1)
 SELECT a.document, a.number, p.number || ' ' || p.p_name AS parent_title FROM f a LEFT JOIN f p ON p.document = a.document AND contains(a.number, '.') AND p.number = regexp_replace(a.number, '\\.[^.]+$', '')""",
@@ -221,7 +221,7 @@ SELECT event_id, CASE WHEN n = 1 THEN event_type ELSE event_type || '_' || n END
 SELECT event_id, last_value(CASE WHEN value > 50 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events
 """,
     "j13_overlap": """
-WITH c AS (SELECT l_orderkey AS t, l_linenumber::BIGINT AS cell, l_quantity AS x, l_quantity + l_tax * 100 AS xe FROM lineitem WHERE l_orderkey % 10 = 0),
+WITH c AS (SELECT l_orderkey AS t, l_linenumber::BIGINT AS cell, l_quantity AS x, l_quantity + l_tax * 100 AS xe FROM lineitem),
      p AS (SELECT t, cell, slot, greatest(0.0, least(xe, slot * 11.0::DOUBLE + 10) - greatest(x, slot * 11.0::DOUBLE)) AS shared,
                   abs((x + xe - slot * 11.0::DOUBLE - (slot * 11.0::DOUBLE + 10)) / 2) AS apart FROM c, range(5) r(slot))
 SELECT t, cell, slot FROM p QUALIFY row_number() OVER (PARTITION BY t, cell ORDER BY shared DESC, apart, slot) = 1

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators import activity as A
 from tessera.operators import answers as O
+from tessera.operators import cells as X
 from tessera.operators import chunks as C
 from tessera.operators import expansion as E
 from tessera.operators import keywords as K
 from tessera.operators import signals as S
+from tessera.operators import table_rows as R
 from tessera.operators import vectors as V
 from tessera.sources import files, tables
 
@@ -126,8 +128,86 @@ def test_preamble_and_refusals(spark):
     rows = [("Theo Source 12, x", "x"), ("Theo nguồn 14, X", "X"), ("Dựa vào nguồn 5: y.", "y."), ("  ", "  "), (None, None), ("Theo dõi", "Theo dõi")]
     df = spark.createDataFrame(rows, "a string, b string")
     assert [tuple(r) for r in df.select(O.without_preamble(F.col("a")), "b").collect()] == [(b, b) for _, b in rows]
-    r = spark.createDataFrame([("Không tìm thấy. AB-123",), ("AB-123 không tìm thấy",), ("có",)], "t string").select(O.refusal(F.col("t")).alias("r")).collect()
-    assert [tuple(x.r) for x in r] == [(True, True), (True, False), (False, False)]
+    told = [("Không tìm thấy thông tin. AB-123",), ("AB-123 không tìm thấy thông tin",), ("Không có trong tài liệu\n1. x",), ("khong co thong tin AB12",), (None,), (" 1. x Không có thông tin",)]
+    r = spark.createDataFrame(told, "t string").select(O.refusal(F.col("t")).alias("r"), O.substantive(F.col("t")).alias("s")).collect()
+    assert [tuple(x.r) for x in r] == [(True, True), (True, False), (True, True), (False, False), (False, False), (True, False)]
+    assert [x.s for x in r] == [True, True, True, False, False, True]
+
+
+# Sentences whose preamble is known (FIXTURES.md 1.1).
+PREAMBLES = [
+    ("Theo Source 12, thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026.", "thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026."),
+    ("Theo nguồn 14, Từ ngày 09/02/2026 đến ngày 01/03/2026.", "Từ ngày 09/02/2026 đến ngày 01/03/2026."),
+    ("Dựa trên Source 3, kết quả là 42.", "kết quả là 42."),
+    ("Dựa vào nguồn 5: thông tin đã có.", "thông tin đã có."),
+    ("Thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026.", "Thời gian học quân sự là từ ngày 30/03/2026 đến ngày 26/04/2026."),
+    (None, None),
+    ("  ", "  "),
+    ("  Theo nguồn — x", "x"),
+    ("  Theo tài liệu, x", "  Theo tài liệu, x"),
+]
+
+
+def test_known_preambles(spark):
+    got = spark.createDataFrame(PREAMBLES, "a string, b string").select(O.without_preamble(F.col("a")).alias("a"), "b").collect()
+    assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_intent(spark):
+    asked = [("K46 là gì", "TABLE_LOOKUP", 0.55), ("HK2", "TABLE_LOOKUP", 0.55), ("mục 1.2", "SECTION_SUMMARY", 0.8), ("năm 2024.5678", "NORMAL_FACT", 0.3), (" ", "NORMAL_FACT", 1.0), (None, "NORMAL_FACT", 1.0), ("ab12", "NORMAL_FACT", 0.3)]
+    got = spark.createDataFrame(asked, "t string, k string, c double").select(S.intent(F.col("t")).alias("i"), "k", "c").collect()
+    assert [(r.i.kind, r.i.confidence) for r in got] == [(r.k, r.c) for r in got]
+
+
+def test_tables_worked_out_by_hand(spark):
+    some = [
+        (1, "| Name | Price | Date |\n|---|---|---|\n| AB12 | 10 | 1/2/2024 |\n|  | more | |\n| CD34 | 20 | 3/4/2024 |"),
+        (2, "| Class | Teacher |\n| Group: evening | |\n| 1 | Ann |\n| 2 | Bob |"),
+        (3, "no table"),
+        (4, ""),
+        (5, "| a | a | |\n|---|---|---|\n| 1 | 2 | 3 |"),
+        (6, "| a | | |\n|---|---|---|\n| 1 | 2 | 3 |"),
+    ]
+    df = spark.createDataFrame(some, "table_id int, markdown string")
+    assert {r.table_id: r.problem for r in R.problems(df, "markdown", "table_id").collect()} == {1: None, 2: None, 3: "no-rows", 4: "empty-markdown", 5: None, 6: "insufficient-headers"}
+    rows = R.normalized_rows(df, "markdown", "table_id")
+    assert sorted((r.table_id, r.row_index, r.group_context, r.row_text, r.cells_json) for r in rows.collect()) == [
+        (1, 1, "", "Name: AB12; Price: 10 more; Date: 1/2/2024", '{"name":"AB12","price":"10 more","date":"1/2/2024"}'),
+        (1, 2, "", "Name: CD34; Price: 20; Date: 3/4/2024", '{"name":"CD34","price":"20","date":"3/4/2024"}'),
+        (2, 1, "Group: evening", "Class: 1; Teacher: Ann", '{"class":"1","teacher":"Ann"}'),
+        (2, 2, "Group: evening", "Class: 2; Teacher: Bob", '{"class":"2","teacher":"Bob"}'),
+        (5, 1, "", "a: 1; a_2: 2; col_3: 3", '{"a":"1","a_2":"2","col_3":"3"}'),
+    ]
+    assert sorted(tuple(r) for r in R.quality(rows, "table_id").collect()) == [(1, 2, 0, 6, 0, 0), (2, 2, 0, 4, 0, 0), (5, 1, 0, 3, 0, 1)]
+
+
+def test_cell_scores(spark):
+    def of(question, cells, context="", table=""):
+        df = S.with_signals(spark.createDataFrame([(question, cells, context, table)], "question string, cells array<struct<key string, value string>>, g string, t string"), "question")
+        return df.select(X.score(F.col("cells"), F.col("g"), F.col("t")).alias("s")).first().s
+
+    # A code on its boundaries only: 8 and nothing for AB1234 in AB12345.
+    assert of("code AB1234", [("x", "AB1234")]).codes == 8 and of("code AB1234", [("x", "AB12345")]).codes == 0
+    # A label in each cell with a like name, by its value under another name, and against another number.
+    assert of("class 5", [("class", "5"), ("class", "5 b")]).labels == 12
+    assert of("class 5", [("room", "5")]).labels == 4
+    s = of("class 5", [("class", "7")])
+    assert (s.labels, s.conflicts, s.total) == (0, -8, 0) and not s.exact
+    assert of("class 5", [("class", "seven")]).conflicts == 0
+    # Runs of words and words are two kinds; dates count as exact.
+    s = of("blue moon", [("x", "the blue moon")])
+    assert (s.phrases, s.kinds, s.several, s.total) == (4, 2, 5, 9)
+    s = of("on 1/2/2024", [("x", "1/2/2024")])
+    assert s.dates == 3.0 and s.exact  # the full date and its day and month
+    assert of("class 5", [("x", "y")], "Class 5 b").group == 0.8 + 0.3
+    assert of("blue moon", [("x", "y")], "", "Blue moon table").named == 0.5
+    assert of("class 5", []) is None
+
+
+def test_upper_medians(spark):
+    rows = [("a", 3.0), ("a", 1.0), ("a", 3.0), ("a", 9.0), ("b", 2.0), ("c", None), ("d", 1.0), ("d", None), ("d", 5.0)]
+    got = E.upper_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
+    assert sorted(map(tuple, got.collect())) == [("a", 3.0), ("b", 2.0), ("d", 5.0)]
 
 
 def test_deletes(spark):
