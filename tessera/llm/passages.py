@@ -1,12 +1,12 @@
 """Removing passages of words that an earlier document has, with repeated-phrase automata.
 
 1. Every document's anchor phrases (anchors.py) are counted over the corpus; those that stand in one document are
-   no part of any repeated window and drop out. If all anchors of a phrase have equal segments, their windows are
-   equal too and the smallest document keeps them.
-2. The other phrases are confirmed on the texts: the phrases that a shard of documents can hold are compiled
-   into one Aho-Corasick automaton, over words, and all documents of the shard are streamed through it. Each
-   occurrence gives the windows around it.
-3. The windows are combined by a 128-bit hash of their words; all but the smallest document lose them.
+   no part of any repeated window and drop out. The others are confirmed phrases; their words are cut from one document each.
+2. Equal segments of a phrase are a class, a recurring passage. If a phrase has one class, its windows are equal wherever it
+   stands, and the smallest document keeps them; else one segment of each class is cut into windows, which are combined by a 128-bit
+   hash of their words: that gives the smallest document that has a window, for all members of its class.
+3. The documents that may hold confirmed phrases are streamed, in shards, through Aho-Corasick automata of those
+   phrases, over words. Where the automata find a phrase, and nowhere else, the windows around it that an earlier document has go.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .anchors import anchor_ranges, find_anchors, packed, per_text, text_rows, u
 from .common import keep
 
 WINDOW, PHRASE = 50, 12
+#: Phrases of an automaton, at most.
+PHRASES = 50_000
 NO_ID = 2**63 - 1
 
 
@@ -47,66 +49,53 @@ def word_anchors(window: int, k: int):
     return anchors_of
 
 
-def occurrences(texts: list[list[bytes]], phrases: list[tuple[int, int]], k: int):
-    """Per text the positions at which any of the phrases, given as (text, position), occurs.
+def occurrences(texts: list[list[bytes]], phrases: list[bytes], k: int, most: int = PHRASES) -> list[list[int]]:
+    """Per text the positions at which any of the phrases (k words, joined by a space) occurs.
 
-    Each different word of the texts becomes one character, so that the automaton has a node per word and a match
-    is a match of whole words.
+    Each different word of the phrases becomes one character, so that the automaton has a node per word and a match
+    is a match of whole words; all other words are one character that no phrase has. An automaton has `most` phrases at most.
     """
-    codes: dict[bytes, str] = {}
-    lines = []
-    for words in texts:
-        for w in words:
-            if w not in codes:
-                c = len(codes) + 1
-                codes[w] = chr(c if c < 0xD800 else c + 0x800)
-        lines.append("".join([codes[w] for w in words]))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for t, at in phrases:
-        automaton.add_word(lines[t][at : at + k])
-    if not len(automaton):
-        return [[] for _ in texts]
-    automaton.make_automaton()
-    return [[end - k + 1 for end, _ in automaton.iter(line)] for line in lines]
-
-
-def _windows(window: int, k: int, shard_words: int):
-    """mapInArrow function: id, tid, z, ranges(s, n, at) to w1, w2, id, tid, pos of the windows to combine."""
+    found: list[list[int]] = [[] for _ in texts]
+    for at in range(0, len(phrases), most):
+        codes: dict[bytes, str] = {}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in phrases[at : at + most]:
+            line = []
+            for w in phrase.split(b" "):
+                c = codes.get(w)
+                if c is None:
+                    n = len(codes) + 1
+                    c = codes[w] = chr(n if n < 0xD800 else n + 0x800)
+                line.append(c)
+            automaton.add_word("".join(line))
+        automaton.make_automaton()
+        for words, places in zip(texts, found):
+            places += [end - k + 1 for end, _ in automaton.iter("".join([codes.get(w, "\0") for w in words]))]
+    return found
+
+
+def _stream(k: int, shard_words: int, names: list[str]):
+    """mapInArrow function: id, tid, z, xs(h, seg, s, n, at, phrase) to id, tid, h, seg, s, n of the xs whose phrase an automaton finds at `at`."""
 
     def shard(batch, rows, texts):
-        phrases = [(i, r["at"]) for i, row in enumerate(rows) for r in batch.column(3)[row].as_py()]
-        for i, places in enumerate(occurrences(texts, phrases, k)):
-            row = rows[i]
-            mine = np.zeros(max(0, len(texts[i]) - window + 1) + 1, dtype=np.int64)
-            for r in batch.column(3)[row].as_py():
-                mine[r["s"]] += 1
-                mine[r["s"] + r["n"]] -= 1
-            hit = np.zeros(len(mine), dtype=np.int64)
-            for q in places:
-                hit[max(0, q + k - window)] += 1
-                if q + 1 < len(hit):
-                    hit[q + 1] -= 1
-            # Windows of these anchors that hold an occurrence; anchors_of() has the reasons for the first.
-            at = np.flatnonzero((np.cumsum(mine[:-1]) > 0) & (np.cumsum(hit[:-1]) > 0))
-            line, begin = _line(texts[i])
-            digests = b"".join(xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(begin[at].tolist(), (begin[at + window] - 1).tolist()))
-            both = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-            base = batch.select([0, 1]).take(pa.array(np.full(len(at), row, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), base.column(0), base.column(1), pa.array(at.astype(np.int32))], names=["w1", "w2", "id", "tid", "pos"])
+        xs = [batch.column(3)[i].values for i in rows]
+        fields = [{n: x.field(n) for n in ("h", "seg", "s", "n", "at")} for x in xs]
+        phrases = sorted({p for x in xs for p in x.field("phrase").to_pylist()})
+        for i, x, places in zip(rows, fields, occurrences(texts, phrases, k)):
+            good = pa.array(np.isin(x["at"].to_numpy(), np.array(places, dtype=np.int64)))
+            own = batch.select([0, 1]).take(pa.array(np.full(good.true_count, i, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([*own.columns, *[x[n].filter(good) for n in ("h", "seg", "s", "n")]], names=names)
 
     def run(batches):
         for batch in batches:
             rows, texts, size = [], [], 0
             for i, z in enumerate(batch.column(2)):
-                words = unpack(z.as_py()).split()
                 rows.append(i)
-                texts.append(words)
-                size += len(words)
-                if size > shard_words:
+                texts.append(unpack(z.as_py()).split())
+                size += len(texts[-1])
+                if size > shard_words or i == batch.num_rows - 1:
                     yield from shard(batch, rows, texts)
                     rows, texts, size = [], [], 0
-            if rows:
-                yield from shard(batch, rows, texts)
 
     return run
 
@@ -126,35 +115,74 @@ def duplicate_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id, tid, ranges: the word ranges (s inclusive, e exclusive) to remove, for texts that have any."""
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType
-    order = F.coalesce("id", F.lit(NO_ID)) if isinstance(kind, (T.LongType, T.IntegerType)) else F.col("id")
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        order = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))
+    else:
+        order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     anchors = keep(find_anchors(rows, word_anchors(window, phrase)), "anchors")
-    # Kept: both sides of the join are then dealt anew, and Spark can split the anchors of a very common phrase.
+    # What a join needs is kept just as it joins: Spark then knows its size, and either sends it to all tasks or deals both sides
+    # anew and splits the rows of a very common phrase.
     groups = keep(
         anchors.groupBy("h")
-        .agg(F.min(order).alias("owner"), F.max(order).alias("last"), F.min("seg").alias("seg_a"), F.max("seg").alias("seg_b"))
+        .agg(F.min(order).alias("owner"), F.max(order).alias("last"), F.min("seg").alias("first"), F.max("seg").alias("seg_b"))
         .filter("owner < last")
-        .select("h", "owner", (F.col("seg_a") == F.col("seg_b")).alias("alike")),
+        .select("h", "first", (F.col("first") == F.col("seg_b")).alias("alike")),
         "groups",
     )
-    span = F.struct("s", (F.col("s") + F.col("n") - 1 + window).alias("e"))
-    hits = keep(
-        per_text(
-            anchors.join(groups, "h"),
-            F.collect_set(F.when(F.col("alike") & (order > F.col("owner")), span)).alias("sure"),
-            F.collect_set(F.when(~F.col("alike"), F.struct("s", "n", "at"))).alias("open"),
-        ),
-        "hits",
+    found = keep(anchors.join(groups, "h"), "found")
+    member = F.struct("id", "tid", "s", "n", "at")
+    classes = keep(
+        found.groupBy("h", "seg").agg(F.min(order).alias("owner"), F.max(order).alias("last"), F.min(member).alias("r"), F.first("alike").alias("alike"), (F.first("first") == F.col("seg")).alias("first")),
+        "classes",
     )
     texts = packed(rows, lambda content: b" ".join(content.split()))
-    schema = T.StructType([T.StructField(n, t) for n, t in (("w1", T.LongType()), ("w2", T.LongType()), ("id", kind), ("tid", T.LongType()), ("pos", T.IntegerType()))])
-    windows = keep(
-        with_texts(texts, hits.filter("size(open) > 0").select("id", "tid", "open")).mapInArrow(_windows(window, phrase, shard_words), schema), "windows"
+    wanted = classes.filter("first or not alike").select("r.id", "r.tid", F.struct("h", "seg", "alike", "first", "r.s", "r.n", "r.at").alias("x"))
+    names = ["h", "seg", "phrase", "w1", "w2", "j"]
+
+    def cut(batches):
+        for batch in batches:
+            for z, xs in zip(batch.column(2), batch.column(3)):
+                line, begin = _line(unpack(z.as_py()).split())
+                out = [[] for _ in names]
+                for x in xs.as_py():
+                    if x["first"]:
+                        words = line[begin[x["at"]] : begin[x["at"] + phrase] - 1]
+                        for c, v in zip(out, (x["h"], x["seg"], words, None, None, None)):
+                            c.append(v)
+                    if not x["alike"]:
+                        a, e = begin[x["s"] : x["s"] + x["n"]].tolist(), (begin[x["s"] + window : x["s"] + x["n"] + window] - 1).tolist()
+                        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(line[i:j]) for i, j in zip(a, e)]), dtype="<i8").reshape(-1, 2)
+                        n = x["n"]
+                        for c, v in zip(out, ([x["h"]] * n, [x["seg"]] * n, [None] * n, both[:, 0].tolist(), both[:, 1].tolist(), range(n))):
+                            c += v
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+
+    cuts = keep(with_texts(texts, per_text(wanted, F.collect_set("x").alias("xs"))).mapInArrow(cut, "h long, seg long, phrase binary, w1 long, w2 long, j int"), "cuts")
+    phrases = keep(cuts.filter("phrase is not null").select("h", "phrase"), "phrases")
+
+    held = per_text(found.join(phrases, "h"), F.collect_set(F.struct("h", "seg", "s", "n", "at", "phrase")).alias("xs"))
+    fields = [("id", kind), ("tid", T.LongType()), ("h", T.LongType()), ("seg", T.LongType()), ("s", T.IntegerType()), ("n", T.IntegerType())]
+    places = with_texts(texts, held).mapInArrow(_stream(phrase, shard_words, [n for n, _ in fields]), T.StructType([T.StructField(n, t) for n, t in fields]))
+    places = keep(places, "places")
+
+    windows = cuts.filter("w1 is not null").drop("phrase").join(classes.filter("not alike").select("h", "seg", "owner", "last"), ["h", "seg"])
+    windows = keep(windows, "windows")
+    owners = keep(windows.groupBy("w1", "w2").agg(F.min("owner").alias("first"), F.max("last").alias("to")).filter("first < to").drop("to"), "owners")
+    late = windows.join(owners, ["w1", "w2"]).filter("first < last").groupBy("h", "seg").agg(F.sort_array(F.collect_set(F.struct("j", "first"))).alias("js"))
+    none = F.lit(None).cast(late.schema["js"].dataType)
+    results = keep(
+        classes.filter("alike and owner < last").select("h", "seg", "owner", none.alias("js")).unionByName(late.select("h", "seg", F.lit(None).cast(classes.schema["owner"].dataType).alias("owner"), "js")),
+        "results",
     )
-    owners = keep(windows.groupBy("w1", "w2").agg(F.min(order).alias("owner"), F.max(order).alias("last")).filter("owner < last").drop("last"), "owners")
-    late = windows.join(owners, ["w1", "w2"]).filter(order > F.col("owner"))
-    late = per_text(late, F.collect_set(F.struct(F.col("pos").alias("s"), (F.col("pos") + window).alias("e"))).alias("ranges"))
-    sure = hits.filter("size(sure) > 0").select("id", "tid", F.col("sure").alias("ranges"))
-    return per_text(sure.unionByName(late), F.flatten(F.collect_list("ranges")).alias("ranges"))
+    span = lambda a, e: F.struct((F.col("s") + a).alias("s"), (F.col("s") + e + window).alias("e"))
+    mine = F.transform(F.filter("js", lambda x: x["first"] < order), lambda x: x["j"])
+    run = F.array(span(F.get("mine", F.lit(0)), F.element_at("mine", -1)))
+    several = F.transform("mine", lambda j: span(j, j))
+    in_a_row = F.element_at("mine", -1) - F.get("mine", F.lit(0)) + 1 == F.size("mine")
+    spans = F.when(F.col("js").isNull(), F.when(order > F.col("owner"), F.array(span(F.lit(0), F.col("n") - 1)))).when(F.size("mine") > 0, F.when(in_a_row, run).otherwise(several))
+    out = places.join(results, ["h", "seg"]).withColumn("mine", mine).select("id", "tid", spans.alias("spans")).filter("spans is not null")
+    return per_text(out, F.array_distinct(F.flatten(F.collect_list("spans"))).alias("ranges"))
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **sizes) -> DataFrame:

@@ -74,6 +74,28 @@ def test_anchor_ranges(monkeypatch):
 
 
 def test_occurrences():
-    texts = [[b"a", b"b", b"a", b"b", b"a"], [b"b", b"a", b"b"], []]
-    assert passages.occurrences(texts, [(0, 0)], 3) == [[0, 2], [], []]
-    assert passages.occurrences(texts, [], 3) == [[], [], []]
+    texts = [[b"a", b"b", b"a", b"b", b"a"], [b"b", b"a", b"b"], [], [b"a", b"bb", b"a"]]
+    assert passages.occurrences(texts, [b"a b a"], 3) == [[0, 2], [], [], []]
+    assert passages.occurrences(texts, [], 3) == [[], [], [], []]
+    assert [sorted(x) for x in passages.occurrences(texts, [b"a b a", b"b a b"], 3, 1)] == [[0, 1, 2], [0], [], []]
+
+
+def test_very_many_different_words():
+    words = [b"w%d" % i for i in range(1_200_000)]
+    assert passages.occurrences([words, words[5:]], [b" ".join(words[i : i + 12]) for i in range(0, 1_199_000, 600_000)], 12) == [[0, 600_000], [599_995]]
+
+
+def test_places_come_from_the_automata(spark, monkeypatch):
+    """Phrases that the automata do not find are not removed."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, "a " + passage), (2, "b " + passage + " c")], "doc_id long, text string")
+    assert {r.id: r.n_removed for r in passages.remove_repeated_passages(df).collect()} == {1: 0, 2: 60}
+    stream = passages._stream
+    monkeypatch.setattr(passages, "_stream", lambda k, n, names: stream(k + 1, n, names))  # finds every phrase one word too early
+    assert {r.id: r.n_removed for r in passages.remove_repeated_passages(df).collect()} == {1: 0, 2: 0}
+
+
+def test_null_string_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(None, passage), ("z", passage + " x"), ("a", "y " + passage)], "doc_id string, text string")
+    assert {r.id: r.n_removed for r in passages.remove_repeated_passages(df).collect()} == {"a": 0, "z": 60, None: 60}
