@@ -65,7 +65,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.cotrain(documents, quality.clean_labels(table(spark, sf_dir, "labels")))
-    return model.score(documents).withColumnRenamed("id", "doc_id")
+    return model.score().withColumnRenamed("id", "doc_id")
 
 
 def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,30 @@ def test_without_labels(corpus):
     bad = quality.clean_labels(truth.filter("quality = 0"))
     assert quality.cotrain(docs, bad).score(docs).filter("keep").count() == 0
     assert quality.cotrain(docs.filter("false"), none).score(docs.filter("false")).count() == 0
+
+
+def test_views_together(corpus):
+    docs, truth = corpus
+    known = quality.clean_labels(truth.filter("quality is not null"))
+    unseen = truth.filter("quality is null").select("doc_id", (F.col("kind") == "good").alias("good"))
+    right = {}
+    for rounds in (0, 2):
+        found = quality.cotrain(docs, known, rounds=rounds).score().join(unseen, F.col("id") == F.col("doc_id"))
+        right[rounds] = found.agg(*[F.avg(((F.col(c) >= 0.5) == F.col("good")).cast("int")) for c in ("p_text", "p_page", "score")]).first()
+    assert right[2][2] >= max(right[2][:2]) - 0.02 and right[2][2] >= right[0][2] - 0.02
+
+
+def test_good_rows_keep_all_columns(spark, corpus):
+    docs, truth = corpus
+    clash = docs.withColumnsRenamed({"tokens": "id", "good": "label_id"}).withColumn("tid", F.lit(1)).withColumn("keep", F.array(F.lit("x")))
+    model = quality.cotrain(clash, quality.clean_labels(truth.filter("quality is not null")))
+    kept = model.good_rows(clash)
+    assert kept.schema == clash.schema and 0 < kept.count() < clash.count()
+    assert kept.count() == model.score(clash).filter("keep").count() and kept.exceptAll(clash).count() == 0
+    assert model.good_rows(clash.filter("false")).count() == 0
+
+
+def test_document_frequency(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "B c"), (3, None)], "doc_id long, text string").withColumns({"lang": F.lit("x"), "source": F.lit(None).cast("string")})
+    found = {r.h: r.n for r in quality.document_frequency(quality.views(docs)).collect()}
+    assert found == {quality.crc32(b"a"): 1, quality.crc32(b"b"): 2, quality.crc32(b"c"): 1}
