@@ -3,8 +3,9 @@
 Pivots are fitted on a bounded sample; every vector belongs to its nearest pivot. For each group of queries a
 few numbers are summed up: the pivot p, the largest distance rho of a query to it, and theta, the smallest k-th
 best score that any of its queries has among the sample rows. A data vector x can be among the answers of the
-group only if p.x + rho |x| >= theta, so it is sent there and nowhere else. Groups are solved in blocks of
-queries and chunks of data, whose best k are merged.
+group only if p.x + rho |x| >= theta, so it is sent there and nowhere else. Groups whose bound leaves out less than half of the
+sample become one, to which every vector is sent once: where bounds say little (vectors without clusters), data are not copied for
+them. Groups are solved in blocks of queries and chunks of data, whose best k are merged.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import keep
 SAMPLE, PIVOTS = 4096, 24
 #: Rows of a chunk of data and queries of a block.
 CHUNK, BLOCK = 16384, 2048
+#: Groups that more of the sample reaches than this are solved together.
+WIDE = 0.5
 
 
 def whole_numbers(vector: Column, scale: float = 256.0) -> Column:
@@ -120,10 +123,18 @@ def knn_join(
     blocks = {b.cell: -(-b.n // block) for b in bounds}
 
     def reach(x: np.ndarray) -> np.ndarray:
+        """Which groups the vectors are sent to."""
         norm = np.sqrt((x * x).sum(axis=1))
         upper = x @ centres[cells].T + norm[:, None] * rho[None, :]
         return upper * (1 + 1e-9 * np.sign(upper)) + 1e-3 >= theta[None, :]
 
+    wide = reach(sample).mean(axis=0) > WIDE
+    if wide.sum() > 1:
+        common = [int(c) for c in cells[wide]]
+        grouped = grouped.withColumn("cell", F.when(F.col("cell").isin(common), -1).otherwise(F.col("cell")))
+        blocks = {c: n for c, n in blocks.items() if c not in common} | {-1: -(-sum(b.n for b in bounds if b.cell in common) // block)}
+        cells, rho, theta = np.append(cells[~wide], np.int32(-1)), np.append(rho[~wide], 0.0), np.append(theta[~wide], -np.inf)
+
     def count(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(reach(_matrix(batch.column(1), dim)).sum(axis=0).astype(np.int64))], names=["cell", "n"])

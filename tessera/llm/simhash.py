@@ -7,14 +7,17 @@ its distance to the vantage point, give or take r, still reaches; it visits thos
 On 64 random bits nearly all distances are close to 32, so a single tree with r = 4 prunes almost
 nothing. The trees therefore measure distance on a block of the bits, one tree a block: of two fingerprints
 within max_bits, some block differs in at most max_bits // blocks bits, which is that tree's r. With
-max_bits + 1 blocks r is 0 and nobody visits a second shard. Each tree is fitted on a bounded sample and
-then holds every fingerprint; pairs are confirmed on all 64 bits inside the shards.
+max_bits + 1 blocks r is 0 and nobody visits a second shard. With more blocks still, several of them agree, and there is a tree for
+every choice of so many: more copies of each fingerprint, far fewer comparisons. The number of blocks grows with that of the
+fingerprints. Each tree is fitted on a bounded sample and then holds every fingerprint; where r is 0 a shard is cut further by
+a hash of the tree's bits. Pairs are confirmed on all 64 bits inside the shards.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ SAMPLE, SHARD_ROWS, TILE_ROWS = 16384, 512, 8192
 #: For similar texts without a contract: words of a shingle, Jaccard similarity, and bits that find it (at 0.8 a bit
 #: differs with a chance of 0.15).
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_BITS, TALLY = 5, 0.8, 16, 64
+#: Comparisons that a copy of a fingerprint in a further tree must save to be worth its shuffle; copies at most.
+COPY, MOST_TREES = 1000, 40
 _STEP = 32768
 
 
@@ -137,6 +142,21 @@ def blocks_of(n: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
+def masks_of(blocks: int, agree: int) -> list[int]:
+    """Masks of every choice of `agree` of the blocks."""
+    return [sum(some) for some in combinations(blocks_of(blocks), agree)]
+
+
+def blocks_for(n: int, max_bits: int) -> int:
+    """Blocks for so many fingerprints: one more than max_bits at first, which costs a copy for each; more when comparisons
+    inside the shards, about n * n / 2 ** (64 * agree / blocks) for each tree, outweigh the copies of more trees."""
+    def cost(blocks: int) -> float:
+        trees = math.comb(blocks, blocks - max_bits)
+        return trees * n * (COPY + n / 2 ** (64 * (blocks - max_bits) / blocks))
+
+    return min((b for b in range(max_bits + 1, max_bits + 4) if math.comb(b, max_bits) <= MOST_TREES), key=cost)
+
+
 def local_links(homes: np.ndarray, visitors: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all that pairs of a home and any other within max_bits connect: fewer than there are rows."""
     every = np.concatenate([homes, visitors])
@@ -179,14 +199,17 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, sh
     their own, so no task grows with a hot shard.
     """
     spark = fps.sparkSession
-    blocks = blocks or max_bits + 1
+    n = fps.count()
+    blocks = blocks or blocks_for(n, max_bits)
     r = max_bits // blocks
     if every and r:
         raise ValueError("every pair needs more blocks than max_bits")
-    n = fps.count()
+    masks = masks_of(blocks, max(1, blocks - max_bits))
     sample = np.array([x.fp for x in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     shards = min(max(1, n // shard_rows), max(1, SAMPLE // 4))
-    forest = [grow(sample, m, shards) for m in blocks_of(blocks)]
+    forest = [grow(sample, m, shards) for m in masks]
+    # Parts of a shard by the tree's bits, where partners agree on all of them.
+    cuts = 1 if r else max(1, n // shards // shard_rows)
 
     def place(batches):
         for batch in batches:
@@ -200,20 +223,20 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, sh
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(rows), t, dtype=np.int32)),
-                        pa.array(where.astype(np.int32)),
+                        pa.array(where * cuts + ((mine[rows] & tree.mask) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % cuts),
                         pa.array(mine[rows].view(np.int64)),
                         pa.array(home[rows] == where),
                     ],
                     names=["tree", "shard", "fp", "home"],
                 )
 
-    placed = fps.select("fp").mapInArrow(place, "tree int, shard int, fp long, home boolean")
-    # At most SAMPLE rows a tree: the parts of each shard.
+    placed = fps.select("fp").mapInArrow(place, "tree int, shard long, fp long, home boolean")
+    # Large shards only: at most n / tile_rows a tree.
     parts = placed.groupBy("tree", "shard").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("parts"))
     big = {(x.tree, x.shard): x.parts for x in parts.filter("parts > 1").collect()}
     placed = placed.withColumn("tile_a", F.lit(0)).withColumn("tile_b", F.lit(0))
     if big:
-        cut = F.broadcast(spark.createDataFrame([(t, s, p) for (t, s), p in big.items()], "tree int, shard int, parts int"))
+        cut = F.broadcast(spark.createDataFrame([(t, s, p) for (t, s), p in big.items()], "tree int, shard long, parts int"))
         placed = placed.drop("tile_a", "tile_b").join(cut, ["tree", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         placed = placed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -222,7 +245,7 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, sh
     def confirm(table: pa.Table) -> pa.Table:
         fp, home = np.asarray(table.column("fp")).view(np.uint64), np.asarray(table.column("home"))
         if every:
-            a, b = local_pairs(fp, max_bits, blocks_of(blocks), table.column("tree")[0].as_py())
+            a, b = local_pairs(fp, max_bits, masks, table.column("tree")[0].as_py())
         else:
             a, b = local_links(fp[home], fp[~home], max_bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})

@@ -34,3 +34,15 @@ def test_few_rows(spark):
     assert [tuple(r) for r in knn.knn_join(df, df.filter("vec_id = 0"), 5).collect()] == [(0, 1, 1, 128 * 256 - 256 * 512)]
     assert knn.knn_join(df.filter("false"), df, 5).count() == 0
     assert knn.knn_join(df, df.filter("false"), 5).count() == 0
+
+
+def test_clusters_are_pruned(spark):
+    """Queries among clustered vectors reach their own cluster only; vectors without clusters are sent once."""
+    rng = random.Random(8)
+    centres = [[10 * rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    clustered = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 6]]) for i in range(600)]
+    plain = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(600)]
+    for rows in (clustered, plain):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = knn.knn_join(df, df.filter("vec_id % 10 = 0"), 5, pivots=6)
+        assert sorted(map(tuple, found.collect())) == by_hand(rows, 5, 10)

@@ -44,7 +44,7 @@ def test_fingerprint():
     assert simhash.fingerprint(long.encode()) == by_hand(long)
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 5])
+@pytest.mark.parametrize("blocks", [1, 2, 5, 6, 7])
 @pytest.mark.parametrize("tile_rows", [8192, 7])
 def test_links(spark, blocks, tile_rows):
     rng = random.Random(blocks)
@@ -96,3 +96,19 @@ def test_near_duplicates(spark):
     want = sorted((repr(i), f, smallest[c]) for (i, _, _), f, c in zip(rows, fps, labels))
     assert sorted((repr(r.id), r.fp % 2**64, r.component_id) for r in found) == want
     assert simhash.near_duplicates(df.filter("false")).count() == 0
+
+
+def test_blocks_grow():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**11)] == [5, 5, 6, 7]
+    assert len(simhash.masks_of(6, 2)) == 15 and all(bin(m).count("1") >= 20 for m in simhash.masks_of(6, 2))
+
+
+def test_all_pairs(spark):
+    rng = random.Random(9)
+    some = [rng.getrandbits(64) for _ in range(20)]
+    fps = sorted({f ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) for f in some for _ in range(8)})
+    df = spark.createDataFrame([(int(np.array([f], np.uint64).view(np.int64)[0]),) for f in fps], "fp long")
+    want = {(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 4}
+    for blocks in (5, 6):
+        got = {tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.link(df, 4, blocks, shard_rows=8, every=True).collect()}
+        assert got == want
