@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep, whole
+from .common import keep, unused, whole
 
 SALTS = 16
 
@@ -75,11 +75,11 @@ def dedup_decisions(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of docs that stay, with all their columns. See dedup_decisions for which these are."""
-    stay = (
-        dedup_decisions(docs, id_col, text_col, salts).filter("kept").select(F.col("id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
-    )
-    rows = docs.withColumn("_digest", sha256(whole(F.col(text_col))))
-    joined = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest")), "left_semi")
-    repeated = W.partitionBy(id_col, "_digest").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)])
-    return joined.withColumn("_copy", F.row_number().over(repeated)).filter("_copy = 1").drop("_copy", "_digest")
+    """The rows of docs that stay, with all their columns, whatever their names. See dedup_decisions for which these are; of rows that
+    share id and text that with the smallest other columns stays."""
+    stay_id, stay_digest, digest, copy = unused(docs, "stay_id", "stay_digest", "digest", "copy")
+    stay = dedup_decisions(docs, id_col, text_col, salts).filter("kept").select(F.col("id").alias(stay_id), F.col("digest").alias(stay_digest))
+    rows = docs.withColumn(digest, sha256(whole(F.col(text_col))))
+    joined = rows.join(stay, F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(digest) == F.col(stay_digest)), "left_semi")
+    repeated = W.partitionBy(id_col, digest).orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)])
+    return joined.withColumn(copy, F.row_number().over(repeated)).filter(F.col(copy) == 1).select(*docs.columns)

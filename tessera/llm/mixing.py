@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep, word_count
+from .common import keep, unused, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -152,20 +152,21 @@ def mix(
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """The documents range-sorted by their first position; those that the mix leaves out come last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last(), "source", "id")
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "source", "id", "h2", "taken")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: the columns of docs, one row for each time the mix takes a document, in training order.
     A document that is taken in part keeps its first words."""
     mixed = keep(mix(docs, id_col=id_col, text_col=text_col, **options), "mixed")
-    turns = mixed.filter("taken > 0").select(F.col("id").alias("_id"), F.col("h2").alias("_h"), F.col("size").alias("_size"), F.explode("passes").alias("_turn"))
-    base = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
+    of, h, size, turn, key, copy = unused(docs, "of", "h2", "size", "turn", "key", "copy")
+    turns = mixed.filter("taken > 0").select(F.col("id").alias(of), F.col("h2").alias(h), F.col("size").alias(size), F.explode("passes").alias(turn))
+    base = docs.withColumn(key, F.xxhash64(F.col(text_col)))
     if mixed.groupBy("id", "h2").count().filter("count > 1").limit(1).count():
         # Rows alike in id and text become one row, with the turns of all of them.
-        alike = W.partitionBy(id_col, "_key").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)])
-        base = base.withColumn("_copy", F.row_number().over(alike)).filter("_copy = 1")
-    joined = base.join(turns, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
-    part = F.expr(f"regexp_extract(`{text_col}`, concat('^(?>[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){{0,', _turn.words, '}}+'), 0)")
-    text = F.when(F.col("_turn.words") < F.col("_size"), part).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).orderBy("_turn.position", id_col).select(*docs.columns)
+        alike = W.partitionBy(id_col, key).orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)])
+        base = base.withColumn(copy, F.row_number().over(alike)).filter(F.col(copy) == 1)
+    joined = base.join(turns, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(key) == F.col(h)))
+    part = F.expr(f"regexp_extract(`{text_col}`, concat('^(?>[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){{0,', `{turn}`.words, '}}+'), 0)")
+    text = F.when(F.col(f"{turn}.words") < F.col(size), part).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, text).orderBy(f"{turn}.position", id_col, key).select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, whole
+from .common import keep, unused, whole
 from .graph import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -286,8 +286,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _firsts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "tid").distinct().alias("s")
-    rows = docs.withColumn("_tid", F.xxhash64(whole(F.col(text_col)))).alias("d")
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")) & (F.col("d._tid") == F.col("s.tid"))
+    (tid,) = unused(docs, "tid")
+    rows = docs.withColumn(tid, F.xxhash64(whole(F.col(text_col)))).alias("d")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")) & (F.col(f"d.{tid}") == F.col("s.tid"))
     return rows.join(stay, same, "left_semi").select(*docs.columns)
 
 

@@ -185,3 +185,15 @@ def test_iban_before_capitals_and_digits(spark):
     rows = docs(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(cases)])
     found = {r.id: r.spans for r in pii.find_pii(rows).select("id", pii.listed("iban").alias("spans")).collect()}
     assert [found[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_clashing_columns(spark):
+    from tessera.llm import exact_dedup, mixing, simhash
+
+    names = ["stay_id", "stay_digest", "digest", "copy", "tid", "_tid", "of", "h2", "size", "turn", "key", "_key", "id"]
+    rows = [(1, "a b", "s", *range(len(names))), (2, "a b", "s", *range(len(names))), (3, None, None, *range(len(names))), (3, "c d e", "s", *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for found, ids in ((exact_dedup.drop_exact_duplicates(df), [2, 3, 3]), (simhash.drop_near_duplicates(df), [1, 3, 3]), (simhash.drop_similar(df), [1, 3, 3])):
+        assert found.columns == df.columns and sorted(r.doc_id for r in found.collect()) == ids
+    mixed = mixing.training_rows(df)
+    assert mixed.columns == df.columns and {tuple(r)[3:] for r in mixed.collect()} == {tuple(range(len(names)))}
