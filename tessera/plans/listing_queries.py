@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..functions.text import normalize
 from ..operators import listings as L
 from ..operators import table_rows as R
 from ..sources.tables import live, scan
@@ -100,8 +102,6 @@ def a11_holding(spark, d):
 
 
 def i6_fallback(spark, d):
-    from ..functions.text import normalize
-
     docs = scan(spark, d, "documents").select("doc_id", normalize("text").alias("hay"))
     got = L.fallback_search(docs, TERMS, "doc_id", "hay")
     return got.select("doc_id", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
@@ -136,7 +136,7 @@ def a24_headers(spark, d):
 
 def _cells(spark, d):
     """Each line of an order as a row of three cells, those of odd lines with coordinates."""
-    l = scan(spark, d, "lineitem").withColumn("n", F.row_number().over(R_WINDOW) - 1)
+    l = scan(spark, d, "lineitem").withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1)
     parts = F.array(*[F.struct(F.lit(i).alias("col"), t.alias("text")) for i, t in enumerate((F.col("l_linenumber").cast("string"), F.concat(F.lit("AB-"), F.col("l_partkey").cast("string")), F.col("l_returnflag")))])
     rows = l.select(F.col("l_orderkey").alias("t"), F.col("n").alias("row"), "l_tax", "l_quantity", F.inline(parts))
     x = F.when((F.col("row") % 2 == 1) & (F.col("col") < 2), F.col("col") * 100 + F.col("l_quantity"))
@@ -163,10 +163,6 @@ def w12_numbers(spark, d):
     return L.row_numbers(e, "user_id", ["event_type", "event_id"]).select("event_id", F.col("row_number").cast("long").alias("row_number"))
 
 
-from pyspark.sql import Window as _W  # noqa: E402
-
-R_WINDOW = _W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-
 QUERIES = {
     f.__name__: f
     for f in (k13_listing, j2_tenants, s19_of_deleted, s15_cascade, p29_config, v4_ids, o10_contexts, o11_texts, o13_failures, q9_variants, q18_sure, x5_letters, x11_presets, a11_holding, i6_fallback, a22_total, r20_reranked, x23_previews, t27_names, a24_headers, a13_slots, t24_values, t26_leading, w12_numbers)
