@@ -20,7 +20,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["a1_summary", "a3_daily", "w1_pairs", "v1_nearest", "r13_select", "j7_descendants", "t14_rows", "z4_daily_stream"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("events", "conversations", "embeddings", "part", "documents"):
+    for t in ("events", "conversations", "embeddings", "part", "documents", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     cur = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in cur.description]
