@@ -20,7 +20,6 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,11 +207,20 @@ def _fit(rows: DataFrame, features: str, reg: float) -> View:
     return View(model.coefficients.toArray(), float(model.intercept))
 
 
-def _platt(rows: DataFrame, columns: list[str]) -> tuple[float, ...]:
-    """Weights of the margins and the offset that fit the labels."""
-    wide = VectorAssembler(inputCols=columns, outputCol="margins").transform(rows)
-    model = LogisticRegression(featuresCol="margins", labelCol="good", regParam=1e-4, maxIter=50).fit(wide)
-    return (*[float(x) for x in model.coefficients], float(model.intercept))
+def platt(x: np.ndarray, good: np.ndarray, reg: float = 1e-4) -> tuple[float, ...]:
+    """Weights of margins (columns) and the offset that fit labels, by Newton steps; for the bounded rows that are held out."""
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-12] = 1.0
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge = np.diag([*[reg] * x.shape[1], 1e-9])
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(z) + ridge, z.T @ (p - good) / len(z) + ridge @ w)
+        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return (*(w[:-1] / scale).tolist(), float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
 def _vectors(rows: DataFrame, model: CoTrained) -> DataFrame:
@@ -259,12 +267,13 @@ def cotrain(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fresh:
 
     Without labels of both kinds among the rows that training and calibration would use, every document gets the share of good
     labels (1 without labels) as its score. Of labels that repeat an id the smallest counts; null ids have no label. Of rows that
-    repeat an id each counts.
+    repeat an id one is fitted on, that with the smallest hash of its text.
     """
     marks = labels.filter("doc_id is not null and good is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("good").cast("double").alias("good"))
     known = keep(views(docs, id_col=id_col, **columns), "quality-views")
     some = marks.filter(_share(F.col("label_id"), marks.count(), labelled, "labelled"))
     sample = known.join(some, known["id"] == some["label_id"]).drop("label_id")
+    sample = sample.groupBy("id").agg(F.min(F.struct("tid", "t", "shape", "page", "good")).alias("r")).select("id", "r.*")
     sample = keep(sample.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(HELD_OUT)) == 0), "quality-sample")
     counts = {(r.held, r.good): r.n for r in sample.groupBy("held", "good").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 4:
@@ -289,10 +298,10 @@ def cotrain(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fresh:
                 m = model.margins(batch.column(1).to_pylist(), _matrix(batch.column(2), SHAPE), _matrix(batch.column(3), PAGE))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, m)], names=["good", "m_text", "m_page"])
 
-        held = sample.filter("held").select("good", "t", "shape", "page").mapInArrow(run, "good double, m_text double, m_page double").coalesce(4).cache()
-        model.alone = {name: _platt(held, [f"m_{name}"]) for name in ("text", "page")}
-        model.combined = _platt(held, ["m_text", "m_page"])
-        held.unpersist()
+        rows = sample.filter("held").select("good", "t", "shape", "page").mapInArrow(run, "good double, m_text double, m_page double").toArrow()
+        good, text, page = (rows.column(i).to_numpy() for i in range(3))
+        model.alone = {"text": platt(text[:, None], good), "page": platt(page[:, None], good)}
+        model.combined = platt(np.column_stack([text, page]), good)
 
     for step in range(rounds + 1):
         for name, extra in more.items():

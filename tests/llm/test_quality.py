@@ -78,3 +78,16 @@ def test_document_frequency(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "B c"), (3, None)], "doc_id long, text string").withColumns({"lang": F.lit("x"), "source": F.lit(None).cast("string")})
     found = {r.h: r.n for r in quality.document_frequency(quality.views(docs)).collect()}
     assert found == {quality.crc32(b"a"): 1, quality.crc32(b"b"): 2, quality.crc32(b"c"): 1}
+
+
+def test_platt():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(3, 5, (20_000, 2))
+    good = (rng.random(20_000) < 1 / (1 + np.exp(-(0.7 * x[:, 0] - 0.2 * x[:, 1] + 0.5)))).astype(float)
+    a, b, c = quality.platt(x, good)
+    assert abs(a - 0.7) < 0.05 and abs(b + 0.2) < 0.03 and abs(c - 0.5) < 0.15
+    a, c = quality.platt(np.array([[0.0], [0.0], [1.0], [1.0]]), np.array([0, 0, 1, 1.0]))  # separable
+    assert np.isfinite([a, c]).all() and a > 0 > c
+    assert quality.platt(np.zeros((4, 1)), np.array([1, 1, 1, 0.0]))[0] == 0
