@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import keep
+from .common import keep, sampled
 
 #: Rows that pivots and first bounds are taken from, and the number of pivots.
 SAMPLE, PIVOTS = 4096, 24
@@ -98,7 +98,9 @@ def knn_join(
     id_type = rows.schema["id"].dataType
     if not n:
         return spark.createDataFrame([], T.StructType([T.StructField("query_id", id_type), T.StructField("rank", T.IntegerType()), T.StructField("id", id_type), T.StructField("score", T.LongType())]))
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    some = sampled(rows, F.col("id"), n, SAMPLE).toArrow()
+    if not some.num_rows:  # rows that repeat a few ids
+        some = rows.limit(SAMPLE).toArrow()
     sample, sample_ids = _matrix(some.column("v").combine_chunks(), dim), some.column("id").to_numpy()
     centres = fit_pivots(sample, pivots)
 

@@ -112,6 +112,21 @@ def document_frequency(rows: DataFrame) -> DataFrame:
     return rows.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def highest(rows: DataFrame, bucket: Column, by: Column, n: int) -> DataFrame:
+    """About n rows with the highest buckets (numbers, a bounded set of them), of the last bucket a share by hash.
+
+    Only the counts of buckets come to the driver; a sort with a limit would send it n rows of every task.
+    """
+    some = rows.withColumn("_bucket", bucket.cast("long"))
+    room = n
+    for b, count in sorted(((r[0], r[1]) for r in some.groupBy("_bucket").count().collect()), reverse=True):
+        if count >= room:
+            share = F.pmod(F.xxhash64(F.lit("highest"), by), F.lit(1 << 30)) < int(room / count * (1 << 30))
+            return some.filter((F.col("_bucket") > b) | ((F.col("_bucket") == b) & share)).drop("_bucket")
+        room -= count
+    return rows
+
+
 def _share(ids: Column, rows: int, bound: int, salt: str) -> Column:
     """True for about bound of so many rows, by a hash of the id."""
     limit = min(1.0, bound / max(rows, 1))
@@ -257,7 +272,7 @@ def _surest(model: CoTrained, marks: DataFrame, fresh: int) -> DataFrame:
     picked = []
     for view in ("text", "page"):
         for good, m in ((1.0, F.col(view)), (0.0, -F.col(view))):
-            best = sure.filter(m >= math.log(SURE / (1 - SURE))).orderBy(F.desc(m), F.xxhash64("tid"), "tid").limit(fresh)
+            best = highest(sure.filter(m >= math.log(SURE / (1 - SURE))), F.least(F.floor(m * 8), F.lit(8000)), F.col("tid"), fresh)
             picked.append(best.select(F.lit(view).alias("view"), F.lit(good).alias("good"), "id", "tid"))
     return keep(picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3]), "surest")
 
@@ -280,7 +295,9 @@ def cotrain(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fresh:
         good, every = sum(n for (_, g), n in counts.items() if g), sum(counts.values())
         p = min(max(good / every, 1e-6), 1 - 1e-6) if every else 1 - 1e-6
         return CoTrained(np.zeros(0, np.uint32), np.zeros(PAGE), np.ones(PAGE), None, None, (0.0, 0.0, math.log(p / (1 - p))), {}, known)
-    common = document_frequency(known).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "h").limit(VOCABULARY)
+    counted = keep(document_frequency(known).filter(F.col("n") >= LEAST_DOCS), "frequencies")
+    # At most about VOCABULARY words, however many there are.
+    common = highest(counted, F.floor(F.log2("n") * 16), F.col("h"), VOCABULARY)
     words = np.sort(np.array([r.h for r in common.collect()], dtype=np.uint32))
     figures = known.agg(*[f(F.get("page", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(PAGE)]).first()
     scales = np.array(figures[PAGE:])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, unused, whole
+from .common import keep, sampled, unused, whole
 from .graph import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -205,7 +205,7 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, sh
     if every and r:
         raise ValueError("every pair needs more blocks than max_bits")
     masks = masks_of(blocks, max(1, blocks - max_bits))
-    sample = np.array([x.fp for x in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([x.fp for x in sampled(fps.select("fp"), F.col("fp"), n, SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     shards = min(max(1, n // shard_rows), max(1, SAMPLE // 4))
     forest = [grow(sample, m, shards) for m in masks]
     # Parts of a shard by the tree's bits, where partners agree on all of them.

@@ -29,6 +29,16 @@ def test_knn(spark, sizes):
     assert sorted(map(tuple, found.collect())) == by_hand(stored, 5, 10)
 
 
+def test_small_samples(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SAMPLE", 20)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(i % 5 * 3, 1) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, knn.knn_join(df, df.filter("vec_id % 20 = 0"), 5, pivots=5).collect())) == by_hand(rows, 5, 20)
+    one = spark.createDataFrame([(7, [1.0])] * 50 + [(8, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in knn.knn_join(one, one.filter("vec_id = 8"), 2).collect()] == [(8, 1, 7, 256 * 512), (8, 2, 7, 256 * 512)]
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in knn.knn_join(df, df.filter("vec_id = 0"), 5).collect()] == [(0, 1, 1, 128 * 256 - 256 * 512)]

@@ -91,3 +91,10 @@ def test_platt():
     a, c = quality.platt(np.array([[0.0], [0.0], [1.0], [1.0]]), np.array([0, 0, 1, 1.0]))  # separable
     assert np.isfinite([a, c]).all() and a > 0 > c
     assert quality.platt(np.zeros((4, 1)), np.array([1, 1, 1, 0.0]))[0] == 0
+
+
+def test_highest(spark):
+    df = spark.range(10_000).withColumn("v", F.col("id") % 100)
+    found = [r.v for r in quality.highest(df, F.col("v"), F.col("id"), 1050).collect()]
+    assert 1000 <= len(found) <= 1100 and min(found) == 89 and sum(v >= 90 for v in found) == 1000
+    assert quality.highest(df, F.col("v"), F.col("id"), 20_000).count() == 10_000 and quality.highest(df.filter("false"), F.col("v"), F.col("id"), 5).count() == 0
