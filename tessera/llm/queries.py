@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn, mixing, passages, pieces, pii, quality, simhash, suffixes, warc
-from .common import scratch_path, table
+from . import alignment, exact_dedup, knn, mixing, passages, pieces, pii, quality, simhash, suffixes, warc
+from .common import keep, scratch_path, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,17 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {"op7_quality": op7_quality, "op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = alignment.load()
+    aligned = alignment.align(table(spark, sf_dir, "documents"), sides)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = keep(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    counts = keep(alignment.pair_counts(aligned, sides), "pair-counts")
+    found = alignment.link_facts(aligned, counts)
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {"op11_alignment": op11_alignment, "op7_quality": op7_quality, "op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
     "op6_passages": r"""
