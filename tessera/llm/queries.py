@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, knn, mixing, passages, pieces, pii, quality, simhash, suffixes, warc
+from . import alignment, exact_dedup, hnsw, knn, mixing, passages, pieces, pii, quality, simhash, spelling, suffixes, warc
 from .common import keep, scratch_path, table
 
 
@@ -84,9 +84,48 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {"op11_alignment": op11_alignment, "op7_quality": op7_quality, "op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+QUERIES = {"op13_neighbours": op13_neighbours, "op12_spelling": op12_spelling, "op11_alignment": op11_alignment, "op7_quality": op7_quality, "op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
+    "op13_neighbours": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                     WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+     reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON r.b = p.a),
+     c AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+     n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+""",
+    # The CRC-32 goes over the bytes by a table that eight shifts of each number make.
+    "op12_spelling": r"""
+WITH RECURSIVE c AS (SELECT list(v ORDER BY k) AS t FROM (
+       SELECT k, list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, k) AS v FROM range(256) r(k))),
+     r AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x, count(*) AS m
+           FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS x FROM documents) GROUP BY ALL),
+     b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || x)) AS s FROM r),
+     y AS (SELECT x, m, list_transform(range(len(s) // 2), lambda i: CAST('0x' || substr(s, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM b),
+     h AS (SELECT x, m, xor(list_reduce(bytes, lambda a, e: xor(a >> 8, t[(xor(a, e) & 255) + 1]), 4294967295), 4294967295) AS h FROM y, c),
+     w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(x, 1, h % length(x)) || substr(x, h % length(x) + 2) ELSE x END AS word, sum(m)::BIGINT AS n FROM h GROUP BY ALL),
+     v AS MATERIALIZED (SELECT word, n FROM w WHERE length(word) >= 5 AND n >= 3),
+     g AS (SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+     pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b USING (i, p, s) WHERE a.word <> b.word
+               UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = p || s
+               UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = p || s),
+     f AS MATERIALIZED (SELECT v.word, v.n, count(near) AS n_near, arg_min(near, (-near_n, near)) AS near, arg_min(near_n, (-near_n, near)) AS near_n
+           FROM v LEFT JOIN pairs USING (word) GROUP BY ALL),
+     o AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM f),
+     z AS (SELECT word, word AS root, 0 AS steps FROM o UNION ALL SELECT z.word, o.form, steps + 1 FROM z JOIN o ON o.word = z.root WHERE o.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM o JOIN (SELECT word, arg_max(root, steps) AS root FROM z GROUP BY word) USING (word)
+""",
     "op6_passages": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
      i AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
