@@ -9,7 +9,7 @@ from ..operators import keywords, pool, signals, vectors
 from ..operators.table_rows import ROW_TYPE
 from ..sources.tables import spread
 
-DEFAULTS = {"section": "string", "order": "int", "section_order": "int", "chunk_type": "string", "section_title": "string", "heading_path": "string", "group_context": "string", "table_name": "string"}
+DEFAULTS = {"section": "string", "order": "int", "section_order": "int", "chunk_type": "string", "section_title": "string", "heading_path": "string", "group_context": "string", "table_name": "string", "table": "string", "parent": "string"}
 
 
 def prepared(chunks: DataFrame) -> DataFrame:
@@ -22,12 +22,18 @@ def prepared(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_type", F.coalesce("chunk_type", F.lit("text")))
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, vector_hits: DataFrame, rerank: DataFrame | None = None, most: int | None = None, keyword_only: bool = False) -> DataFrame:
+def retrieve(
+    chunks: DataFrame, questions: DataFrame, vector_hits: DataFrame, rerank: DataFrame | None = None, most: int | None = None, keyword_only: bool = False, sections: DataFrame | None = None
+) -> DataFrame:
     """question, key, document, score, rank: the contexts of each question in the order in which they are shown.
 
     chunks: key, tenant, document, content and what prepared() adds; questions: question, tenant, text, a bounded
     table; vector_hits: question, key; rerank: question, key, rerank, optional. Steps: signals, keyword search,
     anchors, pool, fusion, adjustments, selection within the limits of the question's kind.
+
+    sections: tenant, document, number, title, heading_path, optional. With them a question whose words name a section is locked to it and those
+    below; others take sections, ranges, siblings, parents and tables around their hits; and with rerank scores a sure best hit locks the
+    others to its section in a second pass [R1-R6]. Then branch and locked are given as well.
     """
     chunks = spread(prepared(chunks))
     asked = signals.with_signals(questions, "text").withColumn("intent", signals.intent(F.col("text"))["kind"])
@@ -36,23 +42,47 @@ def retrieve(chunks: DataFrame, questions: DataFrame, vector_hits: DataFrame, re
     hits = vectors.merge_hits(vector_hits, words)
     near = vector_hits.join(chunks.select("key", "document"), "key").select("question", "document")
     anchors = pool.lexical_anchors(chunks, questions, near)
-    expanded = asked.filter(F.col("intent").isin(*signals.EXPANDED)).select("question")
-    found = pool.candidate_pool(chunks, vector_hits, words, anchors, expanded, keyword_only)
-    hay = signals.squeeze(signals.fold(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("heading_path", "section_title", "content")])))
-    rows = found.join(chunks, "key").join(F.broadcast(asked.drop("tenant")), "question").withColumn("hay", hay).withColumn("terms", pool.question_words(F.col("text")))
-    rows = rows.join(hits.select("question", "key", "vector", "keyword"), ["question", "key"], "left").fillna(0.0, ["vector", "keyword"]).cache()
-    rows = vectors.lexical(rows)
-    if rerank is not None:
-        rows = rows.join(rerank, ["question", "key"], "left")
-    rows = rows.withColumn("fused", vectors.fused(F.col("rerank") if rerank is not None else None))
+    if sections is None:
+        expanded = asked.filter(F.col("intent").isin(*signals.EXPANDED)).select("question")
+        found = pool.candidate_pool(chunks, vector_hits, words, anchors, expanded, keyword_only).withColumn("branch", F.lit(None).cast("string")).withColumn("locked", F.lit(False))
+    else:
+        found = _scoped(chunks, asked, questions, vector_hits, words, anchors, sections, hits, rerank, keyword_only)
+    rows = _scored(found, chunks, asked, hits, rerank).cache()
     rows = pool.adjusted(rows, "fused")
     compare = F.size("labels") >= 2
     limit = signals.context_limit(F.col("intent"), F.lit(False), compare, (F.size("words") <= 1), None if most is None else F.lit(most))
-    rows = rows.withColumn("limit", limit).withColumn("budget", signals.char_budget(F.col("intent"), F.lit(False))).withColumn("chars", F.length("content"))
+    rows = rows.withColumn("limit", limit).withColumn("budget", signals.char_budget(F.col("intent"), F.col("locked"))).withColumn("chars", F.length("content"))
     kept = vectors.select_within(rows.drop("chars").withColumn("length", F.length("content")), "adjusted", "length", 25, 18000)
     kept = kept.filter((F.col("rank") <= F.col("limit")) & ((F.col("chars") <= F.col("budget")) | (F.col("rank") == 1)))
     shown = vectors.presentation_order(kept, "document", "section_order", "order")
-    return shown.select("question", "key", "document", F.col("adjusted").alias("score"), "rank")
+    return shown.select("question", "key", "document", F.col("adjusted").alias("score"), "rank", *([] if sections is None else ["branch", "locked"]))
+
+
+def _scored(found: DataFrame, chunks: DataFrame, asked: DataFrame, hits: DataFrame, rerank: DataFrame | None) -> DataFrame:
+    """Candidates with what they are judged by, and fused scores."""
+    hay = signals.squeeze(signals.fold(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("heading_path", "section_title", "content")])))
+    rows = found.join(chunks, "key").join(F.broadcast(asked.drop("tenant")), "question").withColumn("hay", hay).withColumn("terms", pool.question_words(F.col("text")))
+    rows = rows.join(hits.select("question", "key", "vector", "keyword"), ["question", "key"], "left").fillna(0.0, ["vector", "keyword"])
+    rows = vectors.lexical(rows)
+    if rerank is not None:
+        rows = rows.join(rerank, ["question", "key"], "left")
+    return rows.withColumn("fused", vectors.fused(F.col("rerank") if rerank is not None else None))
+
+
+def _scoped(chunks, asked, questions, vector_hits, words, anchors, sections, hits, rerank, keyword_only) -> DataFrame:
+    """question, key, branch, locked: locked pools where a heading or, in a second pass, the best hit names a section; semantic ones else."""
+    fixed = pool.locked_pool(chunks, pool.heading_scopes(questions, sections), vector_hits).cache()
+    free = pool.semantic_pool(chunks, vector_hits, anchors, asked).join(fixed.select("question").distinct(), "question", "left_anti").cache()
+    if rerank is not None:
+        first = _scored(pool.united(free), chunks, asked, hits, rerank)
+        second = pool.locked_pool(chunks, pool.rerank_scopes(first.withColumn("score", F.col("fused")), sections), vector_hits).filter("branch = 'locked'").cache()
+        free = free.join(second.select("question").distinct(), "question", "left_anti")
+        fixed = fixed.unionByName(second)
+    any_hit = vector_hits.select("question").distinct().unionByName(fixed.select("question").distinct()).distinct()
+    more = words.select("question", "key", F.lit("keyword").alias("branch"))
+    every = pool.united(fixed.unionByName(free).unionByName(more))
+    every = every if keyword_only else every.join(any_hit, "question", "left_semi")
+    return every.join(fixed.select("question").distinct().withColumn("locked", F.lit(True)), "question", "left").fillna(False, ["locked"])
 
 
 def compare(chunks: DataFrame, questions: DataFrame, first: dict, second: dict) -> DataFrame:
