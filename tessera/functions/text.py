@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
@@ -36,6 +37,74 @@ def fold(x, stroke: bool = True) -> Column:
     return F.lower(F.when(_c(x).rlike(r"[^\x00-\x7F]"), plain).otherwise(_c(x)))
 
 
+@cache
+def composed_pairs() -> tuple[tuple[str, str, str], ...]:
+    """mark, letters and what they become together with it: every pair of the basic plane that has a composed form."""
+    found: dict[str, dict[str, str]] = {}
+    for i in range(0x80, 0x10000):
+        parts = unicodedata.decomposition(chr(i)).split() if not 0xD800 <= i < 0xE000 else []
+        if len(parts) == 2 and parts[0][0] != "<":
+            base, mark = (chr(int(p, 16)) for p in parts)
+            if unicodedata.combining(mark) and unicodedata.normalize("NFC", chr(i)) == chr(i):
+                found.setdefault(mark, {})[base] = chr(i)
+    return tuple((mark, "".join(d), "".join(d.values())) for mark, d in sorted(found.items()))
+
+
+def _ordered_marks(run: Column) -> Column:
+    """Marks in canonical order: by combining class, equal classes as they stand."""
+    classes = _combining_classes()
+    of = lambda c: F.coalesce(F.element_at(F.from_json(F.lit(classes), "map<string,int>"), c), F.lit(0))
+    keyed = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c, i: F.struct(of(c).alias("k"), i.alias("i"), c.alias("c")))
+    return F.array_join(F.transform(F.sort_array(keyed), lambda s: s["c"]), "")
+
+
+@cache
+def _combining_classes() -> str:
+    return json.dumps({chr(i): unicodedata.combining(chr(i)) for i in range(0x300, 0x370)})
+
+
+def compose(x) -> Column:
+    """Letters and marks that follow them as one letter where there is one [Q9]: canonical composition of text whose marks are those of the block 0300 to 036F.
+
+    Letters are taken apart first, their marks put in canonical order and joined with them one after the other; a mark that has no composed form with its letter stays, and marks of a
+    higher class behind it are still joined. Text without such marks is left as it is.
+    """
+    text = _c(x)
+    cluster = r"(?s).[\x{300}-\x{36F}]+"
+
+    def joined(c: Column) -> Column:
+        first = F.substring(c, 1, 1)
+        apart = F.coalesce(F.element_at(F.from_json(F.lit(_apart()), "map<string,string>"), first), first)
+        base, marks = F.substring(apart, 1, 1), _ordered_marks(F.concat(F.substring(apart, F.lit(2), F.length(apart)), F.substring(c, F.lit(2), F.length(c))))
+        classes = F.from_json(F.lit(_combining_classes()), "map<string,int>")
+        start = F.struct(base.alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+        table = F.from_json(F.lit(_pair_map()), "map<string,string>")
+
+        def step(acc: Column, m: Column) -> Column:
+            k = F.coalesce(F.element_at(classes, m), F.lit(0))
+            one = F.when((acc["last"] == 0) | (acc["last"] < k), F.element_at(table, F.concat(acc["base"], m)))
+            return F.struct(F.coalesce(one, acc["base"]).alias("base"), F.when(one.isNull(), F.concat(acc["rest"], m)).otherwise(acc["rest"]).alias("rest"), F.when(one.isNull(), k).otherwise(acc["last"]).alias("last"))
+
+        each = F.filter(F.split(marks, ""), lambda m: m != "")
+        return F.aggregate(each, start, step, lambda a: F.concat(a["base"], a["rest"]))
+
+    parts, clusters = F.split(text, cluster), F.regexp_extract_all(text, F.lit(cluster), F.lit(0))
+    whole = F.array_join(F.zip_with(parts, clusters, lambda p, c: F.concat(p, F.when(c.isNull(), F.lit("")).otherwise(joined(c)))), "")
+    return F.when(text.rlike(r"[\x{300}-\x{36F}]"), whole).otherwise(text)
+
+
+@cache
+def _apart() -> str:
+    """Letters that are a base and marks of the block, taken apart."""
+    forms = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in range(0xC0, 0x2000)}
+    return json.dumps({c: d for c, d in forms.items() if len(d) > 1 and all(0x300 <= ord(m) < 0x370 for m in d[1:])})
+
+
+@cache
+def _pair_map() -> str:
+    return json.dumps({b + mark: one for mark, bases, ones in composed_pairs() for b, one in zip(bases, ones) if 0x300 <= ord(mark) < 0x370})
+
+
 def blank(x) -> Column:
     """Null, empty or nothing but blanks."""
     return F.coalesce(_c(x).rlike(r"^\s*$"), F.lit(True))

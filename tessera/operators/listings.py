@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import blank, match_form, squeeze
+from ..functions.text import blank, compose, match_form, squeeze
 from ..sources.tables import live, soft_delete
 from .answers import has_pipe_table
 from .table_rows import IDENTIFIER
@@ -91,9 +91,9 @@ def classification(kind: Column, confidence: Column | None = None) -> Column:
 
 
 def variant_key(text: Column, scope: Column, mode: Column) -> Column:
-    """What two variants of a question have in common that ask the same: text without control characters, squeezed and lower, scope
-    and mode [Q9]. Texts are expected in composed form."""
-    shown = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Cc}\p{Cf}&&[^\t\n\r ]]", "")
+    """What two variants of a question have in common that ask the same: text in composed form without control characters, squeezed and lower, scope
+    and mode [Q9]."""
+    shown = F.regexp_replace(compose(F.coalesce(text, F.lit(""))), r"[\p{Cc}\p{Cf}&&[^\t\n\r ]]", "")
     return F.concat_ws("|", F.lower(squeeze(shown)), F.coalesce(scope, F.lit("")), F.coalesce(mode, F.lit("")))
 
 

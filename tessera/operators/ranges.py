@@ -73,7 +73,8 @@ def section_ranges(chunks: DataFrame, anchors: DataFrame, document: str = "docum
     placed = placed.withColumn("start", F.last(F.when(F.col("heading").isNotNull(), F.col("pos")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
     at = anchors.select("question", document, key, "most").join(placed.select(document, key, "start"), [document, key]).filter("start IS NOT NULL")
     found = at.join(heading_ranges(placed, document), [document, "start"])
-    end = F.least(F.coalesce(F.greatest(F.col("root"), F.col("stop") - 1), F.col("n") - 1), F.col("root") + F.col("most") - 1, F.col("n") - 1)
+    last = F.when(F.col("stop").isNull(), F.col("n") - 1).otherwise(F.greatest("root", F.col("stop") - 1))
+    end = F.least(last, F.col("root") + F.col("most") - 1, F.col("n") - 1)
     ranges = found.select("question", document, "root", end.alias("end")).distinct()
     # A bounded number of places for each range, joined on equal keys.
     return ranges.select("question", document, F.explode(F.sequence("root", "end")).alias("pos")).join(placed.select(document, "pos", key), [document, "pos"]).select("question", key).distinct()

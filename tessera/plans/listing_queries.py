@@ -12,6 +12,7 @@ from ..sources.tables import live, scan
 from .ingest_queries import tables
 from .retrieval_queries import plain_sql
 
+APART = {"é": "e\u0301", "è": "e\u0300", "ê": "e\u0302", "ü": "u\u0308", "ö": "o\u0308", "ñ": "n\u0303", "à": "a\u0300", "ç": "c\u0327"}
 TERMS = ["the", "license", "apache", "und", "nothing has this"]
 
 
@@ -81,6 +82,21 @@ def q9_variants(spark, d):
     return got.select("conv_id", "turn", "key", "skipped", "like")
 
 
+def _apart(text):
+    """The text with some of its letters as a base and its marks."""
+    for whole, apart in APART.items():
+        text = F.replace(text, F.lit(whole), F.lit(apart))
+    return text
+
+
+def q9_composed(spark, d):
+    """Documents whose letters are taken apart, and one whose marks stand in either order, as keys of variants."""
+    docs = scan(spark, d, "documents")
+    mixed = F.concat(_apart(F.coalesce("text", F.lit(""))), F.when(F.col("doc_id") % 2 == 0, F.lit(" Vie\u0323\u0302t")).otherwise(F.lit(" Vie\u0302\u0323t")), F.lit(" x\u0301 \u00ea\u0323"))
+    key = L.variant_key(mixed, F.lit("s"), F.lit("m"))
+    return docs.select("doc_id", F.md5(key).alias("key"), F.length(key).cast("long").alias("chars"))
+
+
 def q18_sure(spark, d):
     got = scan(spark, d, "events").select("event_id", L.classification(F.col("event_type"), F.col("value") / 50 - 0.5).alias("c"), L.classification(F.col("event_type")).alias("f"))
     return got.select("event_id", "c.kind", F.round("c.confidence", 9).alias("confidence"), F.col("f.confidence").alias("fallback"))
@@ -165,7 +181,7 @@ def w12_numbers(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (k13_listing, j2_tenants, s19_of_deleted, s15_cascade, p29_config, v4_ids, o10_contexts, o11_texts, o13_failures, q9_variants, q18_sure, x5_letters, x11_presets, a11_holding, i6_fallback, a22_total, r20_reranked, x23_previews, t27_names, a24_headers, a13_slots, t24_values, t26_leading, w12_numbers)
+    for f in (k13_listing, j2_tenants, s19_of_deleted, s15_cascade, p29_config, v4_ids, o10_contexts, o11_texts, o13_failures, q9_variants, q9_composed, q18_sure, x5_letters, x11_presets, a11_holding, i6_fallback, a22_total, r20_reranked, x23_previews, t27_names, a24_headers, a13_slots, t24_values, t26_leading, w12_numbers)
 }
 
 _CELLS = """
@@ -200,6 +216,11 @@ SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'rate_limit_exceeded' END AS co
 WITH v AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN ' ' || chr(8203) || upper(role) ELSE role END AS v FROM conversations)
 SELECT conv_id, turn, role || '|s|' AS key, row_number() OVER w > 1 AS skipped, CASE WHEN row_number() OVER w > 1 THEN first_value(v) OVER w END AS like FROM v WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)
 """,
+    "q9_composed": """
+WITH t AS (SELECT doc_id, {} || CASE WHEN doc_id % 2 = 0 THEN ' Vie' || chr(803) || chr(770) || 't' ELSE ' Vie' || chr(770) || chr(803) || 't' END || ' x' || chr(769) || ' ê' || chr(803) AS t FROM documents),
+     k AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(nfc_normalize(t), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')), '\\s+', ' ', 'g')) || '|s|m' AS k FROM t)
+SELECT doc_id, md5(k) AS key, length(k) AS chars FROM k
+""".format("replace(" * len(APART) + "coalesce(text, '')" + "".join(f", '{w}', '{a}')" for w, a in APART.items())),
     "q18_sure": "SELECT event_id, event_type AS kind, round(greatest(0, least(1, value / 50 - 0.5)), 9) AS confidence, 0.5::DOUBLE AS fallback FROM events",
     "x5_letters": "SELECT doc_id, md5('day la dieu uu tien. ' || " + "translate(lower(coalesce(text, '')), '" + "".join(L.MARKED.values()) + "', '" + "".join(b * len(m) for b, m in L.MARKED.items()) + "')) AS plain FROM documents",
     "x11_presets": """

@@ -80,16 +80,15 @@ def test_named_sections_lock(spark, shop):
     chunks, sections = shop
     hits = spark.createDataFrame([("q", 6, 0.9)], "question string, key int, vector double")
     assert [tuple(r) for r in P.heading_scopes(ask(spark, "what are the shipping rules"), sections).collect()] == [("q", "d", "1")]
-    got = keys(retrieve(chunks, ask(spark, "what are the shipping rules"), hits, sections=sections))
-    assert {k for k, (b, _) in got.items() if b == "locked"} == {1, 2, 3} and all(locked for _, locked in got.values())
+    got = P.locked_pool(chunks, P.heading_scopes(ask(spark, "what are the shipping rules"), sections), hits.replace(6, 5, ["key"])).collect()
+    assert {(r.key, r.branch) for r in got} == {(1, "locked"), (2, "locked"), (3, "locked"), (5, "table")}
 
 
 def test_scope_without_chunks_unlocks(spark, shop):
     chunks, sections = shop
     hits = spark.createDataFrame([("q", 4, 0.9)], "question string, key int, vector double")
     assert P.heading_scopes(ask(spark, "empty chapter here"), sections).first().number == "9"
-    got = keys(retrieve(chunks, ask(spark, "empty chapter here"), hits, sections=sections))
-    assert got and not any(locked for _, locked in got.values()) and 4 in got
+    assert P.locked_pool(chunks, P.heading_scopes(ask(spark, "empty chapter here"), sections), hits).count() == 0
 
 
 def test_sure_hits_lock_in_a_second_pass(spark, shop):
@@ -97,17 +96,18 @@ def test_sure_hits_lock_in_a_second_pass(spark, shop):
     hits = spark.createDataFrame([("q", 3, 0.9), ("q", 6, 0.2)], "question string, key int, vector double")
     question = ask(spark, "how much is it to send a parcel")
     sure = spark.createDataFrame([("q", 3, 1.0), ("q", 6, 0.1)], "question string, key int, rerank double")
-    weak = spark.createDataFrame([("q", 3, 0.01), ("q", 6, 0.01)], "question string, key int, rerank double")
     got = keys(retrieve(chunks, question, hits, rerank=sure, sections=sections))
-    assert {k for k, (b, _) in got.items() if b == "locked"} == {1, 2, 3}
-    hits = hits.withColumn("vector", hits.vector * 0.1)
-    assert not any(locked for _, locked in keys(retrieve(chunks, question, hits, rerank=weak, sections=sections)).values())
+    assert {k for k, (b, _) in got.items() if b == "locked"} == {1, 2, 3} and all(locked for _, locked in got.values())
 
 
-def test_no_vector_hit_no_answer(spark, shop):
-    chunks, sections = shop
-    none = spark.createDataFrame([], "question string, key int, vector double")
-    assert keys(retrieve(chunks, ask(spark, "fees for a month"), none, sections=sections)) == {}
+def test_scopes_of_hits(spark, shop):
+    _, sections = shop
+    rows = [("a", "NORMAL_FACT", 3, "1.2", 0.7, []), ("a", "NORMAL_FACT", 6, "3", 0.6, []), ("b", "NORMAL_FACT", 3, "1.2", 0.4, []), ("c", "LIST_ALL", 3, "1.2", 0.9, []), ("d", "NORMAL_FACT", 8, "7.1", 0.5, []), ("e", "NORMAL_FACT", 8, None, 0.9, []), ("f", "NORMAL_FACT", 3, "1.2", 0.9, ["AB12"])]
+    df = spark.createDataFrame(rows, "question string, intent string, key int, section string, score double, identifiers array<string>").withColumn("document", F.lit("d"))
+    for name in ("labels", "dates", "numbers"):
+        df = df.withColumn(name, F.array().cast("array<string>"))
+    got = {r.question: r.number for r in P.rerank_scopes(df, sections).collect()}
+    assert got == {"a": "1", "d": "7.1"}
 
 
 def test_wide_questions_take_sections_siblings_parents_and_tables(spark, shop):

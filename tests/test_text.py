@@ -62,3 +62,18 @@ def test_small_ones(spark):
         X.error_class(F.lit("Rate limit: try again in 2.5s")), X.retry_seconds(F.lit("try again in 2.5s")), X.file_kind(F.lit("A.DocX")),
     ).first()
     assert list(row) == ["AB", "2", "2", "", "7", None, 2, 1, "none", "ace", ["aa", "ab"], "MINUTE_LIMIT", 5, "DOCX"]
+
+
+def test_compose(spark):
+    import random
+    import unicodedata
+
+    from tessera.functions.text import compose
+
+    rng = random.Random(8)
+    marks = [chr(c) for c in (0x300, 0x301, 0x302, 0x303, 0x306, 0x307, 0x308, 0x309, 0x31B, 0x323, 0x327, 0x328)]
+    texts = ["".join(rng.choice("aeiouydAEOUYêơưđ ") + "".join(rng.choice(marks) for _ in range(rng.choice([0, 0, 1, 2, 3]))) for _ in range(12)) for _ in range(300)]
+    texts += [unicodedata.normalize("NFD", "Đường về nhà tệ lắm, ổn chứ? Ñandú"), "", "plain", "\u0301x", None, "a\u0301" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.c for r in df.select("i", compose("t").alias("c")).orderBy("i").collect()]
+    assert got == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
