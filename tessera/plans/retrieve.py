@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keywords, pool, signals, vectors
 from ..operators.table_rows import ROW_TYPE
-from ..sources.tables import spread
+from ..sources.tables import spread, written
 
 DEFAULTS = {"section": "string", "order": "int", "section_order": "int", "chunk_type": "string", "section_title": "string", "heading_path": "string", "group_context": "string", "table_name": "string", "table": "string", "parent": "string"}
 
@@ -46,7 +46,7 @@ def retrieve(
         expanded = asked.filter(F.col("intent").isin(*signals.EXPANDED)).select("question")
         found = pool.candidate_pool(chunks, vector_hits, words, anchors, expanded, keyword_only).withColumn("branch", F.lit(None).cast("string")).withColumn("locked", F.lit(False))
     else:
-        found = _scoped(chunks, asked, questions, vector_hits, words, anchors, sections, hits, rerank, keyword_only)
+        found = _scoped(chunks, asked, questions, vector_hits, words, written(anchors, "anchors"), sections, hits, rerank, keyword_only)
     rows = _scored(found, chunks, asked, hits, rerank).cache()
     rows = pool.adjusted(rows, "fused")
     compare = F.size("labels") >= 2
@@ -71,17 +71,20 @@ def _scored(found: DataFrame, chunks: DataFrame, asked: DataFrame, hits: DataFra
 
 def _scoped(chunks, asked, questions, vector_hits, words, anchors, sections, hits, rerank, keyword_only) -> DataFrame:
     """question, key, branch, locked: locked pools where a heading or, in a second pass, the best hit names a section; semantic ones else."""
-    fixed = pool.locked_pool(chunks, pool.heading_scopes(questions, sections), vector_hits).cache()
-    free = pool.semantic_pool(chunks, vector_hits, anchors, asked).join(fixed.select("question").distinct(), "question", "left_anti").cache()
+    # Written: the pools of a bounded number of questions, which the steps after them read several times.
+    fixed = written(pool.locked_pool(chunks, pool.heading_scopes(questions, sections), vector_hits), "locked")
+    free = written(pool.semantic_pool(chunks, vector_hits, anchors, asked).join(fixed.select("question").distinct(), "question", "left_anti"), "free")
     if rerank is not None:
         first = _scored(pool.united(free), chunks, asked, hits, rerank)
-        second = pool.locked_pool(chunks, pool.rerank_scopes(first.withColumn("score", F.col("fused")), sections), vector_hits).filter("branch = 'locked'").cache()
+        best = written(first.select("question", "key", "document", "section", "intent", "identifiers", "labels", "dates", "numbers", F.col("fused").alias("score")), "first-pass")
+        second = written(pool.locked_pool(chunks, pool.rerank_scopes(best, sections), vector_hits).filter("branch = 'locked'"), "second")
         free = free.join(second.select("question").distinct(), "question", "left_anti")
         fixed = fixed.unionByName(second)
     any_hit = vector_hits.select("question").distinct().unionByName(fixed.select("question").distinct()).distinct()
     more = words.select("question", "key", F.lit("keyword").alias("branch"))
     every = pool.united(fixed.unionByName(free).unionByName(more))
     every = every if keyword_only else every.join(any_hit, "question", "left_semi")
+    every = written(every, "pool")
     return every.join(fixed.select("question").distinct().withColumn("locked", F.lit(True)), "question", "left").fillna(False, ["locked"])
 
 
