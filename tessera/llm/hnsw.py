@@ -291,7 +291,18 @@ def graphs(classes: DataFrame, shards: int, threshold: float) -> DataFrame:
                 "beam": pa.array([beam], pa.int32()),
                 "recall": [recall],
             },
-            schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("cids", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64())), ("vectors", pa.binary()), ("layers", pa.list_(pa.binary())), ("beam", pa.int32()), ("recall", pa.float64())]),
+            schema=pa.schema(
+                [
+                    ("dim", pa.int32()),
+                    ("shard", pa.int32()),
+                    ("cids", pa.list_(pa.int64())),
+                    ("weights", pa.list_(pa.int64())),
+                    ("vectors", pa.binary()),
+                    ("layers", pa.list_(pa.binary())),
+                    ("beam", pa.int32()),
+                    ("recall", pa.float64()),
+                ]
+            ),
         )
 
     dealt = classes.select("cid", "v", "weight", F.size("v").alias("dim"), F.pmod(F.xxhash64(F.lit("shard"), "cid"), F.lit(shards)).cast("int").alias("shard"))

@@ -93,7 +93,15 @@ def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {"op13_neighbours": op13_neighbours, "op12_spelling": op12_spelling, "op11_alignment": op11_alignment, "op7_quality": op7_quality, "op9_pieces": op9_pieces, "op8_suffixes": op8_suffixes, "op6_passages": op6_passages, "op10_knn": op10_knn, "op1_warc": op1_warc, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op13_neighbours, op12_spelling, op11_alignment, op7_quality,
+        op9_pieces, op8_suffixes, op6_passages, op10_knn,
+        op1_warc, op2_pii, op3_simhash, op4_mixing,
+        op5_exact_dedup,
+    )
+}
 
 ORACLES = {
     "op13_neighbours": """
