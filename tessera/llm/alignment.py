@@ -35,7 +35,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 SEGMENTS = re.compile(r"(?<=\S)(?= (?s:.))")
 #: Characters of text that are aligned together; segments above LONG characters go to the slower reader of A's file,
 #: whose time does not grow with the square of a word's length; links of the segments that a worker remembers.
-SLICE, LONG, REMEMBERED = 1_000_000, 500, 3_000_000
+SLICE, LONG, REMEMBERED = 500_000, 500, 1_200_000
 SPACE = "▁"
 
 
