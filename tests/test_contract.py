@@ -17,7 +17,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["a1_summary", "a3_daily", "w1_pairs", "v1_nearest", "r13_select", "j7_descendants", "t14_rows", "z4_daily_stream"])
+NAMES = "a1_summary a3_daily w1_pairs v1_nearest r13_select j7_descendants t14_rows z4_daily_stream t6_demoted t11_headers t22_markdown s21_boxes b2_spaced b4_masked h2_segments h9_keys r5_ranges q9_composed"
+
+
+@pytest.mark.parametrize("name", NAMES.split())
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("events", "conversations", "embeddings", "part", "documents", "lineitem"):
