@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, normalize
-from .keywords import sum_of
-from .signals import is_value, let, ngrams, words_of
+from .signals import is_value, let, ngrams, sum_of, words_of
 
 CODE, LABEL, COVERED, CONFLICT, DATE, SEVERAL = 8.0, 6.0, 4.0, -8.0, 1.5, 5.0
 SAME_HEADER, SAME_INTENT = 0.72, 0.86

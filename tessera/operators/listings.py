@@ -123,23 +123,11 @@ def holding(chunks: DataFrame, terms: list[str], hay: str) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
-def fallback_search(chunks: DataFrame, terms: list[str], key: str, hay: str, n: int = 30) -> DataFrame:
-    """key, raw, score of the n best chunks by ln((N + 1) / (df + 1)) + 1 of the terms that they contain: search without an index [I6]."""
-    df = holding(chunks, terms, hay).groupBy().pivot("term", terms).agg(F.first("df"))
-    of = chunks.agg(F.count("*").alias("_n"))
-    facts = df.crossJoin(of)  # one row
-    rows = chunks.join(F.broadcast(facts))
-    weight = lambda t: F.when(F.col(hay).contains(t), F.log((F.col("_n") + 1.0) / (F.col(f"`{t}`") + 1.0)) + 1.0).otherwise(0.0)
-    raw = reduce(lambda a, b: a + b, [weight(t) for t in terms])
-    best = rows.select(key, raw.alias("raw")).filter("raw > 0").orderBy(F.desc("raw"), key).limit(n)
-    return best.withColumn("score", F.col("raw") / F.max("raw").over(W.partitionBy(F.lit(1))))
-
-
 def reranked(candidates: DataFrame, question: str, key: str, order: str, score: str, top: int, most: int = 50) -> DataFrame:
-    """question, key, place, max_score, min_score: the candidates once each, the first `most` of them by their reranker's score, `top` of these.
+    """question, key, place, max_score, min_score: the candidates with a key once each, the first `most` of them by their reranker's score, `top` of these.
     A question without scores keeps all its candidates, in their order, with 1 and 0 [R20]."""
     w = W.partitionBy(question)
-    known = candidates.withColumn("_any", F.max(F.col(score).isNotNull()).over(w))
+    known = candidates.filter(F.col(key).isNotNull()).withColumn("_any", F.max(F.col(score).isNotNull()).over(w))
     kept = first_by(known.filter("_any"), [question, key], [order]).withColumn("_n", F.row_number().over(w.orderBy(order))).filter(F.col("_n") <= most)
     asked = kept.filter(F.col(score).isNotNull()).withColumn("place", F.row_number().over(w.orderBy(F.desc(score), order))).filter(F.col("place") <= top)
     asked = asked.withColumn("max_score", F.greatest(F.lit(0.0), F.max(score).over(w))).withColumn("min_score", F.min(score).over(w))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import small
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -24,7 +26,7 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int, key: str, tenant:
     of a tenant before anything is shuffled by question.
     """
     k = max(1, min(30, k))
-    pairs = vectors.select(F.col(key).alias("key"), F.col(tenant).alias("tenant"), F.col(vector).alias("v")).join(F.broadcast(questions), "tenant")
+    pairs = vectors.select(F.col(key).alias("key"), F.col(tenant).alias("tenant"), F.col(vector).alias("v")).join(small(questions), "tenant")
     scored = pairs.select("question", "key", cosine(F.col("v"), F.col("asked")).alias("cosine")).filter("cosine is not null")
     parts = scored.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
     order = [F.desc("cosine"), F.col("key")]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import normalize
 from ..operators import listings as L
 from ..operators import table_rows as R
 from ..sources.tables import live, scan
@@ -117,12 +116,6 @@ def a11_holding(spark, d):
     return L.holding(scan(spark, d, "documents"), TERMS, "text")
 
 
-def i6_fallback(spark, d):
-    docs = scan(spark, d, "documents").select("doc_id", normalize("text").alias("hay"))
-    got = L.fallback_search(docs, TERMS, "doc_id", "hay")
-    return got.select("doc_id", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
-
-
 def a22_total(spark, d):
     return scan(spark, d, "events").agg(F.count("*").alias("total"))
 
@@ -181,7 +174,7 @@ def w12_numbers(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (k13_listing, j2_tenants, s19_of_deleted, s15_cascade, p29_config, v4_ids, o10_contexts, o11_texts, o13_failures, q9_variants, q9_composed, q18_sure, x5_letters, x11_presets, a11_holding, i6_fallback, a22_total, r20_reranked, x23_previews, t27_names, a24_headers, a13_slots, t24_values, t26_leading, w12_numbers)
+    for f in (k13_listing, j2_tenants, s19_of_deleted, s15_cascade, p29_config, v4_ids, o10_contexts, o11_texts, o13_failures, q9_variants, q9_composed, q18_sure, x5_letters, x11_presets, a11_holding, a22_total, r20_reranked, x23_previews, t27_names, a24_headers, a13_slots, t24_values, t26_leading, w12_numbers)
 }
 
 _CELLS = """
@@ -228,12 +221,6 @@ WITH d AS (SELECT DISTINCT ts::DATE AS today FROM events)
 SELECT today::VARCHAR AS today, name, (CASE name WHEN '7d' THEN today - 6 WHEN '30d' THEN today - 29 ELSE date_trunc('month', today)::DATE END)::VARCHAR AS first, today::VARCHAR AS last FROM d, (VALUES ('7d'), ('30d'), ('month')) n(name)
 """,
     "a11_holding": f"SELECT term, count(doc_id) AS df FROM (SELECT unnest({_TERMS_SQL}) AS term) LEFT JOIN documents ON contains(text, term) GROUP BY 1",
-    "i6_fallback": f"""
-WITH h AS (SELECT doc_id, {plain_sql('text')} AS hay FROM documents), t AS (SELECT unnest({_TERMS_SQL}) AS term), m AS (SELECT doc_id, term FROM h JOIN t ON contains(hay, term)),
-     w AS (SELECT term, ln(((SELECT count(*) FROM h) + 1.0) / (count(*) + 1.0)) + 1 AS w FROM m GROUP BY 1), s AS (SELECT doc_id, sum(w) AS raw FROM m JOIN w USING (term) GROUP BY 1),
-     b AS (SELECT * FROM s ORDER BY round(raw, 9) DESC, doc_id LIMIT 30)
-SELECT doc_id, round(raw, 6) AS raw, round(raw / max(raw) OVER (), 6) AS score FROM b
-""",
     "a22_total": "SELECT count(*) AS total FROM events",
     "r20_reranked": """
 WITH f AS (SELECT event_type AS question, user_id AS key, event_id, CASE WHEN event_type <> 'click' THEN round(value / 100 + event_id / 1e9, 9) END AS score FROM events),

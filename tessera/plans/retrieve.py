@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keywords, pool, signals, vectors
 from ..operators.table_rows import ROW_TYPE
-from ..sources.tables import spread, written
+from ..sources.tables import small, spread, written
 
 DEFAULTS = {"section": "string", "order": "int", "section_order": "int", "chunk_type": "string", "section_title": "string", "heading_path": "string", "group_context": "string", "table_name": "string", "table": "string", "parent": "string"}
 
@@ -23,22 +23,26 @@ def prepared(chunks: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    chunks: DataFrame, questions: DataFrame, vector_hits: DataFrame, rerank: DataFrame | None = None, most: int | None = None, keyword_only: bool = False, sections: DataFrame | None = None
+    chunks: DataFrame, questions: DataFrame, vector_hits: DataFrame, rerank: DataFrame | None = None, most: int | None = None, keyword_only: bool = False, sections: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """question, key, document, score, rank: the contexts of each question in the order in which they are shown.
 
     chunks: key, tenant, document, content and what prepared() adds; questions: question, tenant, text, a bounded
     table; vector_hits: question, key; rerank: question, key, rerank, optional. Steps: signals, keyword search,
-    anchors, pool, fusion, adjustments, selection within the limits of the question's kind.
+    anchors, pool, fusion, adjustments, selection within the limits of the question's kind. index: keywords.read_index() of these chunks, optional.
 
     sections: tenant, document, number, title, heading_path, optional. With them a question whose words name a section is locked to it and those
     below; others take sections, ranges, siblings, parents and tables around their hits; and with rerank scores a sure best hit locks the
     others to its section in a second pass [R1-R6]. Then branch and locked are given as well.
     """
+    has_cells = "cells" in chunks.columns
     chunks = spread(prepared(chunks))
     asked = signals.with_signals(questions, "text").withColumn("intent", signals.intent(F.col("text"))["kind"])
-    # Cached: the few hits and candidates of the questions, which several later steps read.
-    words = keywords.search(chunks, asked, "key", "tenant").cache()
+    limit = signals.context_limit(F.col("intent"), F.lit(False), F.size("labels") >= 2, (F.size("words") <= 1), None if most is None else F.lit(most))
+    asked = written(asked.withColumn("limit", limit), "asked")
+    # Written: the few hits and candidates of the questions, which several later steps read.
+    words = written(keywords.search(chunks if has_cells else chunks.drop("cells"), asked, "key", "tenant", index=index), "keyword-hits")
     hits = vectors.merge_hits(vector_hits, words)
     near = vector_hits.join(chunks.select("key", "document"), "key").select("question", "document")
     anchors = pool.lexical_anchors(chunks, questions, near)
@@ -47,11 +51,9 @@ def retrieve(
         found = pool.candidate_pool(chunks, vector_hits, words, anchors, expanded, keyword_only).withColumn("branch", F.lit(None).cast("string")).withColumn("locked", F.lit(False))
     else:
         found = _scoped(chunks, asked, questions, vector_hits, words, written(anchors, "anchors"), sections, hits, rerank, keyword_only)
-    rows = _scored(found, chunks, asked, hits, rerank).cache()
+    rows = written(_scored(found, chunks, asked, hits, rerank), "scored")
     rows = pool.adjusted(rows, "fused")
-    compare = F.size("labels") >= 2
-    limit = signals.context_limit(F.col("intent"), F.lit(False), compare, (F.size("words") <= 1), None if most is None else F.lit(most))
-    rows = rows.withColumn("limit", limit).withColumn("budget", signals.char_budget(F.col("intent"), F.col("locked"))).withColumn("chars", F.length("content"))
+    rows = rows.withColumn("budget", signals.char_budget(F.col("intent"), F.col("locked"))).withColumn("chars", F.length("content"))
     kept = vectors.select_within(rows.drop("chars").withColumn("length", F.length("content")), "adjusted", "length", 25, 18000)
     kept = kept.filter((F.col("rank") <= F.col("limit")) & ((F.col("chars") <= F.col("budget")) | (F.col("rank") == 1)))
     shown = vectors.presentation_order(kept, "document", "section_order", "order")
@@ -61,9 +63,9 @@ def retrieve(
 def _scored(found: DataFrame, chunks: DataFrame, asked: DataFrame, hits: DataFrame, rerank: DataFrame | None) -> DataFrame:
     """Candidates with what they are judged by, and fused scores."""
     hay = signals.squeeze(signals.fold(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("heading_path", "section_title", "content")])))
-    rows = found.join(chunks, "key").join(F.broadcast(asked.drop("tenant")), "question").withColumn("hay", hay).withColumn("terms", pool.question_words(F.col("text")))
+    rows = found.join(chunks, "key").join(small(asked.drop("tenant")), "question").withColumn("hay", hay).withColumn("terms", pool.question_words(F.col("text")))
     rows = rows.join(hits.select("question", "key", "vector", "keyword"), ["question", "key"], "left").fillna(0.0, ["vector", "keyword"])
-    rows = vectors.lexical(rows)
+    rows = vectors.lexical(pool.bounded(rows))
     if rerank is not None:
         rows = rows.join(rerank, ["question", "key"], "left")
     return rows.withColumn("fused", vectors.fused(F.col("rerank") if rerank is not None else None))

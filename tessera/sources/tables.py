@@ -58,3 +58,10 @@ def spread(rows: DataFrame) -> DataFrame:
     """Rows of a few small files dealt over all threads before costly expressions; others as they are."""
     threads = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(threads) if rows.rdd.getNumPartitions() < threads else rows
+
+
+def small(rows: DataFrame, most: int = 100_000, chars: int = 1 << 26) -> DataFrame:
+    """rows marked for broadcast if they are no more than `most`, of no more than `chars` characters together; else as they are, to be joined by key.
+    They are looked at once; no more than most + 1 of them are."""
+    seen = rows.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars")).first()
+    return F.broadcast(rows) if seen.n <= most and seen.chars <= chars else rows
