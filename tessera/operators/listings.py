@@ -170,7 +170,7 @@ def header_figures(headers: Column) -> Column:
     return F.struct(
         count(lambda h: h.rlike(r"^col_\d+$")).alias("generic"),
         (F.aggregate(words, F.lit(0), lambda s, x: s + x) / F.greatest(F.size(headers), F.lit(1))).alias("words"),
-        count(noisy_header).alias("noisy"),
+        count(lambda h: noisy_header(h)).alias("noisy"),
     )
 
 
