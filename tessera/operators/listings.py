@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.text import blank, compose, match_form, squeeze
 from ..sources.tables import live, soft_delete
 from .answers import has_pipe_table
-from .table_rows import IDENTIFIER
+from .table_rows import IDENTIFIER, ROW_NUMBER
 from .vectors import first_by
 
 # Kinds of chunks that hold tables; letters with marks and those that stand for them; codes and types of failures.
@@ -175,27 +175,40 @@ def header_figures(headers: Column) -> Column:
 
 
 def leading(cells: Column) -> Column:
-    """struct(number, code) of a row's cells (col, text): a row number in the first two columns, a code in the first five [T26]."""
+    """struct(number, code, y) of a row's cells (col, text, y): a row number in the first two columns, a code in the first five, and the least y of
+    those that have one, 0 without any [T26]."""
     text = lambda c: F.trim(F.coalesce(c["text"], F.lit("")))
     return F.struct(
-        F.exists(cells, lambda c: (c["col"] <= 1) & text(c).rlike(r"^\d{1,4}\.?$")).alias("number"), F.exists(cells, lambda c: (c["col"] <= 4) & text(c).rlike(IDENTIFIER)).alias("code")
-    )
+        F.exists(cells, lambda c: (c["col"] <= 1) & text(c).rlike(ROW_NUMBER)).alias("number"), F.exists(cells, lambda c: (c["col"] <= 4) & text(c).rlike(IDENTIFIER)).alias("code"),
+        F.coalesce(F.array_min(F.transform(cells, lambda c: c["y"])), F.lit(0.0)).alias("y"),
+    )
 
 
 def slots(cells: DataFrame, table: str, start: str) -> DataFrame:
-    """table, col, s, s_end: from where to where each column's cells with coordinates reach, those from row `start` on, else all; else
-    the column's number and the next [A13]. cells: table, row, col, x, x_end."""
+    """table, col, s, s_end of every column up to the last one: from where to where its cells with coordinates reach, those from row `start` on, else all;
+    else the column's number and the next [A13]. cells: table, row, col, x, x_end."""
     data = F.col("row") >= F.greatest(F.lit(0), F.col(start))
     reach = cells.groupBy(table, "col").agg(F.min(F.when(data, F.col("x"))).alias("a"), F.max(F.when(data, F.col("x_end"))).alias("b"), F.min("x").alias("c"), F.max("x_end").alias("d"))
+    # The columns of a table: a bounded number.
+    every = reach.groupBy(table).agg(F.max("col").alias("_last"), F.collect_list(F.struct("col", "a", "b", "c", "d")).alias("_cs"))
+    own = lambda i: F.get(F.filter("_cs", lambda c: c["col"] == i), F.lit(0))
+    reach = every.select(table, F.explode(F.transform(F.sequence(F.lit(0), F.col("_last").cast("int")), lambda i: F.struct(i.alias("col"), own(i).alias("c")))).alias("_c"))
+    reach = reach.select(table, "_c.col", "_c.c.a", "_c.c.b", "_c.c.c", "_c.c.d")
     zero = F.lit(0.0)
     s_end = F.when(F.col("a").isNotNull(), F.greatest(zero, "b")).when(F.col("c").isNotNull(), F.greatest(zero, "d")).otherwise(F.col("col") + 1.0)
     return reach.select(table, "col", F.coalesce("a", "c", F.col("col").cast("double")).alias("s"), s_end.alias("s_end"))
 
 
-def slot_values(cells: DataFrame, keys: list[str], slot: str, order: str, text: str) -> DataFrame:
-    """keys, slot, value: the texts of a slot, squeezed and joined in order, blank ones left out [T24]."""
-    some = cells.filter(~blank(text)).groupBy(*keys, slot).agg(F.sort_array(F.collect_list(F.struct(order, squeeze(text).alias("t"))))["t"].alias("ts"))
-    return some.select(*keys, slot, F.array_join("ts", " ").alias("value"))
+def slot_values(cells: DataFrame, keys: list[str], slot: str, order: str, text: str, every: DataFrame | None = None) -> DataFrame:
+    """keys, slot, value: the texts of a slot, squeezed and joined in order, blank ones left out; '' where nothing is left [T24].
+    every: some of the keys, slot: the slots of a table, of which each row gets those without any cell as well."""
+    texts = F.collect_list(F.when(~blank(text), F.struct(order, squeeze(text).alias("t"))))
+    some = cells.groupBy(*keys, slot).agg(F.array_join(F.sort_array(texts)["t"], " ").alias("value"))
+    if every is None:
+        return some
+    on = [k for k in keys if k in every.columns]
+    rows = cells.select(*keys).distinct().join(every.select(*on, slot).distinct(), on)
+    return rows.join(some, [*keys, slot], "left").withColumn("value", F.coalesce("value", F.lit("")))
 
 
 def row_numbers(rows: DataFrame, table: str, order: list[str]) -> DataFrame:

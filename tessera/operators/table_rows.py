@@ -14,6 +14,8 @@ from ..functions.text import match_form, slug, squeeze
 from .signals import let
 
 NONE = "array<array<string>>"
+# Codes and row numbers in front of rows.
+ROW_NUMBER = r"^\s*\d{1,4}\s*([.|)]\s*)?$"
 IDENTIFIER = r"^(?=.*[A-Z])(?=.*\d)[A-Z][A-Z0-9._-]{2,20}$"
 
 

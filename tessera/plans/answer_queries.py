@@ -50,6 +50,25 @@ def o6_prompts(spark, d):
     return O.prompts(t, "question", "turn", "block")
 
 
+def o6_full(spark, d):
+    """Each turn of a user as a question, the turns around it in its conversation as contexts, every other one a row, and those before it as history."""
+    t = scan(spark, d, "conversations")
+    of = lambda c: F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col(c).cast("string"))
+    asked = t.filter("role = 'user'").withColumn("question", of("turn"))
+    kind = F.when(F.col("turn") % 3 == 0, "LIST_ALL").when(F.col("turn") % 3 == 1, "NORMAL_FACT").otherwise(" ")
+    questions = asked.select("question", "text", kind.alias("kind"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Part "), "turn")).alias("scope"))
+    pairs = asked.select("question", "conv_id", F.col("turn").alias("asked_at")).join(t, "conv_id")
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in ((" Role ", F.col("role")), ("Nothing", F.lit(" ")), ("Turn", F.col("turn").cast("string")))])
+    near = pairs.filter("abs(turn - asked_at) = 1")
+    contexts = near.select(
+        "question", F.col("turn").alias("rank"), F.when(F.col("turn") % 4 > 0, F.concat(F.lit("f"), "turn")).alias("file"), F.lit("H").alias("heading"), F.col("turn").alias("page_start"), (F.col("turn") + 1).alias("page_end"),
+        F.when(F.col("turn") % 4 < 2, "normalized_table_row").otherwise("text").alias("chunk_type"), F.col("text").alias("content"), cells.alias("cells"), F.when(F.col("turn") % 4 == 0, "Turns").alias("table_name"), F.col("turn").alias("row_index"),
+        F.lit(" ").alias("group_context"),
+    )
+    history = pairs.filter("turn < asked_at AND turn >= asked_at - 2").select("question", F.col("turn").alias("at"), "role", "text")
+    return O.full_prompts(questions, contexts, history, "Only this part.", {"LIST_ALL": "List all."}, "Rows are single.")
+
+
 def o7_pipes(spark, d):
     return scan(spark, d, "documents").select("doc_id", O.has_pipe_table(F.col("text")).alias("table"))
 
@@ -68,7 +87,7 @@ def z4_daily_stream(spark, d):
     return spark.read.parquet(f"{base}/out").select(F.col("day").cast("string").alias("day"), "messages")
 
 
-QUERIES = {f.__name__: f for f in (c1_cells, o1_refusals, o3_preamble, o6_prompts, o7_pipes, a19_figures, z4_daily_stream)}
+QUERIES = {f.__name__: f for f in (c1_cells, o1_refusals, o3_preamble, o6_prompts, o6_full, o7_pipes, a19_figures, z4_daily_stream)}
 
 
 def _sql(pairs) -> str:
@@ -95,6 +114,19 @@ SELECT conv_id, turn, pos IS NOT NULL AS refuses, pos IS NOT NULL AND NOT (has_c
     "o6_prompts": """
 WITH b AS (SELECT conv_id, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || role || ': ' || text AS b, turn FROM conversations)
 SELECT conv_id::VARCHAR AS question, concat_ws(chr(10) || chr(10), 'Answer from the passages.', string_agg(b, chr(10) || chr(10) ORDER BY turn), conv_id::VARCHAR) AS prompt FROM b GROUP BY conv_id
+""",
+    "o6_full": """
+WITH n AS (SELECT conv_id || '-' || turn AS question, * FROM conversations WHERE role = 'user'),
+p AS (SELECT n.question, n.turn AS asked_at, t.* FROM n JOIN conversations t USING (conv_id)),
+b AS (SELECT question, turn, turn % 4 < 2 AS is_row, 'Document: ' || CASE WHEN turn % 4 > 0 THEN 'f' || turn ELSE '' END || chr(10) || 'Section: H' || chr(10) || 'Pages: ' || turn || '-' || (turn + 1) || chr(10) || 'Type: '
+             || CASE WHEN turn % 4 < 2 THEN 'normalized_table_row' ELSE 'text' END || chr(10) || chr(10) || 'Content:' || chr(10) || CASE WHEN turn % 4 < 2 THEN CASE WHEN turn % 4 = 0 THEN 'Table: Turns' || chr(10) ELSE '' END
+             || 'Row: ' || turn || chr(10) || 'Cells:' || chr(10) || '- Role: ' || role || chr(10) || '- Turn: ' || turn ELSE text END || chr(10) || chr(10) AS b FROM p WHERE abs(turn - asked_at) = 1),
+c AS (SELECT question, bool_or(is_row) AS has_row, string_agg('[Source ' || i || ']' || chr(10) || b, '' ORDER BY turn) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY turn) AS i FROM b) GROUP BY 1),
+h AS (SELECT question, string_agg(CASE WHEN role = 'user' THEN 'Người dùng' ELSE 'Trợ lý' END || ': ' || text || chr(10), '' ORDER BY turn) AS turns FROM p WHERE turn < asked_at AND turn >= asked_at - 2 GROUP BY 1)
+SELECT question, CASE WHEN conv_id % 2 = 0 THEN '[PHẠM VI TÌM KIẾM ĐÃ XÁC ĐỊNH: Part ' || turn || ']' || chr(10) || 'Only this part.' || chr(10) || chr(10) ELSE '' END
+  || CASE turn % 3 WHEN 0 THEN '[LOẠI CÂU HỎI: LIST_ALL]' || chr(10) || 'List all.' || chr(10) || chr(10) WHEN 1 THEN '[LOẠI CÂU HỎI: NORMAL_FACT]' || chr(10) || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN has_row THEN 'Rows are single.' || chr(10) || chr(10) ELSE '' END || '[TÀI LIỆU THAM KHẢO]' || chr(10) || coalesce(blocks, '')
+  || coalesce('[LỊCH SỬ HỘI THOẠI]' || chr(10) || turns || chr(10), '') || '[CÂU HỎI HIỆN TẠI]' || chr(10) || text AS prompt FROM n LEFT JOIN c USING (question) LEFT JOIN h USING (question)
 """,
     "o7_pipes": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2)) > 0 AS table FROM documents",
     "a19_figures": """

@@ -137,34 +137,42 @@ def t27_names(spark, d):
 
 
 def a24_headers(spark, d):
-    p = scan(spark, d, "part").withColumn("names", F.array("p_name", F.concat_ws(" ", "p_name", "p_name"), F.lit("col_3"), F.lit(""), F.concat_ws(" ", "p_type", "p_brand", F.lit("of six words or more"))))
+    p = scan(spark, d, "part").withColumn("names", F.array("p_name", F.concat_ws(" ", "p_name", "p_name"), F.lit("col_3"), F.lit(""), F.concat_ws(" ", "p_type", "p_brand", F.lit("of six words or more")), F.lit("Plain")))
     about = L.context_of_headers(F.array(F.concat(F.lit("Part:  "), "p_name"), F.lit("short: x"), F.concat(F.lit("Part: "), "p_name"), F.lit("long but has no colon")))
     got = p.select("p_partkey", L.header_figures(F.col("names")).alias("f"), about.alias("context"))
     return got.select("p_partkey", F.col("f.generic").cast("long").alias("generic"), F.round("f.words", 6).alias("words"), F.col("f.noisy").cast("long").alias("noisy"), "context")
 
 
 def _cells(spark, d):
-    """Each line of an order as a row of three cells, those of odd lines with coordinates."""
+    """Each line of an order as a row of three cells, those of odd lines with coordinates; some begin with no number, some codes are none, some
+    flags are blank."""
     l = scan(spark, d, "lineitem").withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1)
-    parts = F.array(*[F.struct(F.lit(i).alias("col"), t.alias("text")) for i, t in enumerate((F.col("l_linenumber").cast("string"), F.concat(F.lit("AB-"), F.col("l_partkey").cast("string")), F.col("l_returnflag")))])
+    number = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "No ").otherwise(""), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 3 == 1, ")").otherwise(""))
+    code = F.concat(F.when(F.col("l_partkey") % 2 == 0, "AB-").otherwise("ab-"), F.col("l_partkey").cast("string"))
+    texts = (number, code, F.when(F.col("l_suppkey") % 3 == 0, " ").otherwise(F.col("l_returnflag")))
+    parts = F.array(*[F.struct(F.lit(i).alias("col"), t.alias("text")) for i, t in enumerate(texts)])
     rows = l.select(F.col("l_orderkey").alias("t"), F.col("n").alias("row"), "l_tax", "l_quantity", F.inline(parts))
     x = F.when((F.col("row") % 2 == 1) & (F.col("col") < 2), F.col("col") * 100 + F.col("l_quantity"))
-    return rows.withColumn("x", x).withColumn("x_end", x + 10)
+    return rows.withColumn("x", x).withColumn("x_end", x + 10).withColumn("y", F.when(x.isNotNull(), F.col("row") * 20.0 + F.col("col")))
 
 
 def a13_slots(spark, d):
-    got = L.slots(_cells(spark, d).withColumn("start", F.lit(2)), "t", "start")
+    """Some orders have no cells in the second column."""
+    got = L.slots(_cells(spark, d).filter("t % 5 > 0 OR col <> 1").withColumn("start", F.lit(2)), "t", "start")
     return got.select("t", F.col("col").cast("long").alias("col"), "s", "s_end")
 
 
 def t24_values(spark, d):
-    got = L.slot_values(_cells(spark, d).withColumn("slot", (F.col("col") > 0).cast("int")), ["t", "row"], "slot", "col", "text")
+    """The last two columns as one slot of three; the flag alone as one that may be blank, the third without any cell."""
+    cells = _cells(spark, d).withColumn("slot", F.when(F.col("l_quantity") % 2 == 0, (F.col("col") > 0).cast("int")).otherwise(F.col("col").cast("int")))
+    every = cells.select("t").distinct().withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    got = L.slot_values(cells, ["t", "row"], "slot", "col", "text", every)
     return got.select("t", F.col("row").cast("long").alias("row"), F.col("slot").cast("long").alias("slot"), "value")
 
 
 def t26_leading(spark, d):
-    rows = _cells(spark, d).groupBy("t", "row").agg(F.collect_list(F.struct("col", "text")).alias("cells"))
-    return rows.select("t", F.col("row").cast("long").alias("row"), L.leading(F.col("cells")).alias("l")).select("t", "row", "l.number", "l.code")
+    rows = _cells(spark, d).groupBy("t", "row").agg(F.collect_list(F.struct("col", "text", "y")).alias("cells"))
+    return rows.select("t", F.col("row").cast("long").alias("row"), L.leading(F.col("cells")).alias("l")).select("t", "row", "l.number", "l.code", "l.y")
 
 
 def w12_numbers(spark, d):
@@ -178,8 +186,10 @@ QUERIES = {
 }
 
 _CELLS = """
-n AS (SELECT l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS row, l_linenumber, l_partkey, l_returnflag, l_quantity FROM lineitem),
-c AS (SELECT t, row, col, CASE col WHEN 0 THEN l_linenumber::VARCHAR WHEN 1 THEN 'AB-' || l_partkey ELSE l_returnflag END AS text, CASE WHEN row % 2 = 1 AND col < 2 THEN col * 100 + l_quantity END AS x FROM n, range(3) r(col))"""
+n AS (SELECT l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS row, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity FROM lineitem),
+c AS (SELECT t, row, col, l_quantity, l_linenumber, l_partkey, CASE col WHEN 0 THEN CASE WHEN l_linenumber % 3 = 0 THEN 'No ' ELSE '' END || l_linenumber || CASE WHEN l_linenumber % 3 = 1 THEN ')' ELSE '' END
+                WHEN 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'AB-' ELSE 'ab-' END || l_partkey ELSE CASE WHEN l_suppkey % 3 > 0 THEN l_returnflag END END AS text,
+             CASE WHEN row % 2 = 1 AND col < 2 THEN col * 100 + l_quantity END AS x FROM n, range(3) r(col))"""
 _TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 
 ORACLES = {
@@ -243,13 +253,15 @@ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN '
 """,
     "a24_headers": """
 WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS a, len(string_split(p_type, ' ')) + len(string_split(p_brand, ' ')) + 5 AS b FROM part)
-SELECT p_partkey, 1::BIGINT AS generic, round((3 * len(a) + 1 + b) / 5, 6) AS words, (2 + (len(list_distinct(a)) < len(a) OR len(a) >= 6)::INTEGER)::BIGINT AS noisy,
+SELECT p_partkey, 1::BIGINT AS generic, round((3 * len(a) + 2 + b) / 6, 6) AS words, (2 + (len(list_distinct(a)) < len(a) OR len(a) >= 6)::INTEGER)::BIGINT AS noisy,
        CASE WHEN len(a) >= 2 AND length('Part: ' || p_name) >= 12 THEN 'Part: ' || p_name ELSE '' END AS context FROM w
 """,
     "a13_slots": f"""WITH {_CELLS},
 g AS (SELECT t, col, min(x) FILTER (row >= 2) AS a, max(x + 10) FILTER (row >= 2) AS b, min(x) AS c, max(x + 10) AS d FROM c GROUP BY ALL)
-SELECT t, col, coalesce(a, c, col)::DOUBLE AS s, CASE WHEN a IS NOT NULL THEN b WHEN c IS NOT NULL THEN d ELSE col + 1 END::DOUBLE AS s_end FROM g""",
-    "t24_values": f"WITH {_CELLS} SELECT t, row, (col > 0)::BIGINT AS slot, string_agg(text, ' ' ORDER BY col) AS value FROM c GROUP BY ALL",
-    "t26_leading": f"WITH {_CELLS} SELECT DISTINCT t, row, true AS number, true AS code FROM c",
+SELECT t, col, CASE WHEN t % 5 = 0 AND col = 1 THEN col ELSE coalesce(a, c, col) END::DOUBLE AS s, CASE WHEN t % 5 = 0 AND col = 1 THEN 2 WHEN a IS NOT NULL THEN b WHEN c IS NOT NULL THEN d ELSE col + 1 END::DOUBLE AS s_end FROM g""",
+    "t24_values": f"""WITH {_CELLS}, e AS (SELECT DISTINCT t, row, slot FROM c, range(4) r(slot)),
+g AS (SELECT t, row, CASE WHEN l_quantity % 2 = 0 THEN (col > 0)::BIGINT ELSE col END AS slot, string_agg(text, ' ' ORDER BY col) AS value FROM c GROUP BY ALL)
+SELECT t, row, slot, coalesce(value, '') AS value FROM e LEFT JOIN g USING (t, row, slot)""",
+    "t26_leading": f"WITH {_CELLS} SELECT DISTINCT t, row, l_linenumber % 3 > 0 AS number, l_partkey % 2 = 0 AS code, CASE WHEN row % 2 = 1 THEN row * 20.0 ELSE 0 END::DOUBLE AS y FROM c",
     "w12_numbers": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS row_number FROM events",
 }
