@@ -17,7 +17,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-NAMES = "a1_summary a3_daily w1_pairs v1_nearest r13_select j7_descendants t14_rows z4_daily_stream t6_demoted t11_headers t22_markdown s21_boxes b2_spaced b4_masked h2_segments h9_keys r5_ranges q9_composed"
+NAMES = "a1_summary a3_daily w1_pairs v1_nearest r13_select j7_descendants t14_rows z4_daily_stream t6_demoted t11_headers t22_markdown s21_boxes b2_spaced b4_masked h2_segments h9_keys r5_ranges q9_composed i6_fallback i13_dense o6_full a13_slots t24_values t26_leading a24_headers"
 
 
 @pytest.mark.parametrize("name", NAMES.split())
