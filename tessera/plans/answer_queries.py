@@ -30,8 +30,8 @@ def _around(pairs, text):
 def c1_cells(spark, d):
     rows = R.normalized_rows(tables(spark, d), "markdown", "table_id")
     asked = S.with_signals(spark.createDataFrame([("Which part has quantity 17 and flag NO?",), ("part 155 of group r",)], "question string"), "question")
-    both = rows.join(F.broadcast(asked))
-    scored = both.withColumn("s", C.score(F.col("cells"), F.col("group_context"), F.lit("")))
+    both = rows.join(F.broadcast(asked.withColumn("terms", C.asked_terms())))
+    scored = both.withColumn("s", C.score(F.col("cells"), F.col("group_context"), F.lit(""), F.col("terms")))
     return scored.select("question", "table_id", F.col("row_index").cast("long").alias("row_index"), F.round("s.total", 6).alias("total"), "s.codes", "s.labels", "s.conflicts", "s.phrases", "s.exact")
 
 
