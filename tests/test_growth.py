@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import cells as C
+from tessera.operators import coordinates as P
 from tessera.operators import keywords as K
 from tessera.operators import signals as S
 from tessera.operators import table_rows as R
@@ -54,3 +55,24 @@ def test_scores_are_worked_out_once(spark):
     got = K.fallback_search(chunks, asked(spark), "row", "tenant")
     assert optimized(got).count(K.DATE_LIKE) == 1
     assert got.filter("question = 'q'").orderBy("nth").first().key == "12-1"
+
+
+def test_words_become_cells_by_one_shuffle_and_without_sorts(spark):
+    word = lambda t, x, y: F.struct(F.lit(t).alias("text"), F.lit(float(x)).alias("x"), F.lit(x + 8.0).alias("x_end"), F.lit(float(y)).alias("y"), F.lit(y + 10.0).alias("y_end"))
+    words = spark.range(6).repartition(3).select(F.col("id").alias("t"), F.inline(F.array(word("b", 10, 0), word("a", 0, 1), word("c", 40, 20), word(" ", 60, 0))))
+    got = P.cells_of_words(words, ["t"])
+    plan = planned(got)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+    rows = {(r.t, r.row, r.col): (r.text, r.x, r.x_end, r.y, r.height) for r in got.collect()}
+    assert len(rows) == 24 and rows[5, 0, 0] == ("a b", 0.0, 18.0, 0.0, 11.0) and rows[5, 1, 1] == ("c", 40.0, 48.0, 20.0, 10.0) and rows[5, 0, 1] == ("", 0.0, 0.0, 0.0, 0.0)
+
+
+def test_cells_of_tables_are_shuffled_once(spark):
+    cell = lambda row, col, t: F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(t).alias("text"), F.lit(col * 50.0).alias("x"), F.lit(col * 50.0 + 30).alias("x_end"), F.lit(row * 20.0).alias("y"), F.lit(10.0).alias("height"))
+    cells = spark.range(6).select(F.col("id").alias("t"), F.inline(F.array(cell(0, 0, "No"), cell(0, 1, "Part"), cell(1, 0, "1"), cell(1, 1, "P12"), cell(2, 0, "2"), cell(2, 1, "P13"))))
+    tables = cells.select("t").distinct().withColumn("caption", F.lit("A")).withColumn("title", F.lit("B")).withColumn("page", F.lit(1)).withColumn("index", F.lit(0))
+    out, results = P.coordinate_tables(tables, cells, ["t"])
+    # Cells, rows and headers lie in buckets; only the tables themselves may move.
+    assert planned(out).count("Exchange hashpartitioning") <= 1
+    assert {(r.t, r.row_number, r.cells_json) for r in out.collect()} == {(t, n, '{"no":"%d","part":"P1%d"}' % (n, n + 1)) for t in range(6) for n in (1, 2)}
+    assert {(r.t, r.problem, r.rows) for r in results.collect()} == {(t, None, 2) for t in range(6)}
