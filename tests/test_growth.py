@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.operators import cells as C
 from tessera.operators import coordinates as P
+from tessera.operators import expansion as E
 from tessera.operators import keywords as K
+from tessera.operators import listings as L
 from tessera.operators import signals as S
 from tessera.operators import table_rows as R
+from tessera.plans import retrieval_queries as Q
 
 
 def optimized(df) -> str:
@@ -76,3 +81,36 @@ def test_cells_of_tables_are_shuffled_once(spark):
     assert planned(out).count("Exchange hashpartitioning") <= 1
     assert {(r.t, r.row_number, r.cells_json) for r in out.collect()} == {(t, n, '{"no":"%d","part":"P1%d"}' % (n, n + 1)) for t in range(6) for n in (1, 2)}
     assert {(r.t, r.problem, r.rows) for r in results.collect()} == {(t, None, 2) for t in range(6)}
+
+
+def test_slots_and_places_are_gathered_by_table(spark):
+    cells = spark.range(40).select((F.col("id") % 4).alias("t"), F.floor(F.col("id") / 8).alias("row"), (F.col("id") % 8 > 3).cast("int").alias("slot"), F.lit(0).alias("col"), F.concat(F.lit(" a "), "id").alias("text"))
+    every = cells.select("t").distinct().withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    got = L.slot_values(cells, ["t", "row"], "slot", "col", "text", every)
+    assert planned(got).count("Join") == 1
+    values = {(r.t, r.row, r.slot): r.value for r in got.collect()}
+    assert len(values) == 60 and values[1, 2, 0] == "a 17" and values[1, 2, 1] == "a 21" and values[1, 2, 2] == ""
+
+
+def test_admission_does_not_write_cells_several_times(spark):
+    cells = spark.range(48).select((F.col("id") % 2).alias("t"), F.floor(F.col("id") / 8).alias("row"), F.floor(F.col("id") / 2 % 4).alias("col"), F.concat(F.lit("text "), "id").alias("text"))
+    got = R.admitted(cells, "t")
+    assert "Expand" not in planned(got)
+    assert [(r.t, r.admitted, r.reason) for r in got.orderBy("t").collect()] == [(0, True, None), (1, True, None)]
+
+
+def test_overlaps_make_no_row_for_each_pair(spark):
+    cells = spark.range(30).select((F.col("id") % 3).alias("t"), F.col("id").alias("cell"), (F.col("id") * 1.0).alias("x"), (F.col("id") + 4.0).alias("x_end"))
+    slots = spark.range(15).select((F.col("id") % 3).alias("t"), F.floor(F.col("id") / 3).alias("slot"), (F.floor(F.col("id") / 3) * 11.0).alias("s"), (F.floor(F.col("id") / 3) * 11.0 + 10).alias("s_end"))
+    got = E.best_overlap(cells, slots, "t")
+    assert "array_max" in optimized(got)
+    best = {r.cell: (r.slot, r.shared) for r in got.collect()}
+    assert len(best) == 30 and best[0] == (0, 4.0) and best[9] == (1, 2.0) and best[29] == (2, 3.0)
+
+
+def test_idf_of_a_few_terms_lists_no_others(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "apache license version"), (2, "en", "the trash"), (3, "de", "unter der Version")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.i5_idf(spark, str(tmp_path))
+    assert "ngrams" not in optimized(got) and "Generate explode" in optimized(got) and "_terms" in optimized(got)
+    weight = {(r.question, r.term): r.weight for r in got.collect()}
+    assert weight["q0", "apache"] == round(math.log(3 / 2) + 1, 6) and weight["q1", "where"] == round(math.log(3) + 1, 6)
