@@ -73,8 +73,8 @@ def a15_quality(spark, d):
 
 def t16_admitted(spark, d):
     l = scan(spark, d, "lineitem")
-    cells = [l.select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") - 1).alias("row"), F.lit(i).alias("col"), F.when(F.col("l_partkey") % (3 + i) > 0, F.col(c).cast("string")).alias("text")) for i, c in enumerate(("l_partkey", "l_returnflag", "l_linestatus"))]
-    return R.admitted(cells[0].unionByName(cells[1]).unionByName(cells[2]), "t")
+    cells = [F.struct((F.col("l_linenumber") - 1).alias("row"), F.lit(i).alias("col"), F.when(F.col("l_partkey") % (3 + i) > 0, F.col(c).cast("string")).alias("text")) for i, c in enumerate(("l_partkey", "l_returnflag", "l_linestatus"))]
+    return R.admitted(l.select(F.col("l_orderkey").alias("t"), F.inline(F.array(*cells))), "t")
 
 
 def t20_dense(spark, d):
