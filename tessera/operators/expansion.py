@@ -106,11 +106,16 @@ def best_overlap(cells: DataFrame, slots: DataFrame, table: str) -> DataFrame:
 
     cells: table, cell, x, x_end; slots: table, slot, s, s_end.
     """
-    pairs = cells.join(slots, table)
-    shared = F.greatest(F.lit(0.0), F.least("x_end", "s_end") - F.greatest("x", "s"))
-    apart = F.abs((F.col("x") + F.col("x_end") - F.col("s") - F.col("s_end")) / 2)
-    rank = F.struct(shared.alias("shared"), (-apart).alias("near"), (-F.col("slot")).alias("first"))
-    return pairs.groupBy(table, "cell").agg(F.max_by("slot", rank).alias("slot"), F.max(shared).alias("shared"))
+    # A table's slots, a bounded number, stay beside its cells: no row for each pair of them.
+    held = slots.groupBy(table).agg(F.collect_list(F.struct("slot", "s", "s_end")).alias("_slots"))
+
+    def rank(s: Column) -> Column:
+        shared = F.greatest(F.lit(0.0), F.least(F.col("x_end"), s["s_end"]) - F.greatest(F.col("x"), s["s"]))
+        apart = F.abs((F.col("x") + F.col("x_end") - s["s"] - s["s_end"]) / 2)
+        return F.struct(shared.alias("shared"), (-apart).alias("near"), (-s["slot"]).alias("first"), s["slot"].alias("slot"))
+
+    best = cells.join(held, table).select(table, "cell", F.array_max(F.transform("_slots", rank)).alias("_best"))
+    return best.groupBy(table, "cell").agg(F.max("_best").alias("_best")).select(table, "cell", "_best.slot", "_best.shared")
 
 
 def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
