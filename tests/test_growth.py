@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.operators import cells as C
+from tessera.operators import continued as N
 from tessera.operators import coordinates as P
 from tessera.operators import expansion as E
 from tessera.operators import keywords as K
@@ -114,3 +115,16 @@ def test_idf_of_a_few_terms_lists_no_others(spark, tmp_path):
     assert "ngrams" not in optimized(got) and "Generate explode" in optimized(got) and "_terms" in optimized(got)
     weight = {(r.question, r.term): r.weight for r in got.collect()}
     assert weight["q0", "apache"] == round(math.log(3 / 2) + 1, 6) and weight["q1", "where"] == round(math.log(3) + 1, 6)
+
+
+def test_rows_of_continued_tables_are_made_with_slugs_of_a_fragment(spark):
+    text = "| Part | Size |\n|---|---|\n| Group: a | |\n| P1 | 7 |\n| | more |\n| Q1 | 8 |\n| part | SIZE |"
+    f = spark.createDataFrame([(1, 0, text, None, "T", 1, 1), (1, 1, "| P2 | 9 |", None, "T", 2, 2)], "s int, at int, markdown string, caption string, title string, page_start int, page_end int")
+    got = N.continued_rows(N.resolved(f, ["s"], "at", "markdown"), ["s"])
+    above, below = optimized(got).split("Generate explode(concat", 1)
+    # Slugs are made a fragment and not a cell; whether a row is a rule is told a row and not a cell.
+    assert "[^a-z0-9]+" not in above and "[^a-z0-9]+" in below and "forall" not in below
+    # Rows are merged one by one only if one of them can go on with another.
+    assert below.split("\n")[1].count("exists(") >= 1
+    rows = [(r.row_number, r["at"], r.group_context, r.cells_json) for r in got.orderBy("row_number").collect()]
+    assert rows == [(1, 0, "Group: a", '{"part":"P1","size":"7 more"}'), (2, 0, "Group: a", '{"part":"Q1","size":"8"}'), (3, 1, "Group: a", '{"part":"P2","size":"9"}')]
