@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.operators import cells as C
+from tessera.operators import chunks as H
 from tessera.operators import continued as N
 from tessera.operators import coordinates as P
 from tessera.operators import expansion as E
@@ -128,3 +129,13 @@ def test_rows_of_continued_tables_are_made_with_slugs_of_a_fragment(spark):
     assert below.split("\n")[1].count("exists(") >= 1
     rows = [(r.row_number, r["at"], r.group_context, r.cells_json) for r in got.orderBy("row_number").collect()]
     assert rows == [(1, 0, "Group: a", '{"part":"P1","size":"7 more"}'), (2, 0, "Group: a", '{"part":"Q1","size":"8"}'), (3, 1, "Group: a", '{"part":"P2","size":"9"}')]
+
+
+def test_texts_are_cleaned_once_for_chunks(spark):
+    texts = ["", "a  short one", "x" * 90 + "\n\n" + "y" * 90, "z. " * 60, None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = H.chunk_texts(docs, "k", "t", 120, 20)
+    assert "Union" not in optimized(got) and optimized(got).count("page|trang") == 1
+    rows = [(r.k, r.chunk_index, r.content) for r in got.orderBy("k", "chunk_index").collect()]
+    assert rows[0] == (1, 0, "a short one") and rows[1] == (2, 0, "x" * 90) and rows[2] == (2, 1, "x" * 20 + "\n\n" + "y" * 90)
+    assert [r[2] for r in rows if r[0] == 3] == H.windows(("z. " * 60).strip(), 120, 20)
