@@ -139,3 +139,13 @@ def test_texts_are_cleaned_once_for_chunks(spark):
     rows = [(r.k, r.chunk_index, r.content) for r in got.orderBy("k", "chunk_index").collect()]
     assert rows[0] == (1, 0, "a short one") and rows[1] == (2, 0, "x" * 90) and rows[2] == (2, 1, "x" * 20 + "\n\n" + "y" * 90)
     assert [r[2] for r in rows if r[0] == 3] == H.windows(("z. " * 60).strip(), 120, 20)
+
+
+def test_runs_of_words_copy_no_list(spark):
+    one = spark.createDataFrame([("k", "en", "Apache-2.0 license of the year 12/05/2024, license of -x- it")], "key string, tenant string, content string")
+    got = K.postings(one, "key", "tenant")
+    assert "slice(" not in optimized(got)
+    words = ["apache-2.0", "apache", "license", "of", "the", "year", "12/05/2024", "12", "05", "2024", "x-", "it"]
+    words = [w for w in words if w != "x-"]
+    assert {r.term for r in got.collect()} >= {"apache-2.0", "apache", "12/05/2024", "2024", "license of the year", "license of", "apache license"}
+    assert [r.t for r in one.select(F.explode(K.tokens(F.col("content"))).alias("t")).collect()] == words
