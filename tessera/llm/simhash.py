@@ -11,6 +11,8 @@ max_bits + 1 blocks r is 0 and nobody visits a second shard. With more blocks st
 every choice of so many: more copies of each fingerprint, far fewer comparisons. The number of blocks grows with that of the
 fingerprints. Each tree is fitted on a bounded sample and then holds every fingerprint; where r is 0 a shard is cut further by
 a hash of the tree's bits. Pairs are confirmed on all 64 bits inside the shards.
+
+similar_duplicates() has no contract and does without fingerprints: it joins sets of shingles by prefixes, which loses no pair.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from .graph import components
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints that the trees are fitted on, at most; shards hold about SHARD_ROWS, TILE_ROWS at most.
 SAMPLE, SHARD_ROWS, TILE_ROWS = 16384, 512, 8192
-#: For similar texts without a contract: words of a shingle, Jaccard similarity, and bits that find it (at 0.8 a bit
-#: differs with a chance of 0.15).
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_BITS, TALLY = 5, 0.8, 16, 64
+#: For similar texts without a contract: words of a shingle, Jaccard similarity, remainders of a tally; texts that frequent shingles
+#: are looked for in, and these shingles, at most.
+SIMILAR_SHINGLE, SIMILARITY, TALLY, MOST_SAMPLED, COMMON = 5, 0.8, 64, 1 << 18, 1 << 17
 #: Comparisons that a copy of a fingerprint in a further tree must save to be worth its shuffle; copies at most.
 COPY, MOST_TREES = 1000, 40
 _STEP = 32768
@@ -303,64 +305,99 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def _sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, tid, fp of the set of shingles, n (its size) and tally (how many of its hashes have each remainder by TALLY)."""
+def prefix(hashes: np.ndarray, common: np.ndarray, weights: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first of a set's hashes in an order that all sets share, so many that two sets whose Jaccard similarity is at least
+    `similarity` have one of them in common. common: hashes of frequent shingles, ascending, which come last, by their weights.
+    Sets without shingles have hash zero."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    rank = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, weights[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: n - math.ceil(n * similarity - 1e-9) + 1]]
+
+
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    some = shingles(text, shingle)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in some), dtype="<u8", count=len(some))
+
+
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and numbers of texts of the shingles that most of a sample's texts share, COMMON at most. They only set the
+    order in which prefixes are taken: any order finds all pairs. The sample has an eighth of the texts, but SAMPLE at least and
+    MOST_SAMPLED at most, about, by hash. texts: tid, content."""
+    n = max(1, texts.count())
+    share = min(max(SAMPLE, n // 8), MOST_SAMPLED) / n
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "tid"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
 
     def run(batches):
         for batch in batches:
-            fps, sizes, tallies = [], [], []
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(x.as_py(), shingle).view(np.int64))], names=["h"])
+
+    counts = sample.select("content").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    found = sorted((int(np.array(x.h).view(np.uint64)), x.n) for x in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect())
+    return np.array([h for h, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def _sketches(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """id, tid, n (size of the set of shingles), tally (how many of its hashes have each remainder by TALLY) and keys (its prefix)."""
+    text = whole(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), text.cast("binary").alias("content"))
+    common, weights = common_shingles(rows, shingle)
+
+    def run(batches):
+        for batch in batches:
+            sizes, tallies, keys = [], [], []
             for x in batch.column(2):
-                some = shingles(x.as_py(), shingle)
-                h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in some), dtype="<u8", count=len(some))
-                ones = np.zeros(64, dtype=np.int64)
-                for at in range(0, len(h), _STEP):
-                    ones += np.unpackbits(h[at : at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fps.append(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+                h = _hashes(x.as_py(), shingle)
                 sizes.append(len(h))
                 tallies.append(np.bincount((h % np.uint64(TALLY)).astype(np.int64), minlength=TALLY).astype("<i4").tobytes())
+                keys.append(prefix(h, common, weights, similarity).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(tallies, pa.binary())],
-                names=["id", "tid", "fp", "n", "tally"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(tallies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "tid", "n", "tally", "keys"]
             )
 
-    text = whole(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), text.cast("binary").alias("content"))
-    more = [T.StructField("tid", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tally", T.BinaryType())]
+    more = [T.StructField("tid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tally", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), *more]))
 
 
-def similar_duplicates(
-    docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, max_bits: int = SIMILAR_BITS, id_col: str = "doc_id", text_col: str = "text", **sizes
-) -> DataFrame:
+def _may_be_similar(similarity: float) -> F.Column:
+    """Of a and b, which share a key: whether the sizes, and what is left of the sets from the key on, allow the similarity. True at the
+    first key that similar sets share."""
+    a, b = F.col("a.n"), F.col("b.n")
+    left = F.least(a - F.col("a.pos"), b - F.col("b.pos"))
+    return (F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-6) & (left >= (a + b) * F.lit(similarity / (1 + similarity)) - 1e-6)
+
+
+def similar_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, tid, component_id, as near_duplicates().
 
-    Texts link when the Jaccard similarity of their sets of shingles is at least `similarity` and the sets'
-    fingerprints differ in at most max_bits bits. The fingerprints propose all pairs; the sizes and tallies of the sets
-    rule out those that cannot be similar enough, and the shingles themselves confirm the others. Each text's pair with its
-    smallest partner goes first: pairs that are connected by then need no look.
+    Texts link when the Jaccard similarity of their sets of shingles is at least `similarity`. Similar sets share a key of their
+    prefixes, rare shingles first. Of the texts with a key, each first meets only the one whose keys are shared most; texts
+    of one component by then need no look, and only those of different components meet each other. Sizes, places of the keys and tallies
+    rule out pairs that cannot be similar enough, and the shingles themselves confirm the others: no link is lost.
     """
-    rows = keep(_sketches(docs, shingle, id_col, text_col), "sketches")
-    texts = keep(rows.groupBy("tid").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("fp", "n", "tally")]), "texts")
-    side = lambda x: texts.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "n", "tally")])
-    fps = keep(texts.select("fp").distinct(), "classes")
-    # Copies of a fingerprint are a pair of their own.
-    pairs = link(fps, max_bits, max_bits + 1, every=True, **sizes).distinct().unionByName(fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("tid_a") < F.col("tid_b")))
-    near = near.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-6)
+    rows = keep(_sketches(docs, shingle, similarity, id_col, text_col), "sketches")
+    texts = keep(rows.groupBy("tid").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("tally").alias("tally"), F.min("keys").alias("keys")), "texts")
+    postings = texts.select("tid", "n", F.posexplode("keys").alias("pos", "key"))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
+    shared = keep(postings.join(sizes, "key"), "shared")
+    weight = shared.groupBy("tid").agg(F.sum("texts").alias("weight"))
+    shared = keep(shared.join(weight, "tid").select("key", "tid", "n", "pos", "weight"), "weighted")
+    content = docs.select(F.xxhash64(whole(F.col(text_col))).alias("tid"), whole(F.col(text_col)).cast("binary").alias("content")).dropDuplicates(["tid"])
 
     def possible(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, TALLY) for c in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, TALLY) for c in (2, 3))
             # The sets differ in at least as many shingles as their tallies do.
             good = np.abs(x - y).sum(axis=1) <= (x.sum(axis=1) + y.sum(axis=1)) * (1 - similarity) / (1 + similarity) + 1e-6
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["hi", "lo"])
 
-    near = near.select(F.greatest("tid_a", "tid_b").alias("hi"), F.least("tid_a", "tid_b").alias("lo"), "n_a", "n_b", "tally_a", "tally_b")
-    near = keep(near.mapInArrow(possible, "hi long, lo long"), "near-pairs")
-    content = docs.select(F.xxhash64(whole(F.col(text_col))).alias("tid"), whole(F.col(text_col)).cast("binary").alias("content")).dropDuplicates(["tid"])
-
     def confirm(batches):
         for batch in batches:
             seen: dict = {}
@@ -376,17 +413,24 @@ def similar_duplicates(
             good = [jaccard(parts(h, s), parts(o, t)) >= similarity for h, o, s, t in zip(hi, lo, x, y)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        side = lambda c: texts.select(F.col("tid").alias(c), F.col("tally").alias(f"tally_{c}"))
+        some = pairs.join(side("hi"), "hi").join(side("lo"), "lo").select("hi", "lo", "tally_hi", "tally_lo")
+        some = keep(some.mapInArrow(possible, "hi long, lo long"), "possible-pairs")
         wide = some.join(content.select(F.col("tid").alias("hi"), F.col("content").alias("x")), "hi").join(content.select(F.col("tid").alias("lo"), F.col("content").alias("y")), "lo")
         return keep(wide.select("hi", "lo", "x", "y").mapInArrow(confirm, "a long, b long"), "similar-pairs")
 
-    star = keep(near.groupBy("hi").agg(F.min("lo").alias("lo")), "first-pairs")
-    links = confirmed(star)
-    known = keep(components(links), "known")
-    rest = near.join(star, ["hi", "lo"], "left_anti")
-    for c in ("hi", "lo"):
-        rest = rest.join(known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    rest = rest.filter(F.coalesce("root_hi", "hi") != F.coalesce("root_lo", "lo")).select("hi", "lo")
+    pair = [F.greatest("a.tid", "b.tid").alias("hi"), F.least("a.tid", "b.tid").alias("lo")]
+    best = shared.groupBy("key").agg(F.max(F.struct("weight", "tid", "n", "pos")).alias("best")).select("key", "best.tid", "best.n", "best.pos")
+    met = shared.alias("a").join(best.alias("b"), "key").filter((F.col("a.tid") != F.col("b.tid")) & _may_be_similar(similarity))
+    met = keep(met.select(*pair).distinct(), "first-pairs")
+    links = confirmed(met)
+    known = components(links).select(F.col("node").alias("tid"), "root")
+    placed = keep(shared.join(known, "tid", "left").withColumn("root", F.coalesce("root", "tid")), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
+    placed = keep(placed.join(open_keys, "key", "left_semi"), "open")
+    rest = placed.alias("a").join(placed.alias("b"), "key").filter((F.col("a.root") < F.col("b.root")) & _may_be_similar(similarity))
+    rest = keep(rest.select(*pair).distinct().join(met, ["hi", "lo"], "left_anti"), "other-pairs")
     stars = components(links.unionByName(confirmed(rest)))
     linked = texts.join(stars, F.col("tid") == F.col("node"), "left").select("tid", "first", F.coalesce("root", "tid").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -69,3 +69,52 @@ def test_near_stage(spark):
     assert stay >= want
     assert len(rows) - len(stay) >= 0.98 * (len(rows) - len(want))
     print("pairs", len(pairs), "within 4 bits", shown, "to drop", len(rows) - len(want), "dropped", len(rows) - len(stay))
+
+
+def made_of(spark, monkeypatch, texts):
+    """Components of similar_duplicates(), and the rows of every table that it writes."""
+    made, keep = [], simhash.keep
+
+    def counted(df, name):
+        made.append((name, (out := keep(df, name)).count()))
+        return out
+
+    monkeypatch.setattr(simhash, "keep", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.id: r.component_id for r in simhash.similar_duplicates(docs).collect()}, made
+
+
+def test_a_large_group_makes_no_row_for_each_pair(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w if i != at else f"new{n}" for i, w in enumerate(words)) for n, at in enumerate(rng.choices(range(200), k=400))]
+    found, made = made_of(spark, monkeypatch, texts)
+    assert set(found.values()) == {0}
+    assert all(n < 4 * len(texts) for name, n in made if name.endswith("pairs")), made
+
+
+def test_no_link_is_lost(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for g in range(25):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(3, 260))]
+        texts.append(" ".join(words))
+        # Each is near the limit of the first, and mostly beyond it of the others.
+        for _ in range(12):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 45))):
+                copy[at] = rng.choice(vocabulary)
+            texts.append(" ".join(copy[rng.randint(0, len(copy) // 20) :]))
+    texts = list(dict.fromkeys([*texts, "", " ", "one", "One"]))
+    rng.shuffle(texts)
+    sets = [five_words(t) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            whole = len(sets[i] | sets[j])
+            if want[i] != want[j] and (not whole or len(sets[i] & sets[j]) / whole >= 0.8):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    found, _ = made_of(spark, monkeypatch, texts)
+    assert found == dict(enumerate(want))
