@@ -149,3 +149,12 @@ def test_runs_of_words_copy_no_list(spark):
     words = [w for w in words if w != "x-"]
     assert {r.term for r in got.collect()} >= {"apache-2.0", "apache", "12/05/2024", "2024", "license of the year", "license of", "apache license"}
     assert [r.t for r in one.select(F.explode(K.tokens(F.col("content"))).alias("t")).collect()] == words
+
+
+def test_texts_are_normalized_once_for_the_fallback(spark):
+    chunks = spark.range(30).select(F.col("id"), F.lit("all").alias("tenant"), F.concat(F.lit("Part: P"), "id").alias("content"))
+    others = spark.range(5).select(F.col("id") + 100, F.lit("nobody asks"), F.lit("Part: P12"))
+    got = K.fallback_search(chunks.unionByName(others.toDF("id", "tenant", "content")), asked(spark), "id", "tenant")
+    # Neither once more for the scores nor for every question of a tenant.
+    assert "[!-,:-@" not in optimized(got)
+    assert got.filter("question = 'q'").orderBy("nth").first().key == 12
