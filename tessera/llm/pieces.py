@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -448,14 +449,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _turns(rows: DataFrame) -> DataFrame:
-    """rows with turn: which of the rows alike in id and text it is, in the same order as before."""
+    """rows (id, content, name) with turn: which of the rows alike in id and text it is, in the same order as before; and z, the content compressed,
+    in the place of content if rows repeat. Texts move twice then, to their like and back to their places."""
     keyed = rows.withColumn("key", F.xxhash64("content"))
     if not keyed.groupBy("id", "key").count().filter("count > 1").limit(1).count():
         return rows.withColumn("turn", F.lit(0))
-    placed = keyed.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33).cast("int"))
+    schema = T.StructType([keyed.schema["id"], T.StructField("z", T.BinaryType()), keyed.schema["name"], keyed.schema["key"]])
+    placed = keyed.mapInArrow(_press, schema).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33).cast("int"))
     parts = rows.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] + 1
     counted = placed.withColumn("turn", F.row_number().over(W.partitionBy("id", "key").orderBy("at")) - 1)
-    return counted.repartitionById(parts, F.least("part", F.lit(parts - 1))).sortWithinPartitions("at").select(*rows.columns, "turn")
+    return counted.repartitionById(parts, F.least("part", F.lit(parts - 1))).sortWithinPartitions("at").select("id", "z", "name", "turn")
+
+
+def _press(batches):
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        z = pa.array([press.compress(x.as_py()) for x in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], names=["id", "z", "name", "key"])
 
 
 def load(path: str = MODEL, **options) -> Pieces:
@@ -470,18 +480,20 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     same pass, which spares a second Python worker beside each task's."""
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("content"), F.col(id_col).cast("string").alias("name"))
     schema, rows = rows.schema, _turns(rows)
+    pressed = "z" in rows.columns
 
     def run(batches):
+        unpress = zstandard.ZstdDecompressor().decompress if pressed else bytes
         for batch in batches:
             at, texts, size = 0, [], 0
             for i in range(batch.num_rows):
-                texts.append(batch.column(1)[i].as_py())
+                texts.append(unpress(batch.column(1)[i].as_py()))
                 size += len(texts[-1])
                 if size > BATCH_BYTES or i == batch.num_rows - 1:
                     part = batch.slice(at, len(texts))
                     ids = pieces.encode_many(texts, [x or "" for x in part.column(2).to_pylist()], part.column(3).to_pylist())
                     ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                    columns = {"id": part.column(0), "content": part.column(1), "ids": pa.ListArray.from_arrays(ends, np.concatenate(ids))}
+                    columns = {"id": part.column(0), "content": pa.array(texts, pa.binary()) if pressed else part.column(1), "ids": pa.ListArray.from_arrays(ends, np.concatenate(ids))}
                     if round_trip:
                         columns["decoded"] = pa.array([pieces.decode(x.tolist()) for x in ids], pa.binary())
                     yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

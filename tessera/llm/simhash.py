@@ -380,8 +380,10 @@ def similar_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similari
     of one component by then need no look, and only those of different components meet each other. Sizes, places of the keys and tallies
     rule out pairs that cannot be similar enough, and the shingles themselves confirm the others: no link is lost.
     """
-    rows = keep(_sketches(docs, shingle, similarity, id_col, text_col), "sketches")
-    texts = keep(rows.groupBy("tid").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("tally").alias("tally"), F.min("keys").alias("keys")), "texts")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("tid"))
+    # Only what is left of each text is written: the sketches of all rows would stand beside it until the end.
+    sketches = _sketches(docs, shingle, similarity, id_col, text_col)
+    texts = keep(sketches.groupBy("tid").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("tally").alias("tally"), F.min("keys").alias("keys")), "texts")
     postings = texts.select("tid", "n", F.posexplode("keys").alias("pos", "key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
     shared = keep(postings.join(sizes, "key"), "shared")

@@ -143,3 +143,19 @@ def test_encoding_by_one_agenda_at_a_time(dropout):
             want += own.walk(w, tuple(skips))[0]
         assert found.tolist() == want
         assert own.decode(want) == t
+
+
+def test_repeated_texts_move_compressed(spark):
+    texts = [(i % 3, t) for i, t in enumerate([*TEXTS, None, *TEXTS])] + [(None, "x y"), (None, "x y"), (7, "long words " * 400)] * 2
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    found = pieces.encode(docs, pieces.load(), round_trip=True)
+    # Pressed before they move, encoded once they are back.
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    own, seen = pieces.load(), Counter()
+    rows = found.collect()
+    assert [r.id for r in rows] == [i for i, _ in texts]
+    for r, (i, text) in zip(rows, texts):
+        content = (text or "").encode()
+        assert r.content == r.decoded == content
+        assert r.ids == own.encode(content, "" if i is None else str(i), seen[i, content])
+        seen[i, content] += 1

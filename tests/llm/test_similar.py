@@ -118,3 +118,17 @@ def test_no_link_is_lost(spark, monkeypatch):
                 want = [a if x == b else x for x in want]
     found, _ = made_of(spark, monkeypatch, texts)
     assert found == dict(enumerate(want))
+
+
+def test_sketches_of_all_rows_are_not_written(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 3}", "en", "s", 1) for i in range(30)] + [(None, None, None, None, None)], COLUMNS)
+    written = []
+    keep = simhash.keep
+    simhash.keep = lambda df, name: written.append((name, keep(df, name))) or written[-1][1]
+    try:
+        found = simhash.similar_duplicates(docs).collect()
+    finally:
+        simhash.keep = keep
+    # One row for each text at most, however often it stands.
+    assert max(df.count() for _, df in written if "tally" in df.columns) == 4
+    assert sorted((r.id, r.component_id) for r in found if r.id is not None) == [(i, i % 3) for i in range(30)] and len(found) == 31
