@@ -43,14 +43,15 @@ def retrieve(
     asked = written(asked.withColumn("limit", limit), "asked")
     # Written: the few hits and candidates of the questions, which several later steps read.
     words = written(keywords.search(chunks if has_cells else chunks.drop("cells"), asked, "key", "tenant", index=index), "keyword-hits")
+    vector_hits = written(vector_hits, "vector-hits")
     hits = vectors.merge_hits(vector_hits, words)
-    near = vector_hits.join(chunks.select("key", "document"), "key").select("question", "document")
-    anchors = pool.lexical_anchors(chunks, questions, near)
+    near = chunks.select("key", "document").join(small(vector_hits), "key").select("question", "document")
+    anchors = written(pool.lexical_anchors(chunks, questions, written(near, "near")), "anchors")
     if sections is None:
         expanded = asked.filter(F.col("intent").isin(*signals.EXPANDED)).select("question")
         found = pool.candidate_pool(chunks, vector_hits, words, anchors, expanded, keyword_only).withColumn("branch", F.lit(None).cast("string")).withColumn("locked", F.lit(False))
     else:
-        found = _scoped(chunks, asked, questions, vector_hits, words, written(anchors, "anchors"), sections, hits, rerank, keyword_only)
+        found = _scoped(chunks, asked, questions, vector_hits, words, anchors, sections, hits, rerank, keyword_only)
     rows = written(_scored(found, chunks, asked, hits, rerank), "scored")
     rows = pool.adjusted(rows, "fused")
     rows = rows.withColumn("budget", signals.char_budget(F.col("intent"), F.col("locked"))).withColumn("chars", F.length("content"))
@@ -63,7 +64,8 @@ def retrieve(
 def _scored(found: DataFrame, chunks: DataFrame, asked: DataFrame, hits: DataFrame, rerank: DataFrame | None) -> DataFrame:
     """Candidates with what they are judged by, and fused scores."""
     hay = signals.squeeze(signals.fold(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("heading_path", "section_title", "content")])))
-    rows = found.join(chunks, "key").join(small(asked.drop("tenant")), "question").withColumn("hay", hay).withColumn("terms", pool.question_words(F.col("text")))
+    # Candidates are few: chunks are not shuffled for them.
+    rows = chunks.join(small(written(found, "found")), "key").join(small(asked.drop("tenant")), "question").withColumn("hay", hay).withColumn("terms", pool.question_words(F.col("text")))
     rows = rows.join(hits.select("question", "key", "vector", "keyword"), ["question", "key"], "left").fillna(0.0, ["vector", "keyword"])
     rows = vectors.lexical(pool.bounded(rows))
     if rerank is not None:
