@@ -13,6 +13,7 @@ than there are vectors in it, so a group of copies of any size never becomes pai
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ BRIDGES = 4
 PROBES, RECALL = 128, 0.995
 #: Above a shard's rows over this the beam is no faster than a scan.
 SCAN = 6
+#: What a task holds at once beside its shard and block, however dense the vectors: numbers gathered to compare, slots of the beams of queries that are
+#: searched together, links. A shard's graph travels in pieces of so many bytes of vectors.
+GATHERED, SLOTS, FOUND, PIECE_BYTES = 1 << 22, 1 << 19, 1 << 20, 1 << 20
 _NONE = -np.inf
 
 
@@ -80,7 +84,10 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarr
         r, c = np.nonzero(fresh)
         seen[rows[r], new[r, c]] = True
         found = np.full(new.shape, _NONE, dtype=np.float32)
-        found[r, c] = np.einsum("ij,ij->i", q[rows[r]], x[new[r, c]])
+        at_once = max(1, GATHERED // x.shape[1])
+        for i in range(0, len(r), at_once):
+            a, b = r[i : i + at_once], c[i : i + at_once]
+            found[a, b] = np.einsum("ij,ij->i", q[rows[a]], x[new[a, b]])
         every = np.concatenate([sims[rows], found], axis=1)
         best = top(every, beam)
         sims[rows] = np.take_along_axis(every, best, 1)
@@ -205,19 +212,31 @@ class Graph:
         return beam_search(self.x, self.layers[0], q, self.enter(q, self.layers[1:]), beam)
 
     def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Query numbers and rows of inner products of at least `least`. A beam that such rows fill to a half may not have seen the end of
+        """Query numbers and rows of inner products of at least `least`."""
+        parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), *self.parts_within(q, least, beam)]
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+    def parts_within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """within() in parts of FOUND links or so; those of a query are in one part. A beam that such rows fill to a half may not have seen the end of
         them: these queries go on with a wider one, and from a share of the shard on with a scan."""
-        if beam * SCAN >= len(self.x):
-            return np.nonzero(q @ self.x.T >= least)
-        ids, sims = self.search(q, beam)
-        full = sims[:, beam // 2] >= least
-        a, b = np.nonzero((sims >= least) & ~full[:, None])
-        rows, found = a, ids[a, b]
-        if full.any():
-            again = np.flatnonzero(full)
-            a, b = self.within(q[again], least, 4 * beam)
-            rows, found = np.concatenate([rows, again[a]]), np.concatenate([found, b])
-        return rows, found
+        scan = beam * SCAN >= len(self.x)
+        step = max(1, FOUND // len(self.x) if scan else min(TOGETHER, SLOTS // beam))
+        again = []
+        for at in range(0, len(q), step):
+            some = q[at : at + step]
+            if scan:
+                a, b = np.nonzero(some @ self.x.T >= least)
+                yield a + at, b
+                continue
+            ids, sims = self.search(some, beam)
+            full = sims[:, beam // 2] >= least
+            a, b = np.nonzero((sims >= least) & ~full[:, None])
+            yield a + at, ids[a, b]
+            again.append(np.flatnonzero(full) + at)
+        again = np.concatenate([np.zeros(0, dtype=np.int64), *again])
+        if len(again):
+            for a, b in self.parts_within(q[again], least, 4 * beam):
+                yield again[a], b
 
     def audit(self, threshold: float, probes: int = PROBES, recall: float = RECALL) -> tuple[int, float]:
         """A beam that finds so much of what a scan finds, and how much it finds. Probes are rows from all over the shard, and vectors just
@@ -228,10 +247,10 @@ class Graph:
         side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
         cos = min(1.0, threshold + 0.1 * (1 - threshold))
         q = np.concatenate([x, (cos * x + math.sqrt(1 - cos * cos) * side).astype(np.float32)])
-        truth = int((q @ self.x.T >= threshold).sum())
+        truth = sum(int((one @ self.x.T >= threshold).sum()) for one in np.array_split(q, 8))
         beam = BEAM
         while True:
-            got = len(self.within(q, threshold, beam)[0]) / max(truth, 1)
+            got = sum(len(rows) for rows, _ in self.parts_within(q, threshold, beam)) / max(truth, 1)
             if got >= recall or beam * SCAN >= len(self.x):
                 return beam, got
             beam *= 2
@@ -270,7 +289,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def graphs(classes: DataFrame, shards: int, threshold: float) -> DataFrame:
-    """dim, shard, cid, weight (of its rows, in their order), vectors, layers, beam, recall: one row a shard. classes: cid, v, weight."""
+    """dim, shard, piece, cids, weights, vectors, layers (of the piece's rows), beam, recall (of the shard): a shard's graph in pieces, so that no row is
+    large. classes: cid, v, weight."""
 
     def build(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
         dim = key[0].as_py()
@@ -279,37 +299,47 @@ def graphs(classes: DataFrame, shards: int, threshold: float) -> DataFrame:
         x = unit(_rows(held.column("v"), dim))[order]
         graph = Graph.build(x.astype(np.float32), sizes)
         beam, recall = graph.audit(threshold)
-        of = lambda name: held.column(name).to_numpy()[order]
-        return pa.table(
-            {
-                "dim": [dim],
-                "shard": pa.array([key[1].as_py()], pa.int32()),
-                "cids": [of("cid")],
-                "weights": [of("weight")],
-                "vectors": pa.array([x.tobytes()], pa.binary()),
-                "layers": pa.array([[links.tobytes() for links in graph.layers]], pa.list_(pa.binary())),
-                "beam": pa.array([beam], pa.int32()),
-                "recall": [recall],
-            },
-            schema=pa.schema(
-                [
-                    ("dim", pa.int32()),
-                    ("shard", pa.int32()),
-                    ("cids", pa.list_(pa.int64())),
-                    ("weights", pa.list_(pa.int64())),
-                    ("vectors", pa.binary()),
-                    ("layers", pa.list_(pa.binary())),
-                    ("beam", pa.int32()),
-                    ("recall", pa.float64()),
-                ]
-            ),
-        )
-
+        cids, weights = (held.column(name).to_numpy()[order] for name in ("cid", "weight"))
+        step = max(1, PIECE_BYTES // (8 * dim))
+
+        def piece(number: int) -> pa.RecordBatch:
+            rows = slice(number * step, (number + 1) * step)
+            layers = [[links[rows].tobytes() for links in graph.layers]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(values, field.type) for values, field in zip(([dim], [key[1].as_py()], [number], [cids[rows]], [weights[rows]], [x[rows].tobytes()], layers, [beam], [recall]), kinds)], schema=kinds
+            )
+
+        return pa.Table.from_batches(map(piece, range(-(-len(x) // step))), kinds)
+
+    kinds = pa.schema(
+        [
+            ("dim", pa.int32()),
+            ("shard", pa.int32()),
+            ("piece", pa.int32()),
+            ("cids", pa.list_(pa.int64())),
+            ("weights", pa.list_(pa.int64())),
+            ("vectors", pa.binary()),
+            ("layers", pa.list_(pa.binary())),
+            ("beam", pa.int32()),
+            ("recall", pa.float64()),
+        ]
+    )
     dealt = classes.select("cid", "v", "weight", F.size("v").alias("dim"), F.pmod(F.xxhash64(F.lit("shard"), "cid"), F.lit(shards)).cast("int").alias("shard"))
-    schema = "dim int, shard int, cids array<long>, weights array<long>, vectors binary, layers array<binary>, beam int, recall double"
+    schema = "dim int, shard int, piece int, cids array<long>, weights array<long>, vectors binary, layers array<binary>, beam int, recall double"
     return dealt.groupBy("dim", "shard").applyInArrow(build, schema)
 
 
+def assembled(pieces: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A shard's graph, its unit rows in double precision, their ids and weights, and the beam."""
+    pieces = pieces.sort_by("piece")
+    dim = pieces.column("dim")[0].as_py()
+    flat = lambda column: np.concatenate([np.asarray(part.flatten()) for part in column.chunks])
+    bytes_of = lambda parts, kind, width: np.concatenate([np.frombuffer(part.as_buffer(), dtype=kind).reshape(-1, width) for part in parts])
+    x = bytes_of(pieces.column("vectors"), np.float64, dim)
+    layers = [bytes_of([piece[n] for piece in pieces.column("layers")], np.int32, DEGREE + BRIDGES) for n in range(len(pieces.column("layers")[0]))]
+    return Graph(x.astype(np.float32), layers), x, flat(pieces.column("cids")), flat(pieces.column("weights")), pieces.column("beam")[0].as_py()
+
+
 def searched(classes: DataFrame, shards: DataFrame, n_shards: int, blocks: int, threshold: float) -> DataFrame:
     """a, b, n: for each vector a count n of rows of other vectors that it links with (b is null), and links a-b that connect them."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -319,28 +349,31 @@ def searched(classes: DataFrame, shards: DataFrame, n_shards: int, blocks: int,
     key = ["dim", "shard", "block"]
 
     def run(key: tuple[pa.Scalar, ...], graph: pa.Table, queries: pa.Table) -> pa.Table:
-        ends, counts = ([], []), ([], [])
+        ends, counts, linked = ([], []), ([], []), 0
         if graph.num_rows and queries.num_rows:
-            one = graph.slice(0, 1).to_pydict()
-            dim = one["dim"][0]
-            cids, weights = np.array(one["cids"][0]), np.array(one["weights"][0])
-            x = np.frombuffer(one["vectors"][0]).reshape(-1, dim)
-            g = Graph(x.astype(np.float32), [np.frombuffer(b, dtype=np.int32).reshape(-1, DEGREE + BRIDGES) for b in one["layers"][0]])
-            q, qid = unit(_rows(queries.column("v"), dim)), queries.column("cid").to_numpy()
+            g, x, cids, weights, beam = assembled(graph)
+            q, qid = unit(_rows(queries.column("v"), x.shape[1])), queries.column("cid").to_numpy()
+            at_once = max(1, GATHERED // x.shape[1])
             for at in range(0, len(q), TOGETHER):
-                rows, found = g.within(q[at : at + TOGETHER].astype(np.float32), threshold - 1e-4, one["beam"][0])
-                rows += at
-                good = qid[rows] != cids[found]
-                for i in range(0, len(rows), 1 << 18):
-                    part = slice(i, i + (1 << 18))
-                    good[part] &= np.einsum("ij,ij->i", q[rows[part]], x[found[part]]) >= threshold
-                rows, found = rows[good], found[good]
-                number = np.bincount(rows, weights=weights[found], minlength=0).astype(np.int64)
-                counts[0].append(qid[np.flatnonzero(number)])
-                counts[1].append(number[np.flatnonzero(number)])
-                a, b = local_links(qid[rows], cids[found])
-                ends[0].append(a)
-                ends[1].append(b)
+                for rows, found in g.parts_within(q[at : at + TOGETHER].astype(np.float32), threshold - 1e-4, beam):
+                    rows = rows + at
+                    good = qid[rows] != cids[found]
+                    for i in range(0, len(rows), at_once):
+                        part = slice(i, i + at_once)
+                        good[part] &= np.einsum("ij,ij->i", q[rows[part]], x[found[part]]) >= threshold
+                    rows, found = rows[good], found[good]
+                    number = np.bincount(rows, weights=weights[found], minlength=0).astype(np.int64)
+                    counts[0].append(qid[np.flatnonzero(number)])
+                    counts[1].append(number[np.flatnonzero(number)])
+                    a, b = local_links(qid[rows], cids[found])
+                    ends[0].append(a)
+                    ends[1].append(b)
+                    linked += len(a)
+                    if linked > FOUND:
+                        # Fewer than the block and the shard have vectors.
+                        for to, links in zip(ends, local_links(*map(np.concatenate, ends))):
+                            to[:] = [links]
+                        linked = len(ends[0][0])
         whole = lambda parts: np.concatenate([np.zeros(0, dtype=np.int64), *parts])
         a, b = local_links(whole(ends[0]), whole(ends[1]))
         n = whole(counts[1])

@@ -112,3 +112,35 @@ def test_local_links_connect_the_same():
         return r
 
     assert parts(a, b) == parts(x, y) and len(x) < len(set(a) | set(b))
+
+
+def test_dense_shards_in_parts(monkeypatch):
+    """However many vectors are near each other, a part has a bounded number of links, and all parts together have every one."""
+    monkeypatch.setattr(hnsw, "FOUND", 4000)
+    monkeypatch.setattr(hnsw, "GATHERED", 3200)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x[:700] = x[0] + 0.1 * rng.normal(size=(700, 32))
+    order, sizes = hnsw.Graph.order(len(x))
+    x = hnsw.unit(x)[order].astype(np.float32)
+    graph = hnsw.Graph.build(x, sizes)
+    got, owner = set(), {}
+    for part, (rows, found) in enumerate(graph.parts_within(x, 0.95, 32)):
+        assert len(rows) <= 4000
+        assert all(owner.setdefault(r, part) == part for r in rows.tolist())
+        got |= set(zip(rows.tolist(), found.tolist()))
+    want = set(zip(*(i.tolist() for i in np.nonzero(x @ x.T >= 0.95))))
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_graphs_in_pieces(spark):
+    """No row of a shard's graph is large, and searches put it together again."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 512))
+    x[:200] = x[200:400] + 0.2 * rng.normal(size=(200, 512))
+    classes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "cid long, v array<double>, weight long")
+    rows = hnsw.graphs(classes, 1, 0.95).selectExpr("piece", "octet_length(vectors) AS bytes", "size(cids) AS n").orderBy("piece").collect()
+    assert len(rows) == 3 and max(r.bytes for r in rows) <= hnsw.PIECE_BYTES and sum(r.n for r in rows) == 600
+    got = {r.id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(classes, id_col="cid", vector_col="v").collect()}
+    near = hnsw.unit(x) @ hnsw.unit(x).T >= 0.95
+    assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(near[i]).min())) for i in range(600)}
