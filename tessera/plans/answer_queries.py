@@ -10,7 +10,7 @@ from ..operators import answers as O
 from ..operators import cells as C
 from ..operators import signals as S
 from ..operators import table_rows as R
-from ..sources.tables import scan, shared_dir
+from ..sources.tables import scan, shared_dir, written
 from ..streaming import activity as Z
 from .ingest_queries import tables
 
@@ -30,8 +30,10 @@ def _around(pairs, text):
 def c1_cells(spark, d):
     rows = R.normalized_rows(tables(spark, d), "markdown", "table_id")
     asked = S.with_signals(spark.createDataFrame([("Which part has quantity 17 and flag NO?",), ("part 155 of group r",)], "question string"), "question")
-    both = rows.join(F.broadcast(asked.withColumn("terms", C.asked_terms())))
-    scored = both.withColumn("s", C.score(F.col("cells"), F.col("group_context"), F.lit(""), F.col("terms")))
+    # Written: the names of all columns are looked at first.
+    rows = written(rows.select("table_id", "row_index", "group_context", "cells"), "rows").withColumn("plain", C.plain_cells(F.col("cells"), F.col("group_context"), F.lit("")))
+    both = C.with_heads(rows, asked.withColumn("terms", C.asked_terms()), F.col("terms"))
+    scored = both.withColumn("s", C.score(F.col("cells"), F.col("group_context"), F.lit(""), F.col("terms"), F.col("plain"), F.col("_heads")))
     return scored.select("question", "table_id", F.col("row_index").cast("long").alias("row_index"), F.round("s.total", 6).alias("total"), "s.codes", "s.labels", "s.conflicts", "s.phrases", "s.exact")
 
 

@@ -158,3 +158,18 @@ def test_texts_are_normalized_once_for_the_fallback(spark):
     # Neither once more for the scores nor for every question of a tenant.
     assert "[!-,:-@" not in optimized(got)
     assert got.filter("question = 'q'").orderBy("nth").first().key == 12
+
+
+def test_column_names_are_compared_once_for_all_rows(spark):
+    """Names of columns are met by the questions before the rows are, and values stay apart though they are looked at together."""
+    rows = R.normalized_rows(pipe_tables(spark), "markdown", "t")
+    asks = asked(spark).withColumn("terms", C.asked_terms())
+    both = C.with_heads(rows, asks, F.col("terms"))
+    assert both.select("_heads").distinct().count() == 2 and both.count() == 80
+    plain = C.plain_cells(F.col("cells"), F.col("group_context"), F.lit(""))
+    got = both.withColumn("a", C.score(F.col("cells"), F.col("group_context"), F.lit(""), F.col("terms"), plain, F.col("_heads"))).withColumn("b", C.score(F.col("cells"), F.col("group_context"), F.lit("")))
+    assert got.filter("a != b").count() == 0 and got.filter("a.total > 0").count() > 0
+    apart = spark.createDataFrame([(1, [("a", "x p"), ("b", "12 y")]), (2, [("a", "x"), ("b", "p 12")]), (3, [("a", None), ("b", "p 123")])], "i int, cells array<struct<key:string,value:string>>")
+    one = apart.join(F.broadcast(S.with_signals(spark.createDataFrame([("p 12",)], "text string"), "text")))
+    points = {r.i: r.s for r in one.select("i", C.score(F.col("cells"), F.lit(""), F.lit("")).alias("s")).collect()}
+    assert (points[1].phrases, points[1].labels) == (0.0, C.COVERED) and points[2].phrases == 2.0 and points[3].labels == 0.0
