@@ -173,3 +173,10 @@ def test_column_names_are_compared_once_for_all_rows(spark):
     one = apart.join(F.broadcast(S.with_signals(spark.createDataFrame([("p 12",)], "text string"), "text")))
     points = {r.i: r.s for r in one.select("i", C.score(F.col("cells"), F.lit(""), F.lit("")).alias("s")).collect()}
     assert (points[1].phrases, points[1].labels) == (0.0, C.COVERED) and points[2].phrases == 2.0 and points[3].labels == 0.0
+
+
+def test_best_chunks_are_bounded_before_they_move(spark):
+    chunks = spark.range(50).select(F.col("id").alias("key"), F.lit("all").alias("tenant"), F.concat(F.lit("part P"), "id").alias("content"))
+    got = K.fallback_search(chunks, asked(spark), "key", "tenant")
+    assert "WindowGroupLimit" in planned(got)
+    assert got.filter("question = 'q'").count() == 30
