@@ -24,7 +24,7 @@ def prepared(chunks: DataFrame) -> DataFrame:
 
 def retrieve(
     chunks: DataFrame, questions: DataFrame, vector_hits: DataFrame, rerank: DataFrame | None = None, most: int | None = None, keyword_only: bool = False, sections: DataFrame | None = None,
-    index: DataFrame | None = None,
+    index: keywords.Index | None = None,
 ) -> DataFrame:
     """question, key, document, score, rank: the contexts of each question in the order in which they are shown.
 
